@@ -3,15 +3,15 @@
 Multiple-global-order prefix filtering. Two sets of n and m shingles with a Jaccard
 coefficient of t or more share one of the first n - ceil(t*n) + 1 (m - ceil(t*m) + 1)
 shingles under every global order. Order 1 gives the candidates: shingles ordered by
-a hash of their least trigram, so that neighbouring shingles come together, and a
-document emits each trigram of its prefix once. Orders 2 and 3 (other hashes of the
+their anchor (the lesser hash of a shingle without its last or first word), so that
+neighbouring shingles come together, and a document emits each anchor of its prefix once. Orders 2 and 3 (other hashes of the
 shingles) and the sizes must agree too before the sets of a pair are compared.
 
-Texts with equal sets are one class and emit once. Under each trigram a class is
-first paired with one class only (a star, so hot trigrams give as many pairs as
-rows); most groups come together that way. Pairs of classes that share a trigram
+Texts with equal sets are one class and emit once. Under each anchor a class is
+first paired with one class only (a star, so hot anchors give as many pairs as
+rows); most groups come together that way. Pairs of classes that share an anchor
 and are still in different components follow in later rounds: first each against
-one other pivot of the trigram, and last, all that remain.
+one other pivot of the anchor, and last, all that remain.
 
 A document's links end in components: component_id is the smallest doc_id reachable.
 
@@ -46,15 +46,13 @@ def prefix_length(n: int, least: int = LEAST) -> int:
 
 
 def shingles(b: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each row: its distinct shingles in order 1, and their trigrams."""
+    """For each row: its distinct shingles in order 1, and their anchors."""
     w = Words(fold_ascii(b), offsets)
     h = w.hashes()
     shingle = grams(h, words)
-    three = grams(h, 3)
-    anchor = three[: len(shingle)].copy()
-    for k in range(1, words - 2):
-        np.minimum(anchor, three[k : len(shingle) + k], out=anchor)
-    # Order 1: 24 bits of the trigram, then 40 of the shingle. The value stands for the shingle.
+    short = grams(h, words - 1)
+    anchor = np.minimum(short[: len(shingle)], short[1 : len(shingle) + 1])
+    # Order 1: 24 bits of the anchor, then 40 of the shingle. The value stands for the shingle.
     key = (anchor & np.uint64(0xFFFFFF0000000000)) | (shingle >> np.uint64(24))
     before = w.before
     for i in range(len(offsets) - 1):
@@ -74,7 +72,7 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def prefixes(docs: DataFrame, words: int = WORDS, least: int = LEAST) -> DataFrame:
-    """doc_id, n_shingles, digest of the set, trigrams of the prefix in order 1."""
+    """doc_id, n_shingles, digest of the set, anchors of the prefix in order 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -87,9 +85,9 @@ def prefixes(docs: DataFrame, words: int = WORDS, least: int = LEAST) -> DataFra
                     held.append(np.unique(anchor[: prefix_length(len(own), least)]) if len(own) else anchor)
                 cut = np.concatenate([[0], np.cumsum([len(x) for x in held])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(cut), _signed(np.concatenate(held)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), lists], ["doc_id", "n_shingles", "digest", "trigrams"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), lists], ["doc_id", "n_shingles", "digest", "anchors"])
 
-    return docs.mapInArrow(run, "doc_id bigint, n_shingles bigint, digest binary, trigrams array<bigint>")
+    return docs.mapInArrow(run, "doc_id bigint, n_shingles bigint, digest binary, anchors array<bigint>")
 
 
 def sets_of(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -149,7 +147,7 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
 
 
 def _labelled(rows: DataFrame, known: DataFrame | None) -> DataFrame:
-    """rows (trigram, class_id, n) with the component of the class."""
+    """rows (anchor, class_id, n) with the component of the class."""
     if known is None:
         return rows.withColumn("component", F.col("class_id"))
     named = known.select(F.col("node").alias("class_id"), "component")
@@ -157,22 +155,22 @@ def _labelled(rows: DataFrame, known: DataFrame | None) -> DataFrame:
 
 
 def _open(rows: DataFrame) -> DataFrame:
-    """Rows under trigrams that still join more than one component."""
-    split = rows.groupBy("trigram").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("trigram")
-    return rows.join(split, "trigram")
+    """Rows under anchors that still join more than one component."""
+    split = rows.groupBy("anchor").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("anchor")
+    return rows.join(split, "anchor")
 
 
 def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, least: int = LEAST, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, n_shingles, component_id."""
-    if words < 3:
-        raise ValueError("shingles need three words at least")
+    if words < 2:
+        raise ValueError("shingles need two words at least")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     found = staged(prefixes(texts, words, least), "prefixes")
-    classes = found.filter(F.col("digest").isNotNull() & F.col("doc_id").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.first("n_shingles").alias("n"), F.first("trigrams").alias("trigrams"))
+    classes = found.filter(F.col("digest").isNotNull() & F.col("doc_id").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.first("n_shingles").alias("n"), F.first("anchors").alias("anchors"))
     classes = staged(classes, "classes")
-    rows = classes.select("class_id", "n", F.explode("trigrams").alias("trigram"))
-    shared = rows.groupBy("trigram").agg(F.count("*").alias("k"), F.min("class_id").alias("pivot")).filter("k > 1").select("trigram", "pivot")
-    rows = staged(rows.join(shared, "trigram"), "shared")  # only trigrams of two classes or more
+    rows = classes.select("class_id", "n", F.explode("anchors").alias("anchor"))
+    shared = rows.groupBy("anchor").agg(F.count("*").alias("k"), F.min("class_id").alias("pivot")).filter("k > 1").select("anchor", "pivot")
+    rows = staged(rows.join(shared, "anchor"), "shared")  # only anchors of two classes or more
     near = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * least
     wanted = staged(rows.select(F.col("class_id").alias("doc_id")).distinct(), "wanted")
     sets = staged(sets_of(texts.join(checked(wanted), "doc_id", "left_semi"), words), "sets")
@@ -185,14 +183,14 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if left.isEmpty():
             break
         if turn < rounds - 1:
-            # Another pivot for each trigram, compared with its classes of other components and similar size.
+            # Another pivot for each anchor, compared with its classes of other components and similar size.
             pick = F.min_by("class_id", F.xxhash64("class_id", F.lit(turn)))
-            pivots = left.groupBy("trigram").agg(pick.alias("a"), F.min_by("component", F.xxhash64("class_id", F.lit(turn))).alias("c"), F.min_by("n", F.xxhash64("class_id", F.lit(turn))).alias("m"))
-            pairs = left.join(pivots, "trigram").filter((F.col("component") != F.col("c")) & near(F.col("n"), F.col("m")))
+            pivots = left.groupBy("anchor").agg(pick.alias("a"), F.min_by("component", F.xxhash64("class_id", F.lit(turn))).alias("c"), F.min_by("n", F.xxhash64("class_id", F.lit(turn))).alias("m"))
+            pairs = left.join(pivots, "anchor").filter((F.col("component") != F.col("c")) & near(F.col("n"), F.col("m")))
             pairs = pairs.select(F.least("a", "class_id").alias("a"), F.greatest("a", "class_id").alias("b")).distinct()
         else:
-            x, y = left.select("trigram", F.col("class_id").alias("a"), F.col("n").alias("m"), F.col("component").alias("c")), left
-            pairs = x.join(y, "trigram").filter((F.col("a") < F.col("class_id")) & (F.col("c") != F.col("component")) & near(F.col("n"), F.col("m")))
+            x, y = left.select("anchor", F.col("class_id").alias("a"), F.col("n").alias("m"), F.col("component").alias("c")), left
+            pairs = x.join(y, "anchor").filter((F.col("a") < F.col("class_id")) & (F.col("c") != F.col("component")) & near(F.col("n"), F.col("m")))
             pairs = pairs.select("a", F.col("class_id").alias("b")).distinct()
         more = staged(verified(pairs, sets, least), "edges")
         release(left)
