@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from touchline.plans.registry import BODY
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -199,4 +201,4 @@ squads AS (
 
 
 def ctes(*parts: str) -> str:
-    return "WITH " + ",".join(parts) + "\n"
+    return "WITH " + ",".join(parts) + f"\n{BODY}\n"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from touchline.functions.columns import finite, parsed, parsed_int, parsed_loose, position_of
 from touchline.operators import clean
 from touchline.plans import project as P
-from touchline.plans.registry import query
+from touchline.plans.registry import query, r
 
 _TEXT = "concat_ws('', o_orderpriority, ' ', cast(cast(floor(o_totalprice) as bigint) as string))"
 
@@ -35,7 +35,7 @@ SELECT player_id, gameweek, CAST(least(greatest(round_even(minutes / CAST(90.0 A
 
 @query("c4_c5_double_periods", P.ctes(P.STATS) + f"SELECT player_id, gameweek, matches_played, round(CASE matches_played WHEN 0 THEN 0.0 WHEN 1 THEN total_points ELSE total_points / CAST(matches_played AS DOUBLE) END, 4) AS normalized_points FROM ({_C5})")
 def c5(spark, d):
-    return clean.normalise_history(P.stats(spark, d)).select("player_id", "gameweek", "matches_played", F.round("normalized_points", 4).alias("normalized_points"))
+    return clean.normalise_history(P.stats(spark, d)).select("player_id", "gameweek", "matches_played", r("normalized_points"))
 
 
 _DEF = """
@@ -47,7 +47,7 @@ FROM stats s JOIN players p USING (player_id)"""
 @query("c6_c7_defcon", P.ctes(P.STATS, P.PLAYERS) + f"SELECT player_id, gameweek, round(CAST(full_match * minutes / 90.0 AS DOUBLE), 4) AS floor_points, round(CAST(full_match AS DOUBLE), 4) AS floor_points_90 FROM ({_DEF})")
 def c7(spark, d):
     df = P.stats(spark, d).join(P.players(spark, d).select("player_id", "position"), "player_id")
-    return clean.defcon_metrics(clean.defcon_rates(df)).select("player_id", "gameweek", F.round("floor_points", 4).alias("floor_points"), F.round("floor_points_90", 4).alias("floor_points_90"))
+    return clean.defcon_metrics(clean.defcon_rates(df)).select("player_id", "gameweek", r("floor_points"), r("floor_points_90"))
 
 
 @query("c8_defcon_service", P.ctes(P.STATS, P.PLAYERS) + """
@@ -58,7 +58,7 @@ FROM (SELECT player_id, position, CAST(sum(minutes) AS BIGINT) AS sum_minutes, c
 def c8(spark, d):
     df = P.stats(spark, d).groupBy("player_id").agg(F.sum("minutes").alias("minutes_played"), F.count("*").alias("games_played"), F.sum("blocks").alias("blocks"), F.sum("goals_conceded").alias("interceptions"), F.sum("passes").alias("passes"))
     df = df.join(P.players(spark, d).select("player_id", "position"), "player_id").withColumn("minutes", F.lit(90.0))
-    return clean.defcon_from_service(df).select("player_id", "minutes_played", "games_played", F.round("defcon_score", 3).alias("defcon_score"))
+    return clean.defcon_from_service(df).select("player_id", "minutes_played", "games_played", r("defcon_score", 3))
 
 
 @query("c9_defcon_model", P.ctes(P.STATS, P.PLAYERS) + """
@@ -67,7 +67,7 @@ FROM (SELECT player_id, position, avg(blocks) AS b, avg(interventions) AS i, avg
 def c9(spark, d):
     df = P.stats(spark, d).groupBy("player_id").agg(F.avg("blocks").alias("avg_blocks"), F.avg("interventions").alias("avg_interventions"), F.avg("passes").alias("avg_passes"))
     df = df.join(P.players(spark, d).select("player_id", "position"), "player_id").withColumn("expected_minutes", F.lit(60.0))
-    return clean.defcon_for_model(df).select("player_id", F.round("defcon_points", 4).alias("defcon_points"))
+    return clean.defcon_for_model(df).select("player_id", r("defcon_points"))
 
 
 @query("c10_clean_players", P.ctes(P.STATS, P.PLAYERS) + f"""
