@@ -1,11 +1,15 @@
 """Similarity join of documents on distinct word shingles (Jaccard) and its components.
 
-Multiple-global-order prefix filtering. Two sets of n and m shingles with a Jaccard
-coefficient of t or more share one of the first n - ceil(t*n) + 1 (m - ceil(t*m) + 1)
-shingles under every global order. Order 1 gives the candidates: shingles ordered by
-their anchor (the lesser hash of a shingle without its last or first word), so that
-neighbouring shingles come together, and a document emits each anchor of its prefix once. Orders 2 and 3 (other hashes of the
-shingles) and the sizes must agree too before the sets of a pair are compared.
+Multiple-global-order prefix filtering. If a set of n shingles shares t*n or more
+with another, then of its first n - ceil(t*n) + l shingles under any global order
+it shares l or more with the other's (l: a tenth of the smaller set, 1 at least).
+Order 1 gives the candidates: shingles are ordered by a hash of their anchor (the
+lesser hash of a shingle without its last or first word), so that neighbouring
+shingles come together, and a document emits each anchor of its prefix once, with
+the number of its shingles there. Anchors of one class only are dropped after a
+count; documents whose shared anchors do not hold l shingles are dropped next, which
+rids the join of documents that merely have a common passage. Orders 2 and 3 (other
+hashes of the shingles) and the sizes must agree too before two sets are compared.
 
 Texts with equal sets are one class and emit once. Under each anchor a class is
 first paired with one class only (a star, so hot anchors give as many pairs as
@@ -41,8 +45,16 @@ _SHORT = np.uint64(0xA0761D6478BD642F)
 _ORDERS = [np.uint64(0x589965CC75374CC3), np.uint64(0x1D8E4E27C47D124F)]
 
 
-def prefix_length(n: int, least: int = LEAST) -> int:
-    return n - (least * n + 99) // 100 + 1
+#: Shingles that two prefixes share at least: one for each so many of the smaller set, and one at least.
+PER_SHARED = 10
+
+
+def prefix_length(n: int, least: int = LEAST, more: int = 1) -> int:
+    return n - (least * n + 99) // 100 + more
+
+
+def shared_least(n: int) -> int:
+    return max(1, n // PER_SHARED)
 
 
 def shingles(b: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -72,22 +84,24 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def prefixes(docs: DataFrame, words: int = WORDS, least: int = LEAST) -> DataFrame:
-    """doc_id, n_shingles, digest of the set, anchors of the prefix in order 1."""
+    """doc_id, n_shingles, digest of the set, anchors of the prefix in order 1 and how many of its shingles each has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             b, offsets = flat(batch.column(1))
             for i, j in blocks(offsets):
-                n, digest, held = [], [], []
+                n, digest, held, count = [], [], [], []
                 for own, anchor in shingles(b[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words):
                     n.append(len(own))
                     digest.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None)
-                    held.append(np.unique(anchor[: prefix_length(len(own), least)]) if len(own) else anchor)
-                cut = np.concatenate([[0], np.cumsum([len(x) for x in held])]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(cut), _signed(np.concatenate(held)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), lists], ["doc_id", "n_shingles", "digest", "anchors"])
+                    u, c = np.unique(anchor[: prefix_length(len(own), least, shared_least(len(own)))] if len(own) else anchor, return_counts=True)
+                    held.append(u)
+                    count.append(c)
+                cut = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in held])]).astype(np.int32))
+                cols = [batch.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.ListArray.from_arrays(cut, _signed(np.concatenate(held))), pa.ListArray.from_arrays(cut, pa.array(np.concatenate(count).astype(np.int32)))]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_shingles", "digest", "anchors", "weights"])
 
-    return docs.mapInArrow(run, "doc_id bigint, n_shingles bigint, digest binary, anchors array<bigint>")
+    return docs.mapInArrow(run, "doc_id bigint, n_shingles bigint, digest binary, anchors array<bigint>, weights array<int>")
 
 
 def sets_of(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -160,49 +174,80 @@ def _open(rows: DataFrame) -> DataFrame:
     return rows.join(split, "anchor")
 
 
+def _least_column(n):
+    return F.greatest(F.lit(1), F.floor(n / PER_SHARED))
+
+
+def _repeated(rows: DataFrame) -> DataFrame:
+    """Rows whose anchor has another class too."""
+    several = staged(rows.groupBy("anchor").agg(F.count("*").alias("k")).filter("k > 1").select("anchor"), "anchors")
+    return rows.join(checked(several), "anchor")
+
+
+def _supported(rows: DataFrame, least: int) -> DataFrame:
+    """Rows of classes whose shared anchors hold as many shingles as a link needs."""
+    need = _least_column(F.ceil(F.col("n") * least / 100))
+    classes = rows.groupBy("class_id", "n").agg(F.sum("weight").alias("held")).filter(F.col("held") >= need).select("class_id")
+    return rows.join(classes, "class_id", "left_semi")
+
+
+def candidates(found: DataFrame, classes: DataFrame, least: int = LEAST, passes: int = 2) -> DataFrame:
+    """class_id, n, anchor, weight: all that a link can need."""
+    held = found.filter(F.col("digest").isNotNull())
+    copies = held.select("doc_id", "digest").join(classes, "digest").filter(F.col("doc_id").isNull() | (F.col("doc_id") != F.col("class_id"))).select("doc_id", "digest").distinct()
+    copies = staged(copies, "copies")
+    drop = copies.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
+    one = held.join(checked(drop), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")), "left_anti")
+    rows = one.select(F.col("doc_id").alias("class_id"), F.col("n_shingles").alias("n"), F.inline(F.arrays_zip("anchors", "weights"))).select("class_id", "n", F.col("anchors").alias("anchor"), F.col("weights").alias("weight"))
+    rows = staged(_repeated(rows), "shared")
+    for _ in range(passes):
+        fewer = staged(_repeated(_supported(rows, least)), "shared")
+        release(rows)
+        rows = fewer
+    return rows
+
+
 def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, least: int = LEAST, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, n_shingles, component_id."""
     if words < 2:
         raise ValueError("shingles need two words at least")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     found = staged(prefixes(texts, words, least), "prefixes")
-    classes = found.filter(F.col("digest").isNotNull() & F.col("doc_id").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.first("n_shingles").alias("n"), F.first("anchors").alias("anchors"))
-    classes = staged(classes, "classes")
-    rows = classes.select("class_id", "n", F.explode("anchors").alias("anchor"))
-    shared = rows.groupBy("anchor").agg(F.count("*").alias("k"), F.min("class_id").alias("pivot")).filter("k > 1").select("anchor", "pivot")
-    rows = staged(rows.join(shared, "anchor"), "shared")  # only anchors of two classes or more
-    near = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * least
+    classes = staged(found.filter(F.col("digest").isNotNull() & F.col("doc_id").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("class_id")), "classes")
+    rows = candidates(found, classes, least)
     wanted = staged(rows.select(F.col("class_id").alias("doc_id")).distinct(), "wanted")
     sets = staged(sets_of(texts.join(checked(wanted), "doc_id", "left_semi"), words), "sets")
-    pairs = rows.filter("class_id <> pivot").select(F.col("pivot").alias("a"), F.col("class_id").alias("b")).distinct()
-    edges = staged(verified(pairs, sets, least), "edges")
-    rows = rows.drop("pivot")
-    known = components(edges) if not edges.isEmpty() else None
+
+    def enough(pairs: DataFrame) -> DataFrame:
+        """Pairs (a, m; b, n; weight under each shared anchor) that share enough and are near in size."""
+        near = F.least("m", "n") * 100 >= F.greatest("m", "n") * least
+        joint = pairs.filter(near).groupBy("a", "m", "b", "n").agg(F.sum("weight").alias("held"))
+        return joint.filter(F.col("held") >= _least_column(F.least("m", "n"))).select("a", "b")
+
+    edges, known = None, None
     for turn in range(rounds):
         left = staged(_open(_labelled(rows, known)), "open")
         if left.isEmpty():
             break
         if turn < rounds - 1:
-            # Another pivot for each anchor, compared with its classes of other components and similar size.
-            pick = F.min_by("class_id", F.xxhash64("class_id", F.lit(turn)))
-            pivots = left.groupBy("anchor").agg(pick.alias("a"), F.min_by("component", F.xxhash64("class_id", F.lit(turn))).alias("c"), F.min_by("n", F.xxhash64("class_id", F.lit(turn))).alias("m"))
-            pairs = left.join(pivots, "anchor").filter((F.col("component") != F.col("c")) & near(F.col("n"), F.col("m")))
-            pairs = pairs.select(F.least("a", "class_id").alias("a"), F.greatest("a", "class_id").alias("b")).distinct()
+            # A pivot for each anchor, the first class or another, against its classes of other components.
+            by = F.col("class_id") if turn == 0 else F.xxhash64("class_id", F.lit(turn))
+            pivots = left.groupBy("anchor").agg(F.min_by(F.struct("class_id", "n", "component"), by).alias("p")).select("anchor", F.col("p.class_id").alias("a"), F.col("p.n").alias("m"), F.col("p.component").alias("c"))
+            pairs = left.join(pivots, "anchor").filter(F.col("component") != F.col("c"))
         else:
-            x, y = left.select("anchor", F.col("class_id").alias("a"), F.col("n").alias("m"), F.col("component").alias("c")), left
-            pairs = x.join(y, "anchor").filter((F.col("a") < F.col("class_id")) & (F.col("c") != F.col("component")) & near(F.col("n"), F.col("m")))
-            pairs = pairs.select("a", F.col("class_id").alias("b")).distinct()
+            x = left.select("anchor", F.col("class_id").alias("a"), F.col("n").alias("m"), F.col("component").alias("c"))
+            pairs = x.join(left, "anchor").filter((F.col("a") < F.col("class_id")) & (F.col("c") != F.col("component")))
+        pairs = enough(pairs.withColumnRenamed("class_id", "b"))
         more = staged(verified(pairs, sets, least), "edges")
         release(left)
         if not more.isEmpty():
-            edges = edges.unionByName(more)
+            edges = more if edges is None else edges.unionByName(more)
             known = components(edges)
-    named = classes.select("digest", "class_id")
+    named = classes
     if known is not None:
         named = named.join(known.withColumnRenamed("node", "class_id"), "class_id", "left").select("digest", F.coalesce("component", "class_id").alias("component_id"))
     else:
         named = named.select("digest", F.col("class_id").alias("component_id"))
-    # Rows that share a doc_id may hold different texts: they are one node.
     out = found.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
