@@ -69,6 +69,13 @@ def mean_of(array: Column) -> Column:
     return F.when(F.size(array) > 0, F.aggregate(array, F.lit(0.0), lambda a, x: a + x.cast("double")) / F.size(array))
 
 
+def correlation(x: Column, y: Column) -> Column:
+    """Pearson correlation, an aggregate; null where either side does not vary."""
+    x, y = col(x), col(y)
+    spread = F.stddev_pop(x) * F.stddev_pop(y)
+    return F.when(spread > 0, F.covar_pop(x, y) / spread)
+
+
 # ---------------------------------------------------------------- names
 
 _ACCENTED = "àáâãäåèéêëìíîïòóôõöùúûüçñ"

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from touchline.llm.common import SPACE, checked, flat, staged, table
+from touchline.llm.common import Words, blocks, checked, flat, staged, table
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -45,15 +45,7 @@ def word_count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """Runs of characters that are not ASCII white space."""
     for texts in batches:
         b, offsets = flat(texts)
-        inside = ~SPACE[b]
-        first = inside.copy()
-        first[1:] &= ~inside[:-1]
-        cut = offsets[:-1]
-        cut = cut[cut < len(b)]
-        first[cut] = inside[cut]
-        sums = np.zeros(len(b) + 1, np.int64)
-        np.cumsum(first, out=sums[1:])
-        yield pa.array(sums[offsets[1:]] - sums[offsets[:-1]])
+        yield pa.array(np.concatenate([np.zeros(0, np.int64), *(np.diff(Words(b[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]).before) for i, j in blocks(offsets))]))
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.functions.columns import clip, col, goal_probabilities, outcome
+from touchline.functions.columns import clip, col, correlation, goal_probabilities, outcome
 from touchline.operators.features import goal_averages
 
 HOME_ADVANTAGE = 0.25
@@ -84,7 +84,7 @@ def compare_official(sides: DataFrame) -> DataFrame:
     """Correlation, mean absolute error and R-squared of fdr_mean against the official difficulty; zeros below two rows."""
     df = sides.filter(F.col("official").isNotNull())
     x, y = F.col("fdr_mean"), F.col("official")
-    g = df.agg(F.count("*").alias("n"), F.corr(x, y).alias("c"), F.avg(F.abs(x - y)).alias("m"), F.sum((y - x) * (y - x)).alias("res"), (F.var_pop(y) * F.count("*")).alias("tot"))
+    g = df.agg(F.count("*").alias("n"), correlation(x, y).alias("c"), F.avg(F.abs(x - y)).alias("m"), F.sum((y - x) * (y - x)).alias("res"), (F.var_pop(y) * F.count("*")).alias("tot"))
     safe = lambda c: F.when(F.col("n") >= 2, F.coalesce(c, F.lit(0.0))).otherwise(0.0)
     return g.select("n", safe(F.col("c")).alias("correlation"), safe(F.col("m")).alias("mean_absolute_error"), safe(F.when(F.col("tot") > 0, 1 - F.col("res") / F.col("tot"))).alias("r_squared"))
 
@@ -94,7 +94,7 @@ def verify_outcomes(sides: DataFrame) -> DataFrame:
     df = sides.filter(F.col("goals_for").isNotNull() & F.col("goals_against").isNotNull())
     close = lambda p, a: F.when(F.abs(F.col(p) - F.col(a)) < 0.5, 1.0).otherwise(0.0)
     right = F.avg(F.when(F.col("is_home"), (close("xg_for", "goals_for") + close("xg_against", "goals_against")) / 2))
-    return df.agg(F.coalesce(F.corr("xg_for", "goals_for"), F.lit(0.0)).alias("correlation_goals_for"), F.coalesce(F.corr("xg_against", "goals_against"), F.lit(0.0)).alias("correlation_goals_against"), F.coalesce(right, F.lit(0.0)).alias("prediction_accuracy"))
+    return df.agg(F.coalesce(correlation("xg_for", "goals_for"), F.lit(0.0)).alias("correlation_goals_for"), F.coalesce(correlation("xg_against", "goals_against"), F.lit(0.0)).alias("correlation_goals_against"), F.coalesce(right, F.lit(0.0)).alias("prediction_accuracy"))
 
 
 def goals_from_clean_sheet(p):
