@@ -8,14 +8,17 @@ lesser hash of a shingle without its last or first word), so that neighbouring
 shingles come together, and a document emits each anchor of its prefix once, with
 the number of its shingles there. Anchors of one class only are dropped after a
 count; documents whose shared anchors do not hold l shingles are dropped next, which
-rids the join of documents that merely have a common passage. Orders 2 and 3 (other
-hashes of the shingles) and the sizes must agree too before two sets are compared.
-
-Texts with equal sets are one class and emit once. Under each anchor a class is
-first paired with one class only (a star, so hot anchors give as many pairs as
-rows); most groups come together that way. Pairs of classes that share an anchor
-and are still in different components follow in later rounds: first each against
-one other pivot of the anchor, and last, all that remain.
+rids the join of documents that merely have a common passage. Order 2 puts rare
+shingles first: it is made for the documents that order 1 leaves open, from counts of
+all their shingles, and drops those of which less than t*n is shared with anyone.
+Orders 3 and 4 (other hashes of the shingles) and the sizes must agree too before two
+sets are compared.
+
+Texts with equal sets are one class and emit once. Under each anchor of order 1 a
+class is first paired with one class only (a star, so hot anchors give as many pairs
+as rows); most groups come together that way. Under order 2 further stars with other
+pivots follow for classes that are still in different components, and last, all pairs
+of such classes that share a prefix.
 
 A document's links end in components: component_id is the smallest doc_id reachable.
 
@@ -32,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from touchline.llm.common import Words, blocks, checked, flat, fold_ascii, grams, mix, release, staged, table
@@ -40,7 +43,8 @@ from touchline.llm.common import Words, blocks, checked, flat, fold_ascii, grams
 WORDS = 5
 #: Similarity in hundredths.
 LEAST = 80
-ROUNDS = 3
+#: Stars under order 2 before all pairs that are left.
+STARS = 4
 _SHORT = np.uint64(0xA0761D6478BD642F)
 _ORDERS = [np.uint64(0x589965CC75374CC3), np.uint64(0x1D8E4E27C47D124F)]
 
@@ -118,7 +122,7 @@ def sets_of(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 
 def similar(a: bytes, b: bytes, least: int = LEAST) -> bool:
-    """Whether two sets reach the similarity: sizes, prefixes under orders 2 and 3, then the sets."""
+    """Whether two sets reach the similarity: sizes, prefixes under orders 3 and 4, then the sets."""
     x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
     if not len(x) or 100 * min(len(x), len(y)) < least * max(len(x), len(y)):
         return False
@@ -207,7 +211,39 @@ def candidates(found: DataFrame, classes: DataFrame, least: int = LEAST, passes:
     return rows
 
 
-def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, least: int = LEAST, rounds: int = ROUNDS) -> DataFrame:
+def _shingle_rows(sets: DataFrame) -> DataFrame:
+    """class_id, n, anchor: a row for each shingle of each set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                held = [np.frombuffer(x, np.int64) for x in batch.column(1).slice(i, 256).to_pylist()]
+                size = np.array([len(x) for x in held], np.int32)
+                ids = np.repeat(batch.column(0).slice(i, 256).to_numpy(), size)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.repeat(size, size)), pa.array(np.concatenate(held))], ["class_id", "n", "anchor"])
+
+    return sets.mapInArrow(run, "class_id bigint, n int, anchor bigint")
+
+
+def rare_first(sets: DataFrame, least: int = LEAST) -> DataFrame:
+    """class_id, n, anchor (a shingle), weight: prefixes of the sets in the order of their shingles' counts.
+
+    Shingles of one set only stand before all others; they are counted, not kept.
+    """
+    rows, passes = _shingle_rows(sets), []
+    for _ in range(2):
+        common = staged(rows.groupBy("anchor").agg(F.count("*").alias("k")).filter("k > 1"), "common")
+        shared = rows.join(checked(common), "anchor")
+        alive = shared.groupBy("class_id", "n").agg(F.count("*").alias("c")).filter(F.col("c") >= F.ceil(F.col("n") * least / 100)).select("class_id", "c")
+        passes.append(staged(shared.join(checked(staged(alive, "alive")), "class_id"), "rare"))
+        rows = passes[-1].select("class_id", "n", "anchor")
+    release(passes[0])
+    place = F.row_number().over(Window.partitionBy("class_id").orderBy("k", "anchor"))
+    room = F.col("c") - F.ceil(F.col("n") * least / 100) + _least_column(F.col("n"))
+    return passes[1].withColumn("place", place).filter(F.col("place") <= room).select("class_id", F.col("n").cast("long").alias("n"), "anchor", F.lit(1).alias("weight"))
+
+
+def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, least: int = LEAST, stars: int = STARS) -> DataFrame:
     """doc_id, n_shingles, component_id."""
     if words < 2:
         raise ValueError("shingles need two words at least")
@@ -225,11 +261,15 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return joint.filter(F.col("held") >= _least_column(F.least("m", "n"))).select("a", "b")
 
     edges, known = None, None
-    for turn in range(rounds):
+    for turn in range(stars + 2):
         left = staged(_open(_labelled(rows, known)), "open")
         if left.isEmpty():
             break
-        if turn < rounds - 1:
+        if turn == 1:
+            ids = staged(left.select(F.col("class_id").alias("doc_id")).distinct(), "left")
+            rows = staged(rare_first(sets.join(checked(ids), "doc_id", "left_semi"), least), "second")
+            left = staged(_open(_labelled(rows, known)), "open")
+        if turn <= stars:
             # A pivot for each anchor, the first class or another, against its classes of other components.
             by = F.col("class_id") if turn == 0 else F.xxhash64("class_id", F.lit(turn))
             pivots = left.groupBy("anchor").agg(F.min_by(F.struct("class_id", "n", "component"), by).alias("p")).select("anchor", F.col("p.class_id").alias("a"), F.col("p.n").alias("m"), F.col("p.component").alias("c"))
