@@ -14,10 +14,10 @@ result; further columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -91,18 +91,18 @@ def fit(label: np.ndarray, weight: np.ndarray, grams: list[np.ndarray], kept: in
     if not pos.any() or pos.all():
         p = (float((weight * pos).sum()) + 1) / (float(weight.sum()) + 2)
         return float(np.log(p / (1 - p))), np.zeros(0, np.int32), np.zeros(0, np.float32)
-    idx = np.concatenate(grams) if grams else np.zeros(0, np.int32)
-    row = np.repeat(np.arange(n, dtype=np.int32), [len(g) for g in grams])
-    p = np.bincount(idx[pos[row]], minlength=1 << bits)
-    q = np.bincount(idx[~pos[row]], minlength=1 << bits)
+    p, q = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64)
+    for own, toxic in zip(grams, pos):  # a text's n-grams are distinct
+        (p if toxic else q)[own] += 1
     ratio = np.log((p + 0.5) / pos.sum()) - np.log((q + 0.5) / (n - pos.sum()))
     gain = likelihood_ratio(p, q, int(pos.sum()), int(n - pos.sum()))
     best = np.argsort(-gain, kind="stable")[:kept].astype(np.int32)
     best = best[gain[best] >= MIN_GAIN]
     rank = np.full(1 << bits, -1, np.int32)
     rank[best] = np.arange(len(best))
-    of = rank[idx]
-    row, of = row[of >= 0], of[of >= 0]
+    held = [x[x >= 0] for x in (rank[own] for own in grams)]
+    of = np.concatenate(held)
+    row = np.repeat(np.arange(n, dtype=np.int32), [len(x) for x in held])
     r = ratio[best]
     value = r[of]
     y, c = pos.astype(float), np.where(pos, 0.5 / pos.sum(), 0.5 / (n - pos.sum())) * n
@@ -120,17 +120,24 @@ def fit(label: np.ndarray, weight: np.ndarray, grams: list[np.ndarray], kept: in
     return float(bias), best, (w * r).astype(np.float32)
 
 
-def _fit_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["label", "grams"], kind="stable")
-    bias, best, w = fit(pdf["label"].to_numpy(), pdf["weight"].to_numpy(), [np.frombuffer(g, np.int32) for g in pdf["grams"]])
-    return pd.DataFrame({"bias": [bias], "best": [best.tobytes()], "w": [w.tobytes()]})
+def _fit_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The whole (bounded) sample, one text after the other; one row out, none without labels."""
+    rows = []
+    for batch in batches:
+        for label, weight, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            own = np.frombuffer(own.as_buffer(), np.int32).copy()
+            rows.append((label, len(own), zlib.crc32(own.data), weight, own))
+    if rows:
+        rows.sort(key=lambda r: r[:3])
+        bias, best, w = fit(np.array([r[0] for r in rows]), np.array([r[3] for r in rows]), [r[4] for r in rows])
+        yield pa.RecordBatch.from_arrays([pa.array([bias]), pa.array([best.tobytes()]), pa.array([w.tobytes()])], ["bias", "best", "w"])
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", folds: int = FOLDS, held: int = HELD, per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> tuple[float, np.ndarray, np.ndarray]:
     """The model. The sample is bounded by per_class, so one task fits it; its n-grams are made by all."""
     sample = labelled_sample(docs, labels, label_col, folds, held, per_class, id_col, text_col).select("label", "weight", "text")
     ready = sample.mapInArrow(_featured, "label int, weight double, grams binary")
-    model = ready.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(_fit_group, "bias double, best binary, w binary").head()
+    model = ready.repartition(1).mapInArrow(_fit_all, "bias double, best binary, w binary").head()
     if model is None:  # no labels
         return 0.0, np.zeros(0, np.int32), np.zeros(0, np.float32)
     return model["bias"], np.frombuffer(model["best"], np.int32), np.frombuffer(model["w"], np.float32)
