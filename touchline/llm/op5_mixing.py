@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from touchline.llm.common import Words, blocks, checked, flat, staged, table
 
@@ -40,7 +41,7 @@ RANGES = 4096
 _COARSE = 22
 
 
-@F.arrow_udf("bigint")
+@F.arrow_udf(T.LongType())
 def word_count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """Runs of characters that are not ASCII white space."""
     for texts in batches:

@@ -16,9 +16,11 @@ sets are compared.
 
 Texts with equal sets are one class and emit once. Under each anchor of order 1 a
 class is first paired with one class only (a star, so hot anchors give as many pairs
-as rows); most groups come together that way. Under order 2 further stars with other
-pivots follow for classes that are still in different components, and last, all pairs
-of such classes that share a prefix.
+as rows); most groups come together that way. Under order 2 further stars follow for
+classes that are still in different components, around the class with the fewest
+shingles of its own, and last, all such pairs under a prefix that can still be similar:
+u shingles that no other document has leave n - u to share, and a pair whose sizes need
+more is never made.
 
 A document's links end in components: component_id is the smallest doc_id reachable.
 
@@ -44,7 +46,7 @@ WORDS = 5
 #: Similarity in hundredths.
 LEAST = 80
 #: Stars under order 2 before all pairs that are left.
-STARS = 4
+STARS = 2
 _SHORT = np.uint64(0xA0761D6478BD642F)
 _ORDERS = [np.uint64(0x589965CC75374CC3), np.uint64(0x1D8E4E27C47D124F)]
 
@@ -226,7 +228,7 @@ def _shingle_rows(sets: DataFrame) -> DataFrame:
 
 
 def rare_first(sets: DataFrame, least: int = LEAST) -> DataFrame:
-    """class_id, n, anchor (a shingle), weight: prefixes of the sets in the order of their shingles' counts.
+    """class_id, n, u (shingles of its own), anchor (a shingle), weight: prefixes of the sets in the order of their shingles' counts.
 
     Shingles of one set only stand before all others; they are counted, not kept.
     """
@@ -240,7 +242,7 @@ def rare_first(sets: DataFrame, least: int = LEAST) -> DataFrame:
     release(passes[0])
     place = F.row_number().over(Window.partitionBy("class_id").orderBy("k", "anchor"))
     room = F.col("c") - F.ceil(F.col("n") * least / 100) + _least_column(F.col("n"))
-    return passes[1].withColumn("place", place).filter(F.col("place") <= room).select("class_id", F.col("n").cast("long").alias("n"), "anchor", F.lit(1).alias("weight"))
+    return passes[1].withColumn("place", place).filter(F.col("place") <= room).select("class_id", F.col("n").cast("long").alias("n"), (F.col("n") - F.col("c")).cast("long").alias("u"), "anchor", F.lit(1).alias("weight"))
 
 
 def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, least: int = LEAST, stars: int = STARS) -> DataFrame:
@@ -255,11 +257,13 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = staged(sets_of(texts.join(checked(wanted), "doc_id", "left_semi"), words), "sets")
 
     def enough(pairs: DataFrame) -> DataFrame:
-        """Pairs (a, m; b, n; weight under each shared anchor) that share enough and are near in size."""
-        near = F.least("m", "n") * 100 >= F.greatest("m", "n") * least
-        joint = pairs.filter(near).groupBy("a", "m", "b", "n").agg(F.sum("weight").alias("held"))
+        """Pairs (a, m; b, n; weight under each shared anchor) that share enough."""
+        joint = pairs.groupBy("a", "m", "b", "n").agg(F.sum("weight").alias("held"))
         return joint.filter(F.col("held") >= _least_column(F.least("m", "n"))).select("a", "b")
 
+    most = F.least(F.col("m") - F.col("v"), F.col("n") - F.col("u"))
+    can = 100 * most >= least * (F.col("m") + F.col("n") - most)  # what both have beside their own shingles must suffice
+    rows = rows.withColumn("u", F.lit(0).cast("long"))
     edges, known = None, None
     for turn in range(stars + 2):
         left = staged(_open(_labelled(rows, known)), "open")
@@ -270,13 +274,13 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             rows = staged(rare_first(sets.join(checked(ids), "doc_id", "left_semi"), least), "second")
             left = staged(_open(_labelled(rows, known)), "open")
         if turn <= stars:
-            # A pivot for each anchor, the first class or another, against its classes of other components.
-            by = F.col("class_id") if turn == 0 else F.xxhash64("class_id", F.lit(turn))
-            pivots = left.groupBy("anchor").agg(F.min_by(F.struct("class_id", "n", "component"), by).alias("p")).select("anchor", F.col("p.class_id").alias("a"), F.col("p.n").alias("m"), F.col("p.component").alias("c"))
-            pairs = left.join(pivots, "anchor").filter(F.col("component") != F.col("c"))
+            # A pivot for each anchor: the first class, later the one with the fewest shingles of its own.
+            by = F.col("class_id") if turn == 0 else F.struct("u", F.xxhash64("class_id", F.lit(turn)))
+            pivots = left.groupBy("anchor").agg(F.min_by(F.struct("class_id", "n", "u", "component"), by).alias("p")).select("anchor", F.col("p.class_id").alias("a"), F.col("p.n").alias("m"), F.col("p.u").alias("v"), F.col("p.component").alias("c"))
+            pairs = left.join(pivots, "anchor").filter((F.col("component") != F.col("c")) & can)
         else:
-            x = left.select("anchor", F.col("class_id").alias("a"), F.col("n").alias("m"), F.col("component").alias("c"))
-            pairs = x.join(left, "anchor").filter((F.col("a") < F.col("class_id")) & (F.col("c") != F.col("component")))
+            x = left.select("anchor", F.col("class_id").alias("a"), F.col("n").alias("m"), F.col("u").alias("v"), F.col("component").alias("c"))
+            pairs = x.join(left, "anchor").filter((F.col("a") < F.col("class_id")) & (F.col("c") != F.col("component")) & can)
         pairs = enough(pairs.withColumnRenamed("class_id", "b"))
         more = staged(verified(pairs, sets, least), "edges")
         release(left)
