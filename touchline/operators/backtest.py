@@ -79,7 +79,7 @@ def period_metrics(df: DataFrame, predicted: str = "predicted", actual: str = "p
     return m.withColumn("spearman", F.coalesce(finite("spearman"), F.lit(0.0)))
 
 
-def _overall_rank(df: DataFrame, c: str, name: str) -> DataFrame:
+def overall_rank(df: DataFrame, c: str, name: str) -> DataFrame:
     """c -> average rank over all rows. Only distinct values are ordered; their counts are summed by value ranges first, so no task orders all rows."""
     counts = df.groupBy(c).agg(F.count("*").alias("_n"))
     bounds = df.sparkSession.conf.get("spark.sql.shuffle.partitions")
@@ -94,7 +94,7 @@ def overall_metrics(df: DataFrame, predicted: str = "predicted", actual: str = "
     """rmse, mae, spearman, r_squared, n over all rows. Ranks come from distinct values and prefix sums, not from one global window."""
     good = df.select(finite(predicted).alias("_p"), finite(actual).alias("_a")).dropna()
     pairs = good.groupBy("_p", "_a").agg(F.count("*").alias("_k"))
-    ranked = pairs.join(_overall_rank(good, "_p", "_rp"), "_p").join(_overall_rank(good, "_a", "_ra"), "_a")
+    ranked = pairs.join(overall_rank(good, "_p", "_rp"), "_p").join(overall_rank(good, "_a", "_ra"), "_a")
     k, s = F.col("_k"), lambda c: F.sum(c * F.col("_k"))
     x, y = F.col("_rp"), F.col("_ra")
     r = ranked.agg(F.sum(k).alias("n"), s(x).alias("sx"), s(y).alias("sy"), s(x * x).alias("sxx"), s(y * y).alias("syy"), s(x * y).alias("sxy"))

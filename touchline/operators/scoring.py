@@ -33,7 +33,8 @@ def start_features(df: DataFrame, as_of: str) -> DataFrame:
 
 def untrained_start(recent: str = "recent_minutes") -> Column:
     """Mean of three recent matches over 90, 1 at most; 0.7 without any."""
-    return F.coalesce(F.least(F.lit(1.0), mean_of(F.slice(recent, 1, 3)) / 90.0), F.lit(0.7))
+    share = mean_of(F.slice(recent, 1, 3)) / 90.0
+    return F.when(share.isNotNull(), F.least(F.lit(1.0), share)).otherwise(0.7)
 
 
 def expected_minutes(p_start: Column, recent: str = "recent_minutes") -> Column:
