@@ -235,3 +235,27 @@ def test_blocked_matches_find_what_exact_ones_find(spark):
     b = spark.createDataFrame([(k, n) for k, n in enumerate(["anna lindh", "bo eck", "essen carl von", "danny"])], "id int, name string")
     want = {(r.target_id, r.cand_id) for r in resolve.best_matches(a, b, 75, exact=True).collect()}
     assert {(r.target_id, r.cand_id) for r in resolve.best_matches(a, b, 75).collect()} == want
+
+
+def test_reports_are_written(spark, tmp_path):
+    upsert.write_report(spark.createDataFrame([(1, 2.5)], "gameweek int, rmse double"), str(tmp_path / "r"))
+    assert one(spark.read.json(str(tmp_path / "r"))).rmse == 2.5
+
+
+def test_rejects_name_the_missing_columns(spark):
+    good, bad = upsert.valid_rows(spark.createDataFrame([(1, "a"), (None, "b"), (None, None)], "k int, v string"), ["k", "v"])
+    assert good.count() == 1 and sorted(r.missing for r in bad.collect()) == ["k", "k,v"]
+
+
+def test_conflicting_overrides_are_rejected(spark):
+    m = spark.createDataFrame([(1, "A", "x", "c", 0.5, False), (2, "B", "y", "d", 0.5, False)], "player_id long, source_a_name string, source_b_name string, canonical_name string, confidence double, verified boolean")
+    new, rejected = resolve.override(m, spark.createDataFrame([(1, "B"), (2, "Z"), (9, "Q")], "player_id long, external_name string"))
+    assert {(r.player_id, r.reason) for r in rejected.collect()} == {(1, "conflict"), (9, "missing")}
+    assert {(r.player_id, r.source_a_name, r.verified) for r in new.collect()} == {(1, "A", False), (2, "Z", True)}
+
+
+def test_plans_report_every_broken_rule(spark):
+    rows = [(1, 1, p, "GK" if p < 2 else "DEF" if p < 7 else "MID" if p < 12 else "FWD", 5.0, p % 6, p < 11) for p in range(15)]
+    df = spark.createDataFrame(rows, "plan_id int, week int, player_id int, position string, price double, team_id int, in_xi boolean")
+    got = {r.rule for r in squad.plan_violations(df, 70.0, locked=(99,), excluded=(3,)).collect()}
+    assert got == {"budget", "xi_FWD", "locked_99", "excluded_3"}
