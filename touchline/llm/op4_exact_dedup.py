@@ -37,9 +37,8 @@ def winners(rows: DataFrame) -> DataFrame:
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: float = SUPPORT) -> DataFrame:
     rows = digests(docs, id_col, text_col)
     frequent = rows.stat.freqItems(["text_sha256"], support).select(F.explode("text_sha256_freqItems").alias("text_sha256"))
-    least = rows.agg(F.count("*").alias("n"))
     verified = winners(rows.join(F.broadcast(frequent), "text_sha256", "left_semi"))
-    verified = staged(verified.crossJoin(F.broadcast(least)).filter((F.col("group_size") > 1) & (F.col("group_size") >= F.col("n") * support)).drop("n"), "winners")
+    verified = staged(verified.filter(F.col("group_size") >= max(2, rows.count() * support)), "winners")
     marked = rows.join(F.broadcast(verified), "text_sha256", "left")
     hot = marked.filter(F.col("best").isNotNull())
     rest = rows.join(F.broadcast(verified.select("text_sha256")), "text_sha256", "left_anti")
