@@ -166,6 +166,19 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
             return now
 
 
+def merged(known: DataFrame | None, more: DataFrame) -> DataFrame:
+    """Components after more edges: known ones are contracted, so the loop runs over the few that the new edges join."""
+    if known is None:
+        return components(more)
+    nodes = more.select(F.col("a").alias("node")).unionByName(more.select(F.col("b").alias("node"))).distinct()
+    own = nodes.join(known, "node", "left_anti").withColumn("component", F.col("node"))
+    every = staged(known.select("node", "component").unionByName(own), "components")
+    a, b = (every.select(F.col("node").alias(k), F.col("component").alias(f"_{k}")) for k in "ab")
+    small = more.join(a, "a").join(b, "b").select(F.col("_a").alias("a"), F.col("_b").alias("b")).filter("a <> b")
+    up = components(small).select(F.col("node").alias("component"), F.col("component").alias("up"))
+    return staged(every.join(up, "component", "left").select("node", F.coalesce("up", "component").alias("component")), "components")
+
+
 def _labelled(rows: DataFrame, known: DataFrame | None) -> DataFrame:
     """rows (anchor, class_id, n) with the component of the class."""
     if known is None:
@@ -264,7 +277,7 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     most = F.least(F.col("m") - F.col("v"), F.col("n") - F.col("u"))
     can = 100 * most >= least * (F.col("m") + F.col("n") - most)  # what both have beside their own shingles must suffice
     rows = rows.withColumn("u", F.lit(0).cast("long"))
-    edges, known = None, None
+    known = None
     for turn in range(stars + 2):
         left = staged(_open(_labelled(rows, known)), "open")
         if left.isEmpty():
@@ -285,8 +298,7 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         more = staged(verified(pairs, sets, least), "edges")
         release(left)
         if not more.isEmpty():
-            edges = more if edges is None else edges.unionByName(more)
-            known = components(edges)
+            known = merged(known, more)
     named = classes
     if known is not None:
         named = named.join(known.withColumnRenamed("node", "class_id"), "class_id", "left").select("digest", F.coalesce("component", "class_id").alias("component_id"))
