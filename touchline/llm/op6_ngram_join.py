@@ -16,11 +16,11 @@ sets are compared.
 
 Texts with equal sets are one class and emit once. Under each anchor of order 1 a
 class is first paired with one class only (a star, so hot anchors give as many pairs
-as rows); most groups come together that way. Under order 2 further stars follow for
-classes that are still in different components, around the class with the fewest
-shingles of its own, and last, all such pairs under a prefix that can still be similar:
-u shingles that no other document has leave n - u to share, and a pair whose sizes need
-more is never made.
+as rows), the one that shares most of its shingles with others; most groups come
+together that way. Under order 2 (one shared shingle suffices) further stars follow for
+classes that are still in different components, and last, all such pairs under a prefix
+that can still be similar: u shingles that no other document has leave n - u to share,
+and a pair whose sizes need more is never made.
 
 A document's links end in components: component_id is the smallest doc_id reachable.
 
@@ -204,14 +204,14 @@ def _repeated(rows: DataFrame) -> DataFrame:
 
 
 def _supported(rows: DataFrame, least: int) -> DataFrame:
-    """Rows of classes whose shared anchors hold as many shingles as a link needs."""
+    """Rows of classes whose shared anchors hold as many shingles as a link needs; dirt: the less they hold, the higher."""
     need = _least_column(F.ceil(F.col("n") * least / 100))
-    classes = rows.groupBy("class_id", "n").agg(F.sum("weight").alias("held")).filter(F.col("held") >= need).select("class_id")
-    return rows.join(classes, "class_id", "left_semi")
+    classes = rows.groupBy("class_id", "n").agg(F.sum("weight").alias("held")).filter(F.col("held") >= need).select("class_id", (-F.col("held") / F.col("n")).alias("dirt"))
+    return rows.select("class_id", "n", "anchor", "weight").join(classes, "class_id")
 
 
 def candidates(found: DataFrame, classes: DataFrame, least: int = LEAST, passes: int = 2) -> DataFrame:
-    """class_id, n, anchor, weight: all that a link can need."""
+    """class_id, n, anchor, weight, dirt: all that a link can need."""
     held = found.filter(F.col("digest").isNotNull())
     copies = held.select("doc_id", "digest").join(classes, "digest").filter(F.col("doc_id").isNull() | (F.col("doc_id") != F.col("class_id"))).select("doc_id", "digest").distinct()
     copies = staged(copies, "copies")
@@ -241,7 +241,7 @@ def _shingle_rows(sets: DataFrame) -> DataFrame:
 
 
 def rare_first(sets: DataFrame, least: int = LEAST) -> DataFrame:
-    """class_id, n, u (shingles of its own), anchor (a shingle), weight: prefixes of the sets in the order of their shingles' counts.
+    """class_id, n, u (shingles of its own), anchor (a shingle), weight, dirt: prefixes of the sets in the order of their shingles' counts.
 
     Shingles of one set only stand before all others; they are counted, not kept.
     """
@@ -254,8 +254,8 @@ def rare_first(sets: DataFrame, least: int = LEAST) -> DataFrame:
         rows = passes[-1].select("class_id", "n", "anchor")
     release(passes[0])
     place = F.row_number().over(Window.partitionBy("class_id").orderBy("k", "anchor"))
-    room = F.col("c") - F.ceil(F.col("n") * least / 100) + _least_column(F.col("n"))
-    return passes[1].withColumn("place", place).filter(F.col("place") <= room).select("class_id", F.col("n").cast("long").alias("n"), (F.col("n") - F.col("c")).cast("long").alias("u"), "anchor", F.lit(1).alias("weight"))
+    room = F.col("c") - F.ceil(F.col("n") * least / 100) + 1
+    return passes[1].withColumn("place", place).filter(F.col("place") <= room).select("class_id", F.col("n").cast("long").alias("n"), (F.col("n") - F.col("c")).cast("long").alias("u"), "anchor", F.lit(1).alias("weight"), (1 - F.col("c") / F.col("n")).alias("dirt"))
 
 
 def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, least: int = LEAST, stars: int = STARS) -> DataFrame:
@@ -272,7 +272,7 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def enough(pairs: DataFrame) -> DataFrame:
         """Pairs (a, m; b, n; weight under each shared anchor) that share enough."""
         joint = pairs.groupBy("a", "m", "b", "n").agg(F.sum("weight").alias("held"))
-        return joint.filter(F.col("held") >= _least_column(F.least("m", "n"))).select("a", "b")
+        return joint.filter(F.col("held") >= (_least_column(F.least("m", "n")) if turn == 0 else 1)).select("a", "b")
 
     most = F.least(F.col("m") - F.col("v"), F.col("n") - F.col("u"))
     can = 100 * most >= least * (F.col("m") + F.col("n") - most)  # what both have beside their own shingles must suffice
@@ -287,8 +287,8 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             rows = staged(rare_first(sets.join(checked(ids), "doc_id", "left_semi"), least), "second")
             left = staged(_open(_labelled(rows, known)), "open")
         if turn <= stars:
-            # A pivot for each anchor: the first class, later the one with the fewest shingles of its own.
-            by = F.col("class_id") if turn == 0 else F.struct("u", F.xxhash64("class_id", F.lit(turn)))
+            # A pivot for each anchor: the class that shares most of its shingles.
+            by = F.struct("dirt", F.xxhash64("class_id", F.lit(turn)))
             pivots = left.groupBy("anchor").agg(F.min_by(F.struct("class_id", "n", "u", "component"), by).alias("p")).select("anchor", F.col("p.class_id").alias("a"), F.col("p.n").alias("m"), F.col("p.u").alias("v"), F.col("p.component").alias("c"))
             pairs = left.join(pivots, "anchor").filter((F.col("component") != F.col("c")) & can)
         else:
