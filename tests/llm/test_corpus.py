@@ -299,6 +299,17 @@ def test_mix_meets_its_targets(spark):
         assert taken[s] == pytest.approx(target[s], rel=0.02, abs=5)
 
 
+def test_small_sources_meet_their_targets(spark):
+    rows = [(k, "w " * 30_000, "big") for k in range(200)] + [(1000 + k, "a b", "tiny") for k in range(3)] + [(2000, "c d e", None)]
+    got = op5_mixing.mixed(frame(spark, rows)).collect()
+    taken, target = Counter(), {r.source: r.target for r in got}
+    for r in got:
+        taken[r.source] += r.taken
+    assert target["tiny"] == 18 and target[None] == 9 and taken == {s: round(t) for s, t in target.items()}
+    times = Counter(r.doc_id for r in op5_mixing.remixed(frame(spark, rows)).filter("doc_id >= 1000").collect())
+    assert times == {1000: 3, 1001: 3, 1002: 3, 2000: 3}
+
+
 def test_targets_by_resharing(spark):
     sizes = [("a", 10), ("b", 1000), ("c", 5), ("d", 3000), (None, 400), ("e", 0)]
     got = {r.source: r.target for r in op5_mixing.targets(spark.createDataFrame(sizes, "source string, source_size bigint")).collect()}

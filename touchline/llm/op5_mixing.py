@@ -13,6 +13,11 @@ words in shuffled order are numbered by sums over hash ranges, then within each
 range, so a hot source is spread over many tasks. Reruns agree: order is by md5 of
 the id. Sources have one row each in small tables.
 
+Blocks grow with the corpus, so a source of few blocks misses its target. mixed()
+therefore finishes every source exactly by default: it takes its target, rounded to
+a whole word, from the source's words in the same shuffled order, around and around.
+Only the registered query keeps to whole slots, because its SQL does.
+
 Defined results: null text has size 0; a null source is one more source, last by
 code point; documents of size 0 take 0; repeated rows are documents of their own;
 an empty table gives an empty result; further columns are ignored.
@@ -101,11 +106,8 @@ def numbered(rows: DataFrame) -> DataFrame:
     return rows.join(sums, ["sid", "range"]).withColumn("at", F.col("base") + F.col("inner")).drop("h", "range", "base", "inner")
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, slots: int = SLOTS) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col).cast("string")).alias("size"))
-    rows = staged(rows.withColumn("row_id", F.monotonically_increasing_id()), "sizes")
-    plan = staged(stretches(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most), slots), "targets")
+def by_slots(placed: DataFrame, plan: DataFrame, most: int, slots: int) -> DataFrame:
+    """placed with `taken` by the whole blocks that the schedule takes."""
     uses = schedule(plan, most).groupBy("sid", "number").agg(F.count("*").alias("uses"))
     blocks = plan.filter("blocks > 0").select("sid", F.col("block").alias("width"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks"))).alias("number"))
     before = Window.partitionBy("sid").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
@@ -113,8 +115,6 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     blocks = staged(blocks.withColumn("sum", F.coalesce(F.sum(F.col("uses") * F.col("width")).over(before), F.lit(0))).select("sid", "number", "uses", "sum"), "blocks")
     # At most SLOTS blocks and two for each source: small by the parameter.
     held = checked(blocks, 2 * slots)
-    rows = rows.join(checked(plan.select("source", "sid", "source_size", "target", "block")), rows["source"].eqNullSafe(plan["source"])).drop(plan["source"])
-    placed = numbered(rows)
 
     def until(place: Column, name: str, frame: DataFrame) -> DataFrame:
         frame = frame.withColumn("number", F.floor(place / F.col("block")).cast("long"))
@@ -123,11 +123,30 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
 
     placed = until(F.col("at"), "low", placed)
     placed = until(F.col("at") + F.col("size"), "high", placed)
-    return placed.select("doc_id", "source", "size", "source_size", "target", (F.col("high") - F.col("low")).cast("long").alias("taken"))
+    return placed.withColumn("taken", (F.col("high") - F.col("low")).cast("long"))
+
+
+def by_words(placed: DataFrame) -> DataFrame:
+    """placed with `taken` so that each source's words taken are its target, rounded."""
+    size, goal = F.greatest("source_size", F.lit(1)), F.round("target").cast("long")
+    placed = placed.withColumn("rest", goal % size).withColumn("rounds", ((goal - F.col("rest")) / size).cast("long"))
+    again = F.least(F.col("at") + F.col("size"), F.col("rest")) - F.least("at", "rest")
+    return placed.withColumn("taken", (F.col("rounds") * F.col("size") + again).cast("long"))
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, slots: int = SLOTS, exact: bool = True) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken. exact: every source's target to the word; else by whole slots."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col).cast("string")).alias("size"))
+    rows = staged(rows.withColumn("row_id", F.monotonically_increasing_id()), "sizes")
+    plan = staged(stretches(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most), slots), "targets")
+    rows = rows.join(checked(plan.select("source", "sid", "source_size", "target", "block")), rows["source"].eqNullSafe(plan["source"])).drop(plan["source"])
+    placed = numbered(rows)
+    placed = by_words(placed) if exact else by_slots(placed, plan, most, slots)
+    return placed.select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixed(table(spark, sf_dir, "documents"), exact=False).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def remixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
