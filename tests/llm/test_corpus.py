@@ -160,6 +160,35 @@ def test_chain_marginals_equal_enumeration():
     assert p == pytest.approx(want_p) and expected == pytest.approx(want_e) and logz == pytest.approx(want_z)
 
 
+def test_scores_keep_the_class_shares_of_a_sample(spark):
+    rng = random.Random(12)
+    words = ["plain", "river", "stone", "CLICK", "NOW!!", "$$$", "so", "on"]
+    def text(good):
+        return "\n".join(" ".join(rng.choice(words[:3] * (3 if good else 2) + words[3:]) for _ in range(6)) for _ in range(rng.randint(1, 4)))
+
+    rows = [(k, text(k % 9 > 0)) for k in range(1800)]
+    docs = frame(spark, rows)
+    labels = spark.createDataFrame([(k, int(k % 9 > 0)) for k in range(1800)], "doc_id bigint, quality int")
+
+    def mean(per_class):
+        model = op10_quality_classifier.train(docs, labels, per_class=per_class)
+        return docs.select(op10_quality_classifier.scorer(spark, model)("text").alias("s")).agg(F.avg("s")).head()[0]
+
+    whole, cut = mean(4000), mean(150)
+    assert abs(whole - 8 / 9) < 0.05 and abs(whole - cut) < 0.05
+
+
+def test_weights_count_as_copies():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(9, op10_quality_classifier.OWN)).astype(np.float32)
+    row, label, weight = np.array([0, 0, 0, 1, 1, 2, 2, 2, 3]), np.array([1, 0, 1, 0]), np.array([1.0, 3.0, 2.0, 1.0])
+    copies = np.repeat(np.arange(4), weight.astype(int))
+    a = op10_quality_classifier.fit(label, weight, row, x)
+    b = op10_quality_classifier.fit(label[copies], np.ones(len(copies)), np.repeat(np.arange(len(copies)), np.bincount(row)[copies]), np.concatenate([x[row == c] for c in copies]))
+    for k in a:
+        assert a[k] == pytest.approx(b[k], rel=1e-3, abs=1e-3)
+
+
 # ---------------------------------------------------------------- op2
 
 def test_ids_equal_the_library(spark):

@@ -3,7 +3,9 @@
 Every line with a word is a position of the chain with two states, bad and good.
 Its features are figures of the line and of both neighbours; two-by-two transition
 weights tie neighbours together. The chain is trained by conditional likelihood on
-a bounded sample of labelled documents, whose lines all carry the document's label.
+a bounded sample of labelled documents, whose lines all carry the document's label;
+a document of the sample counts as often as its class has rows for each row kept, so
+that scores mean the same with and without sampling.
 A document's score is the mean of its lines' forward-backward marginals of `good`,
 weighed by the lines' characters.
 
@@ -85,7 +87,7 @@ class Chains:
 
     def __init__(self, row: np.ndarray):
         self.ids, first, length = np.unique(row, return_index=True, return_counts=True)
-        order = np.argsort(-length, kind="stable")
+        self.order = order = np.argsort(-length, kind="stable")
         self.first, self.length = first[order], length[order]
         self.steps = int(self.length[0]) if len(order) else 0
         self.active = np.searchsorted(-self.length, -np.arange(1, self.steps + 1), "right")
@@ -94,10 +96,11 @@ class Chains:
         return self.first[: self.active[t]] + t
 
 
-def forward_backward(chains: Chains, node: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+def forward_backward(chains: Chains, node: np.ndarray, pair: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, float]:
     """Marginals of state 1, expected transitions (2x2 summed), log of the normaliser summed.
 
-    node: log weight of state 1 against state 0 at each position; pair: log weights of transitions.
+    node: log weight of state 1 against state 0 at each position; pair: log weights of transitions;
+    weight: how often the transitions of each chain (by its number) count, once if not given.
     """
     size = len(node)
     top = np.maximum(node, 0)
@@ -111,29 +114,33 @@ def forward_backward(chains: Chains, node: np.ndarray, pair: np.ndarray) -> tupl
         scale[at] = s
         a[at] = now / s[:, None]
     expected = np.zeros((2, 2))
+    heavy = None if weight is None else weight[chains.ids[chains.order]][:, None]
     for t in range(chains.steps - 2, -1, -1):
         at = chains.at(t + 1)  # those with a next position
         out = psi[at] * beta[at] / scale[at][:, None]
         beta[at - 1] = out @ move.T
-        expected += move * (a[at - 1].T @ out)
+        before = a[at - 1] if weight is None else a[at - 1] * heavy[: len(at)]
+        expected += move * (before.T @ out)
     moves = size - len(chains.first)
     return a[:, 1] * beta[:, 1], expected, float(np.log(scale).sum() + top.sum() + moves * pair.max())
 
 
 def fit(label: np.ndarray, weight: np.ndarray, row: np.ndarray, x: np.ndarray, steps: int = 120, l2: float = 1e-3) -> dict:
-    """label and weight by chain; row: chain of each line; x: own features of each line."""
-    mean, spread = x.mean(axis=0), x.std(axis=0) + 1e-6
+    """label and weight by chain; row: chain of each line; x: own features of each line. A chain counts as `weight` equal ones."""
+    each = weight[row].astype(float)
+    mean = (each @ x) / each.sum()
+    spread = np.sqrt((each @ (x - mean) ** 2) / each.sum()) + 1e-6
     z = with_neighbours(row, (x - mean) / spread).astype(np.float64)
     y = label[row].astype(float)
     chains = Chains(row)
     w, pair = np.zeros(z.shape[1]), np.zeros((2, 2))
     moves = np.zeros((2, 2))
     same = row[1:] == row[:-1]
-    moves[1, 1], moves[0, 0] = (same & (y[1:] > 0)).sum(), (same & (y[1:] == 0)).sum()
+    moves[1, 1], moves[0, 0] = each[1:][same & (y[1:] > 0)].sum(), each[1:][same & (y[1:] == 0)].sum()
     m, v = np.zeros(z.shape[1] + 4), np.zeros(z.shape[1] + 4)
     for t in range(1, steps + 1):
-        p, expected, _ = forward_backward(chains, z @ w, pair)
-        g = np.append(z.T @ (p - y), (expected - moves).ravel()) / len(y) + l2 * np.append(w, pair.ravel())
+        p, expected, _ = forward_backward(chains, z @ w, pair, weight)
+        g = np.append(z.T @ (each * (p - y)), (expected - moves).ravel()) / each.sum() + l2 * np.append(w, pair.ravel())
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         step = 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
         w, pair = w - step[:-4], pair - step[-4:].reshape(2, 2)
