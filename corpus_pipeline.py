@@ -41,8 +41,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces with their place in a sequence."""
-    return packing.packed(docs, packing.tokenizer_path())
+    """Pieces with their token ids and their place in a sequence."""
+    return packing.packed(docs, packing.tokenizer_path(), with_ids=True)
 
 
 STAGES = [

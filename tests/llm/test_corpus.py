@@ -504,6 +504,22 @@ def test_pipeline(spark):
     assert corpus_pipeline.run(spark, DATA).count() == seen[-1]
 
 
+def test_pipeline_returns_whole_sequences(spark):
+    import corpus_pipeline
+
+    docs = documents(spark).limit(40)
+    rows = corpus_pipeline.STAGES[-1][1](spark, docs, DATA).collect()
+    by = defaultdict(list)
+    for r in rows:
+        assert len(r.ids) == r.length and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32
+        by[r.sequence_id].append((r.offset, r.ids))
+    tokens = [sum((ids for _, ids in sorted(parts)), []) for parts in by.values()]
+    assert all(0 < len(t) <= 2048 for t in tokens)
+    coder = op2_packing.encoder(op2_packing.tokenizer_path())
+    want = Counter(i for r in docs.collect() for i in [*coder.batch(pa.array([r.text or ""]))[0].tolist(), 0])
+    assert Counter(i for t in tokens for i in t) == want
+
+
 def test_pipeline_of_an_empty_table(spark):
     import corpus_pipeline
 

@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm.common import blocks, flat, staged, table
+from touchline.llm.common import blocks, checked, flat, staged, table
 
 LENGTH = 2048
 #: A bin with at most this much room left is emitted at once.
@@ -257,7 +257,8 @@ def packed(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     """One row a piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset and, if asked for, ids."""
     pieces = staged(tokenized(docs, path, id_col, text_col, length, with_ids).withColumn("item", F.monotonically_increasing_id()), "pieces")
     where = pack(pieces.select("item", F.col("length").alias("size")), length)
-    return pieces.join(where, "item").drop("item")
+    # The ids stay where they are as long as their places fit a broadcast.
+    return pieces.join(checked(where) if with_ids else where, "item").drop("item")
 
 
 def tokenizer_path() -> str:
