@@ -259,3 +259,28 @@ def test_plans_report_every_broken_rule(spark):
     df = spark.createDataFrame(rows, "plan_id int, week int, player_id int, position string, price double, team_id int, in_xi boolean")
     got = {r.rule for r in squad.plan_violations(df, 70.0, locked=(99,), excluded=(3,)).collect()}
     assert got == {"budget", "xi_FWD", "locked_99", "excluded_3"}
+
+
+def test_full_backtest_takes_every_period(spark, monkeypatch):
+    from touchline.operators import models
+    from touchline.plans import project, q_models
+
+    d, full = "/root/testdata/sf0.001", models.full_backtest
+    stats, players = project.stats(spark, d).filter("gameweek <= 8"), project.players(spark, d)
+    out, periods, _ = full(stats, players, trees=1, depth=1)
+    assert sorted(r.gameweek for r in periods.collect()) == [6, 7, 8] and out.select("gameweek").distinct().count() == 3
+    seen = []
+    monkeypatch.setattr(models, "full_backtest", lambda stats, players, *a, **b: (seen.append((stats.count(), a, b)), None))
+    monkeypatch.setattr(models, "training_frame", None)
+    q_models.b5(spark, d)
+    assert seen == [(project.stats(spark, d).count(), (), {})]
+
+
+def test_early_calibration_starts_with_enough_predictions(spark):
+    from touchline.operators import models
+
+    df = spark.createDataFrame([(k, g, 2.0 + k, 4.0 + 2 * k) for g in (6, 7, 8, 9) for k in range(3)], "player_id long, gameweek int, predicted double, points double")
+    got = {(r.player_id, r.gameweek): r.predicted for r in models.early_calibrated(df, 5).collect()}
+    assert all(got[k, g] == 2.0 + k for g in (6, 7) for k in range(3))
+    assert all(got[k, g] == pytest.approx(4.0 + 2 * k) for g in (8, 9) for k in range(3))
+    assert sorted(models.early_calibrated(df, 99).collect()) == sorted(df.collect())

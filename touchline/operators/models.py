@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.evaluation import RegressionEvaluator
@@ -141,19 +144,46 @@ def score(models: Components, frame: DataFrame) -> DataFrame:
     return scoring.expected_points(df)
 
 
-def full_backtest(stats: DataFrame, players: DataFrame, test_periods: Sequence[int], checkpoint: str | None = None, trees: int = 20, depth: int = 4) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(predictions, metrics by period, overall metrics with calibration). Features are computed once; each fold trains on earlier periods, and its predictions are written where a checkpoint folder is known."""
+def early_calibrated(out: DataFrame, least: int) -> DataFrame:
+    """out with `predicted` calibrated in every period from the first that has `least` predictions before it; the calibration is fitted once, on those earlier ones."""
+    before, start = 0, None
+    for row in sorted(out.groupBy("gameweek").count().collect()):
+        if before >= least:
+            start = row["gameweek"]
+            break
+        before += row["count"]
+    fitted = None if start is None else scoring.fit_calibration(out.filter(F.col("gameweek") < start)).head()
+    if fitted is None:
+        return out
+    later = F.greatest(F.lit(0.0), F.col("predicted") * fitted["scale"] + fitted["offset"])
+    return out.withColumn("predicted", F.when(F.col("gameweek") >= start, later).otherwise(F.col("predicted")))
+
+
+def full_backtest(stats: DataFrame, players: DataFrame, test_periods: Sequence[int] | None = None, checkpoint: str | None = None, trees: int = 20, depth: int = 4, min_train: int = 5, parallelism: int = 4) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(predictions, metrics by period, overall metrics with the final calibration). Periods: those asked for, or all, that have min_train earlier periods.
+
+    Features are computed once; each fold trains on earlier periods, `parallelism` folds side by side, and its predictions are written where a checkpoint folder is known.
+    Predictions are calibrated early once there are max(5, a third of the periods) of them.
+    """
     spark = stats.sparkSession
     base = checkpoint or spark.conf.get("spark.checkpoint.dir", None)
     frame = training_frame(stats, players).persist()
-    out = None
-    for period in test_periods:
+    known = sorted(row["gameweek"] for row in frame.select("gameweek").distinct().collect())
+    asked = known if test_periods is None else sorted(test_periods)
+    ready = [p for p in asked if sum(q < p for q in known) >= min_train]
+
+    def fold(period: int) -> DataFrame:
         models = train_components(frame.filter(F.col("gameweek") < period), trees, depth)
-        fold = score(models, frame.filter(F.col("gameweek") == period)).select("player_id", "gameweek", F.col("xp").alias("predicted"), F.col("total_points").cast("double").alias("points"))
+        made = score(models, frame.filter(F.col("gameweek") == period)).select("player_id", "gameweek", F.col("xp").alias("predicted"), F.col("total_points").cast("double").alias("points"))
         if base:
             path = f"{base}/fold-{uuid.uuid4().hex}"
-            fold.write.parquet(path)
-            fold = spark.read.schema(fold.schema).parquet(path)
-        out = fold if out is None else out.unionByName(fold)
+            made.write.parquet(path)
+            made = spark.read.schema(made.schema).parquet(path)
+        return made
+
+    with ThreadPoolExecutor(parallelism) as pool:
+        folds = list(pool.map(inheritable_thread_target(spark)(fold), ready))
+    none = frame.filter("false").select("player_id", "gameweek", F.lit(0.0).alias("predicted"), F.col("total_points").cast("double").alias("points"))
+    out = early_calibrated(reduce(DataFrame.unionByName, folds, none), max(5, len(asked) // 3))
     calibration = scoring.fit_calibration(out)
     return out, period_metrics(out), overall_metrics(out).join(F.broadcast(calibration.select("scale", "offset", "rmse_after")))

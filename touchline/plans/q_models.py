@@ -54,4 +54,4 @@ def p11(spark, d):
 
 @query("p16_b5_full_backtest")
 def b5(spark, d):
-    return models.full_backtest(P.stats(spark, d), P.players(spark, d), [29, 30], trees=5, depth=3)[1]
+    return models.full_backtest(P.stats(spark, d), P.players(spark, d))[1]
