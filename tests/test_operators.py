@@ -237,6 +237,27 @@ def test_blocked_matches_find_what_exact_ones_find(spark):
     assert {(r.target_id, r.cand_id) for r in resolve.best_matches(a, b, 75).collect()} == want
 
 
+@pytest.mark.parametrize("scorer", sorted(resolve.SCORERS))
+@pytest.mark.parametrize("threshold", [75, 80, 85])
+def test_no_pair_over_the_threshold_is_lost(spark, scorer, threshold):
+    base = ["pjanic", "bo ek", "ann", "jo", "carl von essen", "a b", "anna anna lind", "fernandes bruno miguel"]
+    wrong = sorted({n[:i] + x + n[i + k :] for n in base for i in range(len(n)) for k, x in ((1, "q"), (1, ""), (0, "b"))} | {"essen carl von", "lind anna", "x carlvon", "qarl bon eszen"})
+    a = spark.createDataFrame(list(enumerate(base)), "id int, name string")
+    b = spark.createDataFrame(list(enumerate(wrong)), "id int, name string")
+    pairs = lambda exact: {(r.target_id, r.cand_id) for r in resolve.best_matches(a, b, threshold, 10_000, scorer, exact).collect()}
+    want = pairs(True)
+    assert len(want) > 50 and pairs(False) == want
+
+
+def test_errors_in_the_first_letters_are_matched(spark):
+    a = spark.createDataFrame([(1, "Pjanic"), (2, "Karl Ek")], "id long, name string")
+    b = spark.createDataFrame([(11, "Bjanic", "a"), (12, "Carl Ec", "b")], "id long, name string, source string")
+    assert {r.target_id: r.cand_id for r in resolve.fuzzy_match(a, b, 0.7).collect()} == {1: 11, 2: 12}
+    assert {r.target_id: r.cand_id for r in resolve.fuzzy_match(a, b, 0.8).collect()} == {1: 11}
+    m = spark.createDataFrame([(1, "Pjanic", 11, None, "x", None)], ingest.ID_MAP)
+    assert one(resolve.resolve(spark.createDataFrame([(7, "Bjanic")], "id bigint, name string"), m)).map_id == 1
+
+
 def test_reports_are_written(spark, tmp_path):
     upsert.write_report(spark.createDataFrame([(1, 2.5)], "gameweek int, rmse double"), str(tmp_path / "r"))
     assert one(spark.read.json(str(tmp_path / "r"))).rmse == 2.5

@@ -1,4 +1,4 @@
-"""Entity resolution: exact cascades by equi-joins, fuzzy scores over blocked candidate pairs, mappings."""
+"""Entity resolution: exact cascades by equi-joins, fuzzy scores over all candidate pairs that can reach the threshold, mappings."""
 
 from __future__ import annotations
 
@@ -48,18 +48,60 @@ def block_keys(name: Column) -> Column:
     return F.array_distinct(F.filter(F.concat(F.split(k, " "), F.array(F.concat(F.lit("^"), F.substring(F.replace(k, F.lit(" "), F.lit("")), 1, 3)))), lambda w: F.length(w) > 1))
 
 
-def candidate_pairs(targets: DataFrame, candidates: DataFrame, exact: bool = False, max_block: int | None = None) -> DataFrame:
-    """target_id, target, cand_id, cand. Pairs that share a block key; exact compares all, for a small candidate table. max_block leaves out keys of more candidates, which costs recall; none by default."""
+def gram_keys(clean: Column) -> Column:
+    """k, v, n of a name: its words (v "w"); the pairs of characters, numbered where they recur, of the name, of its sorted words and of its sorted distinct words (v "p", "s", "z"; n is that text's length); its characters (v "c"; n is the length of "z")."""
+
+    def numbered(parts: list[str], v: str, n: int) -> list[tuple[str, str, int]]:
+        seen: dict[str, int] = {}
+        out = []
+        for x in parts:
+            seen[x] = seen.get(x, 0) + 1
+            out.append((f"{v}{x}#{seen[x]}", v, n))
+        return out
+
+    @F.pandas_udf("array<struct<k:string,v:string,n:int>>")
+    def keys(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for names in batches:
+            held = []
+            for a in names:
+                words = sorted(a.split())
+                sets = " ".join(sorted(set(words)))
+                out = [(f"w{w}", "w", 0) for w in set(words)] + numbered(list(a), "c", len(sets))
+                for v, text in (("p", a), ("s", " ".join(words)), ("z", sets)):
+                    out += numbered([text[i : i + 2] for i in range(len(text) - 1)], v, len(text))
+                held.append([dict(zip("kvn", x)) for x in out])
+            yield pd.Series(held)
+
+    return keys(clean)
+
+
+def candidate_pairs(targets: DataFrame, candidates: DataFrame, exact: bool = False, max_block: int | None = None, threshold: float = 75.0) -> DataFrame:
+    """target_id, target, cand_id, cand: every pair that any scorer can put at or over the threshold, by equi-joins on words and pairs of characters.
+
+    A common subsequence of L characters in texts of S together has at most S - 2L gaps, so the texts share 3L - 1 - S pairs of characters. A score t (0 to 1) needs
+    2L >= tS, and S >= 2n / (2 - t) where n is the shorter text (a stretch of the longer one counts in partial scores): fewer shared pairs rule a pair of names out.
+    Names so short that this may be 0 meet all that share n * t / (2 - t) characters. For t up to 2/3 this excludes nothing, so all pairs are compared, as with exact.
+    max_block leaves out keys of more candidates, which costs recall; none by default.
+    """
     t = targets.select(F.col("id").alias("target_id"), F.col("name").alias("target"))
     c = candidates.select(F.col("id").alias("cand_id"), F.col("name").alias("cand"))
-    if exact:
+    share = threshold / 100
+    if exact or share <= 0.67:
         return t.join(F.broadcast(c.limit(100_001)) if c.limit(100_001).count() <= 100_000 else c, F.length("cand") > 0)
-    tk = t.select("target_id", "target", F.explode(block_keys(F.col("target"))).alias("_k"))
-    ck = c.select("cand_id", "cand", F.explode(block_keys(F.col("cand"))).alias("_k"))
+    clean = lambda name: F.coalesce(F.trim(F.lower(F.col(name))), F.lit(""))
+    tk = t.select("target_id", "target", F.inline(gram_keys(clean("target")))).withColumnRenamed("n", "tn")
+    ck = c.filter(F.length("cand") > 0).select("cand_id", "cand", F.inline(gram_keys(clean("cand"))))
     if max_block:
-        few = ck.groupBy("_k").agg(F.count("*").alias("n")).filter(F.col("n") <= max_block).select("_k")
-        ck = ck.join(few, "_k", "left_semi")
-    return tk.join(ck, "_k").select("target_id", "target", "cand_id", "cand").distinct()
+        few = ck.groupBy("k").agg(F.count("*").alias("_many")).filter(F.col("_many") <= max_block).select("k")
+        ck = ck.join(few, "k", "left_semi")
+    short = int((2 - share) / (2 * (1.5 * share - 1)) + 1e-9)
+    both = ["target_id", "target", "cand_id", "cand"]
+    # Characters (v "c") only where one of the names is short.
+    near = lambda mine, theirs: mine.join(theirs.drop("v"), "k").select(*both, "v", F.least("tn", "n").alias("n"))
+    by_char = lambda df: df.filter("v = 'c'")
+    hits = near(tk.filter("v <> 'c'"), ck.filter("v <> 'c'")).unionByName(near(by_char(tk).filter(F.col("tn") <= short), by_char(ck))).unionByName(near(by_char(tk).filter(F.col("tn") > short), by_char(ck).filter(F.col("n") <= short)))
+    least = F.when(F.col("v") == "w", 1.0).when(F.col("v") == "c", F.col("n") * share / (2 - share)).otherwise(F.col("n") * 2 / (2 - share) * (1.5 * share - 1) - 1)
+    return hits.groupBy(*both, "v", "n").count().filter(F.col("count") >= least - 1e-6).select(*both).distinct()
 
 
 def scored(pairs: DataFrame, scorer: str = "weighted", normalise: bool = True) -> DataFrame:
@@ -77,7 +119,7 @@ def scored(pairs: DataFrame, scorer: str = "weighted", normalise: bool = True) -
 
 def best_matches(targets: DataFrame, candidates: DataFrame, threshold: float = 80.0, k: int = 1, scorer: str = "weighted", exact: bool = False) -> DataFrame:
     """The k best candidates of each target at or over the threshold."""
-    s = scored(candidate_pairs(targets, candidates, exact), scorer).filter(F.col("score") >= threshold)
+    s = scored(candidate_pairs(targets, candidates, exact, threshold=threshold), scorer).filter(F.col("score") >= threshold)
     w = Window.partitionBy("target_id").orderBy(F.col("score").desc(), "cand", "cand_id")
     return s.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
@@ -107,7 +149,7 @@ def resolve(names: DataFrame, id_map: DataFrame, high: float = 0.85, low: float
         part = m.filter(F.col(source).isNotNull()).select(F.col("_row").alias("id"), F.col(source).alias("name"), F.lit(source).alias("source"))
         every = part if every is None else every.unionByName(part)
     every = every.withColumn("cand_key", F.concat_ws(":", "source", F.col("id").cast("string")))
-    got = scored(candidate_pairs(rest.select("id", name_key("name").alias("name")), every.select(F.col("cand_key").alias("id"), name_key("name").alias("name")))).filter(F.col("score") >= low * 100)
+    got = scored(candidate_pairs(rest.select("id", name_key("name").alias("name")), every.select(F.col("cand_key").alias("id"), name_key("name").alias("name")), threshold=low * 100)).filter(F.col("score") >= low * 100)
     got = got.join(every.select(F.col("cand_key").alias("cand_id"), F.col("id").alias("_row"), "source"), "cand_id")
     source_hit = (F.col("source") != "name") & (F.col("score") >= high * 100)
     best = got.groupBy("target_id").agg(F.max_by(F.struct(source_hit.alias("hit"), "score", "_row"), F.struct(source_hit.cast("int"), "score", -F.col("_row"))).alias("b"))
