@@ -482,6 +482,13 @@ def test_common_lines_deplete_documents(spark):
     assert not any(got[k] for k in range(30)) and all(got[100 + k] for k in range(30)) and got[200] and all(got[300 + k] for k in range(40))
 
 
+def test_planted_lines_count_the_same_on_large_hosts(spark):
+    line = " ".join(f"p{k}" for k in range(60))
+    rows = [(h * 100_000 + k, f"{line}\nown {h} {k}" if k < 25 else f"only {h} {k}", f"h{h}") for h, size in ((0, 30), (1, 6000)) for k in range(size)]
+    got = {r.doc_id: r.removed_chars for r in op9_quality_rules.quality_rules(frame(spark, rows)).collect()}
+    assert all(got[k] == got[100_000 + k] > 0 for k in range(25))
+
+
 # ---------------------------------------------------------------- pipeline
 
 def test_pipeline(spark):
