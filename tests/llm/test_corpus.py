@@ -400,18 +400,60 @@ def test_components_by_brute_force(spark):
     assert got == similar_components(rows)
 
 
-@pytest.mark.parametrize("stars", [0, 3])
-def test_components_do_not_depend_on_the_stars(spark, stars):
+def test_group_of_altered_copies(spark):
+    """Copies of one text with up to 27 % shingles of their own, some altered alike, some cut or prolonged."""
     rng = random.Random(10)
-    base = [f"w{rng.randint(0, 500)}" for _ in range(120)]
+    base = [f"w{rng.randint(0, 500)}" for _ in range(150)]
     rows = []
-    for k in range(60):
+    for k in range(300):
         w = list(base)
-        for i in rng.sample(range(120), rng.choice([0, 1, 2, 3, 4])):
-            w[i] = f"x{k}-{i}"
+        for i in rng.sample(range(150), rng.randint(0, 8)):
+            w[i] = f"x{rng.randint(0, 2) if k % 3 else k}"
+        if k % 7 == 0:
+            w = w[: rng.randint(110, 150)] + [f"y{k}"] * rng.randint(0, 20)
         rows.append((k, " ".join(w)))
-    got = {r.doc_id: r.component_id for r in op6_ngram_join.join_components(frame(spark, rows), stars=stars).collect()}
-    assert got == similar_components(rows)
+    got = {r.doc_id: r.component_id for r in op6_ngram_join.join_components(frame(spark, rows)).collect()}
+    want = similar_components(rows)
+    assert got == want and len(set(want.values())) > 20
+
+
+def test_ids_with_several_texts_are_one_node(spark):
+    rng = random.Random(13)
+    rows = []
+    for k in range(60):
+        base = [f"w{rng.randint(0, 300)}" for _ in range(rng.randint(30, 90))]
+        for _ in range(3):
+            w = list(base)
+            for i in rng.sample(range(len(w)), rng.randint(0, 3)):
+                w[i] = f"x{rng.randint(0, 9)}"
+            rows.append((rng.randint(0, 70), " ".join(w)))
+    rows += rows[:20] + [(None, rows[5][1])]
+    got = {(r.doc_id, r.component_id) for r in op6_ngram_join.join_components(frame(spark, rows)).filter("doc_id is not null").collect()}
+    ids = {k: k for k, _ in rows if k is not None}
+    texts = defaultdict(list)
+    for n, (k, text) in enumerate(rows):
+        texts[k].append((n, text))
+    one = similar_components([(n, text) for n, (k, text) in enumerate(rows) if k is not None])
+    for _ in ids:  # spread the least id over texts of one group and texts of one id
+        least = defaultdict(lambda: 10**9)
+        for n, (k, _) in enumerate(rows):
+            if k is not None:
+                least[one[n]] = min(least[one[n]], ids[k])
+        now = {k: min(least[one[n]] for n, _ in own) for k, own in texts.items() if k is not None}
+        if now == ids:
+            break
+        ids = now
+    assert got == set(ids.items())
+
+
+def test_later_prefixes_of_similar_sets_share_a_token():
+    rng = np.random.default_rng(5)
+    for n in (1, 4, 10, 60):
+        a = rng.integers(0, 2**63, n, dtype=np.uint64)
+        b = np.unique(np.concatenate([a[: n - n // 10], rng.integers(0, 2**63, n // 10, dtype=np.uint64)]))
+        assert op6_ngram_join.similar(np.unique(a).tobytes(), b.tobytes())
+        for order in op6_ngram_join._ORDERS:
+            assert set(op6_ngram_join.later_prefix(np.unique(a), order).tolist()) & set(op6_ngram_join.later_prefix(b, order).tolist())
 
 
 def test_chains_of_links_are_one_component(spark):

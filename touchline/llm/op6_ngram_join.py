@@ -3,31 +3,37 @@
 Multiple-global-order prefix filtering. If a set of n shingles shares t*n or more
 with another, then of its first n - ceil(t*n) + l shingles under any global order
 it shares l or more with the other's (l: a tenth of the smaller set, 1 at least).
-Order 1 gives the candidates: shingles are ordered by a hash of their anchor (the
-lesser hash of a shingle without its last or first word), so that neighbouring
-shingles come together, and a document emits each anchor of its prefix once, with
-the number of its shingles there. Anchors of one class only are dropped after a
-count; documents whose shared anchors do not hold l shingles are dropped next, which
-rids the join of documents that merely have a common passage. Order 2 puts rare
-shingles first: it is made for the documents that order 1 leaves open, from counts of
-all their shingles, and drops those of which less than t*n is shared with anyone.
-Orders 3 and 4 (other hashes of the shingles) and the sizes must agree too before two
-sets are compared.
-
-Texts with equal sets are one class and emit once. Under each anchor of order 1 a
-class is first paired with one class only (a star, so hot anchors give as many pairs
-as rows), the one that shares most of its shingles with others; most groups come
-together that way. Under order 2 (one shared shingle suffices) further stars follow for
-classes that are still in different components, and last, all such pairs under a prefix
-that can still be similar: u shingles that no other document has leave n - u to share,
-and a pair whose sizes need more is never made.
+
+* Order 1 gives the candidates: shingles are ordered by a hash of their anchor (the
+  lesser hash of a shingle without its last or first word), so that neighbouring
+  shingles come together, and a set emits each anchor of its prefix once, with the
+  number of its shingles there. Anchors of one set only are dropped after a count, then
+  sets whose shared anchors do not hold l shingles.
+* Order 2 puts rare anchors first. It is made for the sets that order 1 leaves open,
+  from counts of all their anchors, and drops those of which less than t*n can be
+  shared with anyone. Each row keeps its place: a pair whose first common anchor stands
+  at places i and j shares min(n - i, m - j) at most, which must reach what its sizes
+  need. Anchors that are late in a set can therefore meet smaller sets only, and
+  rows are joined by anchor and band of sizes. What is still open then is ordered once
+  more by single shingles in place of anchors.
+* Orders 3 and 4 (other hashes of the shingles): narrow prefixes, which must both have a
+  common token, are joined to the candidate pairs first; only sets of pairs that pass
+  all orders are moved and compared.
+
+Texts with equal sets are one class and emit once. Under each anchor a class is first
+paired with one class only (a star, so hot anchors give as many pairs as rows), the
+most central one, whose shingles are in most other sets; most groups come together
+that way, under order 1 and then under order 2. Last come all pairs under order 2 that can
+still be similar and of which one at least is outside the component of the anchor's
+pivot.
 
 A document's links end in components: component_id is the smallest doc_id reachable.
 
 Defined results: null texts and texts without words have no shingles and stand
 alone; texts of fewer words than a shingle are one shingle; rows that share a
-doc_id are one node; an empty table gives an empty result; further columns are
-ignored.
+doc_id are one node, whatever their texts; rows without a doc_id link nothing, but get
+the component of an equal set; an empty table gives an empty result; further columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -45,8 +51,8 @@ from touchline.llm.common import Words, blocks, checked, flat, fold_ascii, grams
 WORDS = 5
 #: Similarity in hundredths.
 LEAST = 80
-#: Stars under order 2 before all pairs that are left.
-STARS = 2
+#: Sizes of a band differ by this factor at most.
+BAND = 1.05
 _SHORT = np.uint64(0xA0761D6478BD642F)
 _ORDERS = [np.uint64(0x589965CC75374CC3), np.uint64(0x1D8E4E27C47D124F)]
 
@@ -85,8 +91,8 @@ def shingles(b: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> Iterator
             yield np.zeros(0, np.uint64), np.zeros(0, np.uint64)
 
 
-def _signed(x: np.ndarray) -> pa.Array:
-    return pa.array(x.view(np.int64))
+def _digest(own: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None
 
 
 def prefixes(docs: DataFrame, words: int = WORDS, least: int = LEAST) -> DataFrame:
@@ -99,53 +105,87 @@ def prefixes(docs: DataFrame, words: int = WORDS, least: int = LEAST) -> DataFra
                 n, digest, held, count = [], [], [], []
                 for own, anchor in shingles(b[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words):
                     n.append(len(own))
-                    digest.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None)
+                    digest.append(_digest(own))
                     u, c = np.unique(anchor[: prefix_length(len(own), least, shared_least(len(own)))] if len(own) else anchor, return_counts=True)
                     held.append(u)
                     count.append(c)
-                cut = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in held])]).astype(np.int32))
-                cols = [batch.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.ListArray.from_arrays(cut, _signed(np.concatenate(held))), pa.ListArray.from_arrays(cut, pa.array(np.concatenate(count).astype(np.int32)))]
+                cols = [batch.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), _lists(held), _lists(count)]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_shingles", "digest", "anchors", "weights"])
 
     return docs.mapInArrow(run, "doc_id bigint, n_shingles bigint, digest binary, anchors array<bigint>, weights array<int>")
 
 
-def sets_of(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id and all shingles, as bytes of 64-bit values in order 1."""
+def _lists(rows: list[np.ndarray]) -> pa.Array:
+    """A list column: 64-bit hashes as longs, counts and 32-bit tokens as ints."""
+    cut = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in rows])]).astype(np.int32))
+    flat_rows = np.concatenate(rows)
+    return pa.ListArray.from_arrays(cut, pa.array(flat_rows.view(np.int64) if flat_rows.dtype == np.uint64 else flat_rows.astype(np.int32)))
+
+
+def later_prefix(own: np.ndarray, order: np.uint64, least: int = LEAST) -> np.ndarray:
+    """32 bits of each shingle of the prefix under another order."""
+    length = prefix_length(len(own), least) if len(own) else 0
+    x = mix(own ^ order)
+    if length < len(x):
+        x = np.partition(x, length - 1)[:length]
+    return (x >> np.uint64(3)).astype(np.uint32).view(np.int32)
+
+
+def sets_of(docs: DataFrame, words: int = WORDS, least: int = LEAST) -> DataFrame:
+    """doc_id and digest; all shingles as bytes of 64-bit values in order 1; all anchors and how many shingles each has; prefixes under orders 3 and 4."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             b, offsets = flat(batch.column(1))
             for i, j in blocks(offsets):
-                own = [x.tobytes() for x, _ in shingles(b[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(own, pa.binary())], ["doc_id", "held"])
+                digest, held, anchors, weights, later = [], [], [], [], [[] for _ in _ORDERS]
+                for own, anchor in shingles(b[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words):
+                    held.append(own.tobytes())
+                    digest.append(_digest(own))
+                    u, c = np.unique(anchor, return_counts=True)
+                    anchors.append(u)
+                    weights.append(c)
+                    for rows, order in zip(later, _ORDERS):
+                        rows.append(later_prefix(own, order, least))
+                cols = [batch.column(0).slice(i, j - i), pa.array(digest, pa.binary()), pa.array(held, pa.binary()), _lists(anchors), _lists(weights), *map(_lists, later)]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "digest", "held", "anchors", "weights", "third", "fourth"])
 
-    return docs.mapInArrow(run, "doc_id bigint, held binary")
+    return docs.mapInArrow(run, "doc_id bigint, digest binary, held binary, anchors array<bigint>, weights array<int>, third array<int>, fourth array<int>")
 
 
 def similar(a: bytes, b: bytes, least: int = LEAST) -> bool:
-    """Whether two sets reach the similarity: sizes, prefixes under orders 3 and 4, then the sets."""
+    """Whether two sets reach the similarity."""
     x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
     if not len(x) or 100 * min(len(x), len(y)) < least * max(len(x), len(y)):
         return False
-    for order in _ORDERS:
-        u, v = (np.sort(mix(s ^ order))[: prefix_length(len(s), least)] for s in (x, y))
-        if not len(np.intersect1d(u, v, assume_unique=True)):
-            return False
     both = len(np.intersect1d(x, y, assume_unique=True))
     return 100 * both >= least * (len(x) + len(y) - both)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, least: int = LEAST) -> DataFrame:
-    """Those pairs (a, b) whose sets are similar."""
+    """Those pairs (a, b) that pass orders 3 and 4 and whose sets are similar. Staged."""
+    pairs = staged(pairs, "pairs")
+    if pairs.isEmpty():
+        return pairs
+
+    def both(pairs: DataFrame, *cols: str) -> DataFrame:
+        """Pairs with these columns of either set; no other set is moved."""
+        ids = staged(pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct(), "ids")
+        own = sets.select("set_id", *cols).join(checked(ids), "set_id", "left_semi")
+        for k in "ab":
+            pairs = pairs.join(own.select(F.col("set_id").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in cols]), k)
+        return pairs
+
+    narrow = both(pairs, "third", "fourth").filter(F.arrays_overlap("third_a", "third_b") & F.arrays_overlap("fourth_a", "fourth_b"))
+    agreed = staged(narrow.select("a", "b"), "agreed")
 
     @F.arrow_udf("boolean")
     def check(x: pa.Array, y: pa.Array) -> pa.Array:
-        return pa.array([similar(a, b, least) for a, b in zip(x.to_pylist(), y.to_pylist())], pa.bool_())
+        return pa.array([similar(a.as_buffer(), b.as_buffer(), least) for a, b in zip(x, y)], pa.bool_())
 
-    one = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("held").alias("x")), "a")
-    two = one.join(sets.select(F.col("doc_id").alias("b"), F.col("held").alias("y")), "b")
-    return two.filter(check("x", "y")).select("a", "b").distinct()
+    edges = staged(both(agreed, "held").filter(check("held_a", "held_b")).select("a", "b"), "edges")
+    release(pairs, agreed)
+    return edges
 
 
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
@@ -180,17 +220,20 @@ def merged(known: DataFrame | None, more: DataFrame) -> DataFrame:
 
 
 def _labelled(rows: DataFrame, known: DataFrame | None) -> DataFrame:
-    """rows (anchor, class_id, n) with the component of the class."""
+    """rows with the component of the set."""
     if known is None:
-        return rows.withColumn("component", F.col("class_id"))
-    named = known.select(F.col("node").alias("class_id"), "component")
-    return rows.join(named, "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
+        return rows.withColumn("component", F.col("set_id"))
+    named = known.select(F.col("node").alias("set_id"), "component")
+    return rows.join(named, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
 
 
-def _open(rows: DataFrame) -> DataFrame:
-    """Rows under anchors that still join more than one component."""
-    split = rows.groupBy("anchor").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("anchor")
-    return rows.join(split, "anchor")
+def _open(rows: DataFrame, turn: int) -> DataFrame:
+    """Rows under anchors that still join more than one component, with the anchor's pivot: the most central set (p, its m, j, c)."""
+    by = F.struct("central", F.xxhash64("set_id", F.lit(turn)))
+    pivot = F.max_by(F.struct("set_id", "n", "place", "component"), by).alias("p")
+    split = rows.groupBy("anchor").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), pivot).filter("lo < hi")
+    split = split.select("anchor", F.col("p.set_id").alias("p"), F.col("p.n").alias("m"), F.col("p.place").alias("j"), F.col("p.component").alias("c"))
+    return rows.select("anchor", "set_id", "n", "place", "weight", "component").join(split, "anchor")
 
 
 def _least_column(n):
@@ -198,112 +241,150 @@ def _least_column(n):
 
 
 def _repeated(rows: DataFrame) -> DataFrame:
-    """Rows whose anchor has another class too."""
-    several = staged(rows.groupBy("anchor").agg(F.count("*").alias("k")).filter("k > 1").select("anchor"), "anchors")
-    return rows.join(checked(several), "anchor")
+    """Rows whose anchor has another set too, with the number of sets."""
+    return rows.join(rows.groupBy("anchor").agg(F.count("*").alias("k")).filter("k > 1"), "anchor")
 
 
-def _supported(rows: DataFrame, least: int) -> DataFrame:
-    """Rows of classes whose shared anchors hold as many shingles as a link needs; dirt: the less they hold, the higher."""
-    need = _least_column(F.ceil(F.col("n") * least / 100))
-    classes = rows.groupBy("class_id", "n").agg(F.sum("weight").alias("held")).filter(F.col("held") >= need).select("class_id", (-F.col("held") / F.col("n")).alias("dirt"))
-    return rows.select("class_id", "n", "anchor", "weight").join(classes, "class_id")
-
-
-def candidates(found: DataFrame, classes: DataFrame, least: int = LEAST, passes: int = 2) -> DataFrame:
-    """class_id, n, anchor, weight, dirt: all that a link can need."""
-    held = found.filter(F.col("digest").isNotNull())
-    copies = held.select("doc_id", "digest").join(classes, "digest").filter(F.col("doc_id").isNull() | (F.col("doc_id") != F.col("class_id"))).select("doc_id", "digest").distinct()
-    copies = staged(copies, "copies")
-    drop = copies.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
-    one = held.join(checked(drop), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")), "left_anti")
-    rows = one.select(F.col("doc_id").alias("class_id"), F.col("n_shingles").alias("n"), F.inline(F.arrays_zip("anchors", "weights"))).select("class_id", "n", F.col("anchors").alias("anchor"), F.col("weights").alias("weight"))
+def candidates(one: DataFrame, least: int = LEAST) -> DataFrame:
+    """set_id, n, place, anchor, weight, central of one row a class: all rows of order 1 that a link can need.
+
+    A set stays if its shared anchors hold as many shingles as a link needs; central: sets that a shingle's anchor is in, on average.
+    """
+    rows = one.select("set_id", F.col("n_shingles").alias("n"), F.inline(F.arrays_zip("anchors", "weights"))).select("set_id", "n", F.col("anchors").alias("anchor"), F.col("weights").alias("weight"))
     rows = staged(_repeated(rows), "shared")
-    for _ in range(passes):
-        fewer = staged(_repeated(_supported(rows, least)), "shared")
-        release(rows)
-        rows = fewer
-    return rows
+    need = _least_column(F.ceil(F.col("n") * least / 100))
+    sets = rows.groupBy("set_id", "n").agg(F.sum("weight").alias("held"), F.sum(F.col("weight") * F.col("k")).alias("met")).filter(F.col("held") >= need).select("set_id", (F.col("met") / F.col("n")).alias("central"))
+    fewer = staged(_repeated(rows.drop("k").join(sets, "set_id")).select("set_id", "n", F.lit(0).cast("long").alias("place"), "anchor", "weight", "central"), "shared")
+    release(rows)
+    return fewer
+
 
+def anchor_rows(sets: DataFrame) -> DataFrame:
+    """set_id, n, anchor, weight of all anchors of the sets."""
+    rows = sets.select("set_id", (F.octet_length("held") / 8).cast("long").alias("n"), F.inline(F.arrays_zip("anchors", "weights")))
+    return rows.select("set_id", "n", F.col("anchors").alias("anchor"), F.col("weights").alias("weight"))
 
-def _shingle_rows(sets: DataFrame) -> DataFrame:
-    """class_id, n, anchor: a row for each shingle of each set."""
+
+def shingle_rows(sets: DataFrame) -> DataFrame:
+    """The same of single shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
-                held = [np.frombuffer(x, np.int64) for x in batch.column(1).slice(i, 256).to_pylist()]
-                size = np.array([len(x) for x in held], np.int32)
+                held = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(1).slice(i, 256)]
+                size = np.array([len(x) for x in held])
                 ids = np.repeat(batch.column(0).slice(i, 256).to_numpy(), size)
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.repeat(size, size)), pa.array(np.concatenate(held))], ["class_id", "n", "anchor"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.repeat(size, size)), pa.array(np.concatenate(held))], ["set_id", "n", "anchor"])
 
-    return sets.mapInArrow(run, "class_id bigint, n int, anchor bigint")
+    return sets.select("set_id", "held").mapInArrow(run, "set_id bigint, n bigint, anchor bigint").withColumn("weight", F.lit(1))
 
 
-def rare_first(sets: DataFrame, least: int = LEAST) -> DataFrame:
-    """class_id, n, u (shingles of its own), anchor (a shingle), weight, dirt: prefixes of the sets in the order of their shingles' counts.
+def rare_first(rows: DataFrame, least: int = LEAST) -> DataFrame:
+    """set_id, n, place, anchor, weight, central: prefixes of whole sets (set_id, n, anchor, weight) in the order of their anchors' counts.
 
-    Shingles of one set only stand before all others; they are counted, not kept.
+    Anchors of one set only stand before all others; their shingles are counted, not kept. The
+    place of an anchor is the number of the set's shingles before it.
     """
-    rows, passes = _shingle_rows(sets), []
-    for _ in range(2):
-        common = staged(rows.groupBy("anchor").agg(F.count("*").alias("k")).filter("k > 1"), "common")
-        shared = rows.join(checked(common), "anchor")
-        alive = shared.groupBy("class_id", "n").agg(F.count("*").alias("c")).filter(F.col("c") >= F.ceil(F.col("n") * least / 100)).select("class_id", "c")
-        passes.append(staged(shared.join(checked(staged(alive, "alive")), "class_id"), "rare"))
-        rows = passes[-1].select("class_id", "n", "anchor")
-    release(passes[0])
-    place = F.row_number().over(Window.partitionBy("class_id").orderBy("k", "anchor"))
-    room = F.col("c") - F.ceil(F.col("n") * least / 100) + 1
-    return passes[1].withColumn("place", place).filter(F.col("place") <= room).select("class_id", F.col("n").cast("long").alias("n"), (F.col("n") - F.col("c")).cast("long").alias("u"), "anchor", F.lit(1).alias("weight"), (1 - F.col("c") / F.col("n")).alias("dirt"))
-
-
-def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, least: int = LEAST, stars: int = STARS) -> DataFrame:
+    shared = _repeated(rows)
+    own = Window.partitionBy("set_id").orderBy("k", "anchor")
+    before = F.coalesce(F.sum("weight").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    whole = own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    held, met = F.sum("weight").over(whole), F.sum(F.col("weight") * F.col("k")).over(whole)
+    placed = shared.select("*", held.alias("c"), (met / F.col("n")).alias("central"), before.alias("before")).withColumn("place", F.col("n") - F.col("c") + F.col("before"))
+    return placed.filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * least / 100)).select("set_id", "n", "place", "anchor", "weight", "central")
+
+
+def _can(least: int):
+    """Whether sets of n and m shingles whose first common anchor has these places can share what a link needs."""
+    most = F.least(F.col("n") - F.col("place"), F.col("m") - F.col("j"))
+    return 100 * most >= least * (F.col("n") + F.col("m") - most)
+
+
+def star_pairs(left: DataFrame, shared: bool, least: int = LEAST) -> DataFrame:
+    """Pairs (a, b) of each set with the pivots of its anchors. shared: they must share a tenth of the smaller set."""
+    pairs = left.filter((F.col("component") != F.col("c")) & _can(least))
+    pairs = pairs.groupBy(F.col("p").alias("a"), F.col("set_id").alias("b"), "m", "n").agg(F.sum("weight").alias("held"))
+    return pairs.filter(F.col("held") >= (_least_column(F.least("m", "n")) if shared else 1)).select("a", "b")
+
+
+def _band(n):
+    return F.floor(F.log(n.cast("double")) / float(np.log(BAND)))
+
+
+def rest_pairs(left: DataFrame, least: int = LEAST) -> DataFrame:
+    """All pairs (a, b) of different components that can be similar; of each, one at least is outside the component of the anchor's pivot."""
+    t = least / 100
+    low = F.greatest(F.floor(F.col("n") * t), F.lit(1))
+    high = F.ceil((F.col("n") - F.col("place")) * (1 + t) / t - F.col("n"))
+    outside = left.filter((F.col("component") != F.col("c")) & (high >= low))
+    outside = outside.select("anchor", F.col("set_id").alias("a"), "n", "place", F.col("component").alias("own"), F.explode(F.sequence(_band(low), _band(high))).alias("band"))
+    every = left.select("anchor", F.col("set_id").alias("b"), F.col("n").alias("m"), F.col("place").alias("j"), "component", (F.col("component") == F.col("c")).alias("inside"), _band(F.col("n")).alias("band"))
+    pairs = outside.join(every, ["anchor", "band"]).filter((F.col("own") != F.col("component")) & (F.col("inside") | (F.col("a") < F.col("b"))) & _can(least))
+    return pairs.select("a", "b").distinct()
+
+
+def id_links(held: DataFrame, classes: DataFrame) -> DataFrame | None:
+    """Components of sets that rows with one doc_id have."""
+    digest = F.xxhash64("digest")
+    several = staged(held.groupBy("doc_id").agg(F.min(digest).alias("lo"), F.max(digest).alias("hi")).filter("lo < hi").select("doc_id"), "several")
+    if several.isEmpty():
+        return None
+    own = staged(held.join(checked(several), "doc_id").join(classes.select("digest", F.col("kept").alias("b")), "digest").select("doc_id", "b").distinct(), "own")
+    return components(own.join(own.groupBy("doc_id").agg(F.min("b").alias("a")), "doc_id").filter("a <> b").select("a", "b"))
+
+
+def chosen_sets(texts: DataFrame, wanted: DataFrame, classes: DataFrame, words: int, least: int) -> DataFrame:
+    """The sets of these set_ids, each once, made from a text with the class's least doc_id and its digest."""
+    chosen = staged(classes.join(checked(wanted), F.col("kept") == F.col("set_id"), "left_semi").select(F.col("kept").alias("set_id"), F.col("least_id").alias("doc_id"), "digest"), "chosen")
+    ids = checked(chosen.select("doc_id").distinct())
+    sets = sets_of(texts.join(ids, "doc_id", "left_semi"), words, least).join(checked(chosen), ["doc_id", "digest"]).drop("doc_id", "digest")
+    sets = staged(sets.withColumn("row_id", F.monotonically_increasing_id()), "sets")
+    twice = sets.groupBy("set_id").agg(F.min("row_id").alias("first"), F.count("*").alias("k")).filter("k > 1")
+    more = staged(sets.select("set_id", "row_id").join(twice, "set_id").filter("row_id <> first").select("row_id"), "twice")
+    if more.isEmpty():
+        return sets
+    return staged(sets.join(checked(more), "row_id", "left_anti"), "sets")
+
+
+def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, least: int = LEAST) -> DataFrame:
     """doc_id, n_shingles, component_id."""
     if words < 2:
         raise ValueError("shingles need two words at least")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    found = staged(prefixes(texts, words, least), "prefixes")
-    classes = staged(found.filter(F.col("digest").isNotNull() & F.col("doc_id").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("class_id")), "classes")
-    rows = candidates(found, classes, least)
-    wanted = staged(rows.select(F.col("class_id").alias("doc_id")).distinct(), "wanted")
-    sets = staged(sets_of(texts.join(checked(wanted), "doc_id", "left_semi"), words), "sets")
-
-    def enough(pairs: DataFrame) -> DataFrame:
-        """Pairs (a, m; b, n; weight under each shared anchor) that share enough."""
-        joint = pairs.groupBy("a", "m", "b", "n").agg(F.sum("weight").alias("held"))
-        return joint.filter(F.col("held") >= (_least_column(F.least("m", "n")) if turn == 0 else 1)).select("a", "b")
-
-    most = F.least(F.col("m") - F.col("v"), F.col("n") - F.col("u"))
-    can = 100 * most >= least * (F.col("m") + F.col("n") - most)  # what both have beside their own shingles must suffice
-    rows = rows.withColumn("u", F.lit(0).cast("long"))
-    known = None
-    for turn in range(stars + 2):
-        left = staged(_open(_labelled(rows, known)), "open")
-        if left.isEmpty():
-            break
-        if turn == 1:
-            ids = staged(left.select(F.col("class_id").alias("doc_id")).distinct(), "left")
-            rows = staged(rare_first(sets.join(checked(ids), "doc_id", "left_semi"), least), "second")
-            left = staged(_open(_labelled(rows, known)), "open")
-        if turn <= stars:
-            # A pivot for each anchor: the class that shares most of its shingles.
-            by = F.struct("dirt", F.xxhash64("class_id", F.lit(turn)))
-            pivots = left.groupBy("anchor").agg(F.min_by(F.struct("class_id", "n", "u", "component"), by).alias("p")).select("anchor", F.col("p.class_id").alias("a"), F.col("p.n").alias("m"), F.col("p.u").alias("v"), F.col("p.component").alias("c"))
-            pairs = left.join(pivots, "anchor").filter((F.col("component") != F.col("c")) & can)
-        else:
-            x = left.select("anchor", F.col("class_id").alias("a"), F.col("n").alias("m"), F.col("u").alias("v"), F.col("component").alias("c"))
-            pairs = x.join(left, "anchor").filter((F.col("a") < F.col("class_id")) & (F.col("c") != F.col("component")) & can)
-        pairs = enough(pairs.withColumnRenamed("class_id", "b"))
-        more = staged(verified(pairs, sets, least), "edges")
-        release(left)
-        if not more.isEmpty():
-            known = merged(known, more)
-    named = classes
-    if known is not None:
-        named = named.join(known.withColumnRenamed("node", "class_id"), "class_id", "left").select("digest", F.coalesce("component", "class_id").alias("component_id"))
+    found = staged(prefixes(texts, words, least).withColumn("set_id", F.monotonically_increasing_id()), "prefixes")
+    held = found.filter(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
+    first = F.min(F.struct("doc_id", "set_id")).alias("f")
+    classes = staged(held.groupBy("digest").agg(first, F.count("*").alias("k")).select("digest", F.col("f.doc_id").alias("least_id"), F.col("f.set_id").alias("kept"), "k"), "classes")
+    copies = staged(held.select("set_id", "digest").join(classes.filter("k > 1").select("digest", "kept"), "digest").filter("set_id <> kept").select("set_id"), "copies")
+    rows = candidates(held.join(checked(copies), "set_id", "left_anti"), least)
+    wanted = staged(rows.select("set_id").distinct(), "wanted")
+    sets = chosen_sets(texts, wanted, classes, words, least)
+    known = id_links(held.select("doc_id", "digest"), classes)
+
+    def joined(pairs: DataFrame) -> DataFrame | None:
+        edges = verified(pairs, sets, least)
+        return known if edges.isEmpty() else merged(known, edges)
+
+    known = joined(star_pairs(_open(_labelled(rows, known), 0), True, least))
+    left = staged(_open(_labelled(rows, known), 0).select("set_id").distinct(), "left")
+    release(rows, copies, wanted)
+    rows = staged(rare_first(anchor_rows(sets.join(checked(left), "set_id", "left_semi")), least), "second")
+    known = joined(star_pairs(_open(_labelled(rows, known), 1), False, least))
+    left = staged(_open(_labelled(rows, known), 2).select("set_id").distinct(), "left")
+    release(rows)
+    # The few sets that are left are ordered by single shingles, which tell better what they share.
+    rows = staged(rare_first(shingle_rows(sets.join(checked(left), "set_id", "left_semi")), least), "rest")
+    known = joined(star_pairs(_open(_labelled(rows, known), 2), False, least))
+    left = staged(_open(_labelled(rows, known), 3), "open")
+    release(rows)
+    known = joined(rest_pairs(left, least))
+    release(left)
+    if known is None:
+        named = classes.select("digest", F.col("least_id").alias("component_id"))
     else:
-        named = named.select("digest", F.col("class_id").alias("component_id"))
+        of = classes.join(known, F.col("kept") == F.col("node")).select("digest", "least_id", "component")
+        least_ids = of.groupBy("component").agg(F.min("least_id").alias("component_id"))
+        named = classes.join(of.join(least_ids, "component").select("digest", "component_id"), "digest", "left").select("digest", F.coalesce("component_id", "least_id").alias("component_id"))
     out = found.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
