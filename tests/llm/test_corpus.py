@@ -340,6 +340,26 @@ def test_small_sources_meet_their_targets(spark):
     assert times == {1000: 3, 1001: 3, 1002: 3, 2000: 3}
 
 
+def test_schedule_follows_the_points(spark):
+    """Ranks, blocks and stretches against a plain walk over the slots; blocks of many words beside a source of a few."""
+    rng = random.Random(15)
+    rows = [(k, "w " * rng.randint(1, 400), rng.choice("ab")) for k in range(300)] + [(1000 + k, "w " * 20, "c") for k in range(5)]
+    got = op5_mixing.mixed(frame(spark, rows), width=700, pieces=20).collect()
+    assert sorted(map(str, got)) == sorted(map(str, op5_mixing.mixed(frame(spark, rows), width=64).collect()))
+    sizes = [("a", 90_000), ("b", 61_234), ("c", 100)]
+    plan = op5_mixing.stretches(op5_mixing.targets(spark.createDataFrame(sizes, "source string, source_size bigint")), 700, 20)
+    want, ranks, plans = {}, Counter(), plan.collect()
+    for k in range(sum(p.need for p in plans)):
+        u = k * op5_mixing.GOLDEN % op5_mixing.CIRCLE
+        p = next(p for p in plans if p.low <= u < p.high)
+        if ranks[p.sid] < p.need:
+            want[p.sid, ranks[p.sid]] = (k, ranks[p.sid] % p.blocks)
+        ranks[p.sid] += 1
+    found = {(r.sid, r.rank): (r.slot, r.number) for r in op5_mixing.schedule(plan).collect()}
+    assert len(found) == sum(p.need for p in plans) and all(found[k] == v for k, v in want.items())
+    assert sum(ranks[p.sid] != p.need and abs(ranks[p.sid] - p.need) > 4 for p in plans) == 0
+
+
 def test_targets_by_resharing(spark):
     sizes = [("a", 10), ("b", 1000), ("c", 5), ("d", 3000), (None, 400), ("e", 0)]
     got = {r.source: r.target for r in op5_mixing.targets(spark.createDataFrame(sizes, "source string, source_size bigint")).collect()}

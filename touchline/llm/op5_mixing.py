@@ -2,21 +2,21 @@
 
 Sizes are words. A source's target is its share of all words by weight, at most
 MOST times its size; what is above is shared again by weight until none is above.
-SLOTS slots of one block each (equal numbers of words) are dealt: slot k goes to
-the source into whose stretch of the cumulative targets the k-th golden-ratio point
-falls. Slots are ranked within their source, and slot rank r takes block r (modulo
-the source's blocks) of the source's documents in shuffled order. A document's
-`taken` is the words of its text in the taken blocks, repeats counted.
-
-The number of slots is fixed, so planning costs the same at any size; a source's
-words in shuffled order are numbered by sums over hash ranges, then within each
-range, so a hot source is spread over many tasks. Reruns agree: order is by md5 of
-the id. Sources have one row each in small tables.
-
-Blocks grow with the corpus, so a source of few blocks misses its target. mixed()
-therefore finishes every source exactly by default: it takes its target, rounded to
-a whole word, from the source's words in the same shuffled order, around and around.
-Only the registered query keeps to whole slots, because its SQL does.
+Each source is cut into blocks of equal words (WIDTH, less for small sources, which have
+PIECES blocks or blocks of one word) in shuffled order and needs so many slots of one
+block each for its target. Slot k of all goes to the source into whose stretch of the
+cumulated needs the k-th golden-ratio point falls. Slots are ranked within their source,
+and rank r takes block r (modulo the source's blocks). The points miss a source's need by
+a few slots at most: surplus ranks are given back, missing ones are dealt last, and
+the last rank takes only the words that are missing, so each source takes its
+target to the word. A document's `taken` is the words of its text in the taken blocks,
+repeats counted.
+
+The number of slots grows with the words. A source's words in shuffled order are
+numbered by sums over hash ranges, then within each range, and ranks by sums over slot
+ranges, then within each, so a hot source is spread over many tasks. Documents meet
+blocks in an equi-join. Reruns agree: order is by md5 of the id. Sources have one row
+each in small tables.
 
 Defined results: null text has size 0; a null source is one more source, last by
 code point; documents of size 0 take 0; repeated rows are documents of their own;
@@ -25,6 +25,7 @@ an empty table gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,13 +38,15 @@ from touchline.llm.common import Words, blocks, checked, flat, staged, table
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
-SLOTS = 1 << 18
-#: 2**32 divided by the golden ratio: slot k stands at k * GOLDEN modulo 2**32.
-GOLDEN = 2_654_435_769
-CIRCLE = 1 << 32
-#: Ranges of the md5 order that a source's documents are numbered in.
-RANGES = 4096
-_COARSE = 22
+#: Words of a block, and blocks that a smaller source has at least (if it has as many words).
+WIDTH = 4096
+PIECES = 1000
+#: Slot k stands at k * GOLDEN modulo CIRCLE, which is 2**40; GOLDEN is that divided by the golden ratio.
+CIRCLE = 1 << 40
+GOLDEN = round(CIRCLE * 2 / (1 + 5**0.5)) | 1
+#: Hexadecimal digits of the md5 order's ranges that a source's documents are numbered in.
+RANGE_DIGITS = 4
+_COARSE = 26
 
 
 @F.arrow_udf(T.LongType())
@@ -72,32 +75,50 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     return rows.select("source", "sid", "source_size", "weight", "words", "target")
 
 
-def stretches(goals: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """With block (words a slot), blocks (of the source), and the source's stretch [low, high) of the circle."""
-    block = F.greatest(F.lit(1), F.ceil(F.col("words") / slots)).cast("long")
-    part = F.round(F.col("target") * 1024).cast("long")
+def stretches(goals: DataFrame, width: int = WIDTH, pieces: int = PIECES) -> DataFrame:
+    """With block (words of a block), blocks (of the source), need (slots), cut (words that the last of them takes), and the source's stretch [low, high) of the circle."""
+    rows = goals.withColumn("block", F.greatest(F.lit(1), F.least(F.lit(width), F.floor(F.col("source_size") / pieces))).cast("long"))
+    rows = rows.withColumn("blocks", F.ceil(F.col("source_size") / F.col("block")).cast("long"))
+    goal, size = F.round("target").cast("long"), F.greatest("source_size", F.lit(1))
+    rows = rows.withColumn("rest", goal % size).withColumn("rounds", ((goal - F.col("rest")) / size).cast("long"))
+    rows = rows.withColumn("need", F.col("rounds") * F.col("blocks") + F.ceil(F.col("rest") / F.col("block")))
+    rows = rows.withColumn("cut", F.when(F.col("rest") > 0, (F.col("rest") - 1) % F.col("block") + 1).otherwise(F.col("block")))
     upto = Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, 0)
-    rows = goals.withColumn("block", block).withColumn("blocks", F.ceil(F.col("source_size") / F.col("block")).cast("long")).withColumn("part", part)
-    rows = rows.withColumn("upto", F.sum("part").over(upto)).withColumn("total", F.greatest(F.sum("part").over(Window.partitionBy()), F.lit(1)))
+    rows = rows.withColumn("upto", F.sum("need").over(upto)).withColumn("total", F.greatest(F.sum("need").over(Window.partitionBy()), F.lit(1)))
     point = lambda c: F.floor(c / F.col("total") * float(CIRCLE)).cast("long")
-    return rows.withColumn("low", point(F.col("upto") - F.col("part"))).withColumn("high", point(F.col("upto"))).drop("upto", "total", "part")
+    return rows.withColumn("low", point(F.col("upto") - F.col("need"))).withColumn("high", point(F.col("upto"))).drop("upto", "total", "rest", "rounds")
 
 
-def schedule(plan: DataFrame, most: int = MOST) -> DataFrame:
-    """slot, sid, rank (from 0), block number. The circle is cut coarsely for an equi-join, then by the stretches."""
-    spark = plan.sparkSession
-    slots = plan.agg(F.max(F.ceil(F.col("words") / F.col("block"))).cast("long").alias("n")).select(F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("slot")).filter("slot >= 0")
-    slots = slots.withColumn("u", (F.col("slot") * F.lit(GOLDEN)) % F.lit(CIRCLE)).withColumn("coarse", F.shiftright("u", _COARSE))
-    parts = plan.filter("high > low").withColumn("coarse", F.explode(F.sequence(F.shiftright("low", _COARSE), F.shiftright(F.col("high") - 1, _COARSE))))
-    dealt = slots.join(parts.select("coarse", "sid", "low", "high", "blocks"), "coarse").filter((F.col("u") >= F.col("low")) & (F.col("u") < F.col("high")))
-    ranked = dealt.withColumn("rank", F.row_number().over(Window.partitionBy("sid").orderBy("slot")) - 1)
-    return ranked.filter(F.col("rank") < most * F.col("blocks")).select("slot", "sid", "rank", (F.col("rank") % F.col("blocks")).alias("number"))
+def golden_point(slot: Column) -> Column:
+    """slot * GOLDEN modulo CIRCLE in two steps that stay within 64 bits, for slots below 2**40."""
+    part = 1 << 20
+    high = (F.floor(slot / part).cast("long") * GOLDEN) % CIRCLE
+    return (high * part + (slot % part) * GOLDEN) % CIRCLE
+
+
+def schedule(plan: DataFrame) -> DataFrame:
+    """slot, sid, rank (from 0), number (of the block). The circle is cut coarsely for an equi-join, then by the stretches."""
+    total = plan.agg(F.sum("need")).head()[0] or 0
+    slots = plan.sparkSession.range(total).select(F.col("id").alias("slot"), golden_point(F.col("id")).alias("u")).withColumn("coarse", F.shiftright("u", _COARSE))
+    parts = plan.filter("high > low").select("sid", "low", "high", F.explode(F.sequence(F.shiftright("low", _COARSE), F.shiftright(F.col("high") - 1, _COARSE))).alias("coarse"))
+    dealt = slots.join(parts, "coarse").filter((F.col("u") >= F.col("low")) & (F.col("u") < F.col("high"))).select("slot", "sid")
+    # Ranks: slots before in the range, and of the ranges before.
+    dealt = dealt.withColumn("range", F.floor(F.col("slot") / max(1, math.isqrt(total))))
+    counts = dealt.groupBy("sid", "range").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("sid").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select("sid", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    inner = F.row_number().over(Window.partitionBy("sid", "range").orderBy("slot")) - 1
+    ranked = dealt.withColumn("inner", inner).join(bases, ["sid", "range"]).select("slot", "sid", (F.col("base") + F.col("inner")).alias("rank"))
+    got = plan.select("sid", "need").join(counts.groupBy("sid").agg(F.sum("n").alias("got")), "sid", "left").withColumn("got", F.coalesce("got", F.lit(0)))
+    late = got.filter("got < need").select(F.lit(total).cast("long").alias("slot"), "sid", F.explode(F.sequence(F.col("got"), F.col("need") - 1)).alias("rank"))
+    kept = ranked.unionByName(late).join(plan.select("sid", "need", "blocks"), "sid").filter(F.col("rank") < F.col("need"))
+    return kept.select("slot", "sid", "rank", (F.col("rank") % F.col("blocks")).alias("number"))
 
 
 def numbered(rows: DataFrame) -> DataFrame:
     """rows (row_id, doc_id, sid, size) with `at`: the words of the source before the document in shuffled order."""
     rows = rows.withColumn("h", F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")))
-    rows = rows.withColumn("range", F.conv(F.substring("h", 1, 3), 16, 10).cast("int"))
+    rows = rows.withColumn("range", F.conv(F.substring("h", 1, RANGE_DIGITS), 16, 10).cast("int"))
     sums = rows.groupBy("sid", "range").agg(F.sum("size").alias("words"))
     before = Window.partitionBy("sid").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("sid", "range", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("base"))
@@ -106,47 +127,27 @@ def numbered(rows: DataFrame) -> DataFrame:
     return rows.join(sums, ["sid", "range"]).withColumn("at", F.col("base") + F.col("inner")).drop("h", "range", "base", "inner")
 
 
-def by_slots(placed: DataFrame, plan: DataFrame, most: int, slots: int) -> DataFrame:
-    """placed with `taken` by the whole blocks that the schedule takes."""
-    uses = schedule(plan, most).groupBy("sid", "number").agg(F.count("*").alias("uses"))
-    blocks = plan.filter("blocks > 0").select("sid", F.col("block").alias("width"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks"))).alias("number"))
-    before = Window.partitionBy("sid").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.join(uses, ["sid", "number"], "left").withColumn("uses", F.coalesce("uses", F.lit(0)))
-    blocks = staged(blocks.withColumn("sum", F.coalesce(F.sum(F.col("uses") * F.col("width")).over(before), F.lit(0))).select("sid", "number", "uses", "sum"), "blocks")
-    # At most SLOTS blocks and two for each source: small by the parameter.
-    held = checked(blocks, 2 * slots)
-
-    def until(place: Column, name: str, frame: DataFrame) -> DataFrame:
-        frame = frame.withColumn("number", F.floor(place / F.col("block")).cast("long"))
-        frame = frame.join(held, ["sid", "number"], "left")
-        return frame.withColumn(name, F.coalesce(F.col("sum") + F.col("uses") * (place % F.col("block")), F.lit(0))).drop("number", "uses", "sum")
-
-    placed = until(F.col("at"), "low", placed)
-    placed = until(F.col("at") + F.col("size"), "high", placed)
-    return placed.withColumn("taken", (F.col("high") - F.col("low")).cast("long"))
-
-
-def by_words(placed: DataFrame) -> DataFrame:
-    """placed with `taken` so that each source's words taken are its target, rounded."""
-    size, goal = F.greatest("source_size", F.lit(1)), F.round("target").cast("long")
-    placed = placed.withColumn("rest", goal % size).withColumn("rounds", ((goal - F.col("rest")) / size).cast("long"))
-    again = F.least(F.col("at") + F.col("size"), F.col("rest")) - F.least("at", "rest")
-    return placed.withColumn("taken", (F.col("rounds") * F.col("size") + again).cast("long"))
-
-
-def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, slots: int = SLOTS, exact: bool = True) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken. exact: every source's target to the word; else by whole slots."""
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, width: int = WIDTH, pieces: int = PIECES) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col).cast("string")).alias("size"))
     rows = staged(rows.withColumn("row_id", F.monotonically_increasing_id()), "sizes")
-    plan = staged(stretches(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most), slots), "targets")
+    plan = staged(stretches(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most), width, pieces), "targets")
     rows = rows.join(checked(plan.select("source", "sid", "source_size", "target", "block")), rows["source"].eqNullSafe(plan["source"])).drop(plan["source"])
-    placed = numbered(rows)
-    placed = by_words(placed) if exact else by_slots(placed, plan, most, slots)
-    return placed.select("doc_id", "source", "size", "source_size", "target", "taken")
+    slots = schedule(plan).join(plan.select("sid", "need", "cut"), "sid")
+    last = F.col("rank") == F.col("need") - 1
+    uses = slots.groupBy("sid", "number").agg(F.sum(F.when(last, 0).otherwise(1)).alias("uses"), F.max(F.when(last, F.col("cut")).otherwise(0)).alias("more"))
+    # A document's blocks: overlap times uses, and what lies in the first words that the last slot takes.
+    numbers = F.when(F.col("size") > 0, F.sequence(F.floor(F.col("at") / F.col("block")), F.floor((F.col("at") + F.col("size") - 1) / F.col("block")))).otherwise(F.array(F.lit(-1).cast("long")))
+    each = numbered(rows).withColumn("number", F.explode(numbers)).join(uses, ["sid", "number"], "left")
+    begin = F.col("number") * F.col("block")
+    low, high = F.greatest("at", begin), F.least(F.col("at") + F.col("size"), begin + F.col("block"))
+    part = (high - low) * F.coalesce("uses", F.lit(0)) + F.greatest(F.least(high, begin + F.coalesce("more", F.lit(0))) - low, F.lit(0))
+    part = F.when(F.col("size") > 0, part).otherwise(0)
+    return each.groupBy("row_id", "doc_id", "source", "size", "source_size", "target").agg(F.sum(part).cast("long").alias("taken")).drop("row_id")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixed(table(spark, sf_dir, "documents"), exact=False).select("doc_id", "size", "source_size", "target", "taken")
+    return mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def remixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -178,33 +179,15 @@ WITH d AS (
   SELECT any_value(words - f) / any_value(greatest(all_weight - h, 1)) AS level
   FROM (SELECT words, all_weight, (sum(CASE WHEN capped THEN cap ELSE 0 END) OVER ())::BIGINT AS f, (sum(CASE WHEN capped THEN weight ELSE 0 END) OVER ())::BIGINT AS h FROM c)
 ), t AS (
-  SELECT c.source, c.sid, c.source_size, c.words, CASE WHEN capped THEN cap::DOUBLE ELSE level * weight END AS target,
-         greatest(1, ceil(words / {SLOTS}))::BIGINT AS block FROM c, l
-), p AS (
-  SELECT *, ceil(source_size / block)::BIGINT AS blocks, round(target * 1024)::BIGINT AS part FROM t
-), q AS (
-  SELECT *, (sum(part) OVER (ORDER BY sid))::BIGINT AS upto, greatest((sum(part) OVER ())::BIGINT, 1) AS total FROM p
+  SELECT source, sid, source_size, CASE WHEN capped THEN cap::DOUBLE ELSE level * weight END AS target FROM c, l
 ), e AS (
-  SELECT *, floor((upto - part) / total * {float(CIRCLE)}::DOUBLE)::BIGINT AS low, floor(upto / total * {float(CIRCLE)}::DOUBLE)::BIGINT AS high FROM q
-), k AS (
-  SELECT unnest(range(0, (SELECT max(ceil(words / block))::BIGINT FROM e))) AS slot
-), u AS (
-  SELECT slot, (slot * {GOLDEN}) % {CIRCLE} AS u FROM k
-), x AS (
-  SELECT e.sid, e.blocks, row_number() OVER (PARTITION BY e.sid ORDER BY u.slot) - 1 AS rank FROM u JOIN e ON u.u >= e.low AND u.u < e.high
-), y AS (
-  SELECT sid, rank % blocks AS number, count(*) AS uses FROM x WHERE rank < {MOST} * blocks GROUP BY ALL
+  SELECT *, round(target)::BIGINT // greatest(source_size, 1) AS rounds, round(target)::BIGINT % greatest(source_size, 1) AS rest FROM t
 ), n AS (
-  SELECT d.r, d.doc_id, d.size, e.sid, e.source_size, e.target, e.block,
-         sum(d.size) OVER (PARTITION BY e.sid ORDER BY md5('mix:' || d.doc_id), d.doc_id, d.r) - d.size AS pos
+  SELECT d.doc_id, d.size, e.source_size, e.target, e.rounds, e.rest,
+         sum(d.size) OVER (PARTITION BY e.sid ORDER BY md5('mix:' || coalesce(d.doc_id::VARCHAR, '')), d.doc_id, d.r) - d.size AS pos
   FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source
-), v AS (
-  SELECT r, sid, size, pos, block, unnest(range((pos // block)::BIGINT, ((pos + size - 1) // block)::BIGINT + 1)) AS number FROM n WHERE size > 0
-), z AS (
-  SELECT v.r, sum((least(v.pos + v.size, (v.number + 1) * v.block) - greatest(v.pos, v.number * v.block)) * coalesce(y.uses, 0)) AS taken
-  FROM v LEFT JOIN y USING (sid, number) GROUP BY v.r
 )
-SELECT n.doc_id, n.size, n.source_size, n.target, coalesce(z.taken, 0)::BIGINT AS taken FROM n LEFT JOIN z USING (r)
+SELECT doc_id, size, source_size, target, (rounds * size + least(pos + size, rest) - least(pos, rest))::BIGINT AS taken FROM n
 """
 
 QUERIES = {"op5_mixing": op5_mixing}
