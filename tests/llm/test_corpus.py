@@ -282,6 +282,26 @@ def test_rounds_over_many_partitions(spark):
     assert len({r.sequence_id for r in got}) <= 1.05 * sum(sizes) / 2048 + 1
 
 
+@pytest.mark.parametrize("mixed", [False, True])
+def test_pieces_that_do_not_join_stay_spread(spark, monkeypatch, mixed):
+    """No task gets more than about `items` items, although pieces of 1,100 tokens fill no sequence."""
+    most, real = [], op2_packing.pack_round
+
+    def counted(dealt, *rest):
+        most.append(max(r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()))
+        return real(dealt, *rest)
+
+    monkeypatch.setattr(op2_packing, "pack_round", counted)
+    sizes = [900 if mixed and k % 4 == 0 else 1100 for k in range(4000)]
+    got = op2_packing.pack(spark.createDataFrame(list(enumerate(sizes)), "item bigint, size bigint"), items=100).collect()
+    assert max(most) <= 150 and len(most) <= 3
+    held = Counter()
+    for r in got:
+        held[r.sequence_id] += sizes[r.item]
+    assert sorted(r.item for r in got) == list(range(4000)) and max(held.values()) <= 2048
+    assert len(held) <= (3000 if mixed else 4000) * 1.01
+
+
 # ---------------------------------------------------------------- op3
 
 def test_license_by_brute_force(spark):

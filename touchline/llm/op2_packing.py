@@ -4,9 +4,12 @@ Texts become token ids with a final id 0; only those longer than a sequence are
 cut, into full pieces and a rest. Full pieces are sequences of their own. The other
 pieces are packed in rounds: each partition packs its items by best fit, largest
 first, and emits bins that are nearly full; its underfull bins are the items of the
-next round, which has FAN_IN times fewer partitions, up to a single one. A task
-holds a bounded number of items: the number of first partitions grows with the
-pieces, and few bins of a partition stay underfull.
+next round. Every round has as many partitions as its items need at ITEMS each, so no
+task holds more than about ITEMS items, and a round of one partition is the last. Where
+a round joins hardly any items (pieces of over half a sequence, say), other deals
+would not either, as partitions are random samples: once more than STUCK of the items
+of a round of several partitions stay underfull bins, they are emitted as they are.
+A merge of all could save at most that a partition's own share of joins once more.
 
 Defined results: null text counts as empty (one piece that is id 0 alone); repeated
 rows are packed like any other row; an empty table gives an empty result; further
@@ -34,9 +37,10 @@ from touchline.llm.common import blocks, checked, flat, staged, table
 LENGTH = 2048
 #: A bin with at most this much room left is emitted at once.
 ROOM = 8
-FAN_IN = 8
-#: Items that one task of the first round packs, about.
+#: Items that one task packs, about.
 ITEMS = 50_000
+#: Share of a round's items that stay underfull bins beyond which no further round follows.
+STUCK = 0.9
 
 
 # ---------------------------------------------------------------- token ids
@@ -78,7 +82,10 @@ class WordEncoder:
         order = [bytes([b]) for b in range(256)] + [bytes([b, 255]) for b in range(255) if bytes([b, 255]) in ids] + [raw(a + b) for a, b in pairs]
         self.usable = self.usable and len(set(order)) == len(order)
         self.ids = np.array([ids.get(x, 0) for x in order], np.uint32)
-        self.encode = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks={x: r for r, x in enumerate(order)}, special_tokens={})._core_bpe.encode_single_piece if self.usable else None
+        # An inner part of that library; where it is missing, all texts take the tokenizer's own path.
+        core = getattr(tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks={x: r for r, x in enumerate(order)}, special_tokens={}), "_core_bpe", None) if self.usable else None
+        self.encode = getattr(core, "encode_single_piece", None)
+        self.usable = self.encode is not None
         self.memory: dict[bytes, np.ndarray] = {}
         #: Letter 1, number 2, other 3, white space 0, by code point below 0x250.
         kind = {"L": 1, "N": 2}
@@ -229,22 +236,22 @@ def pack_round(items: DataFrame, capacity: int, room: int, last: bool) -> DataFr
     return items.mapInArrow(run, _BIN)
 
 
-def pack(sizes: DataFrame, capacity: int = LENGTH, room: int = ROOM, fan_in: int = FAN_IN, items: int = ITEMS) -> DataFrame:
+def pack(sizes: DataFrame, capacity: int = LENGTH, room: int = ROOM, items: int = ITEMS, stuck: float = STUCK) -> DataFrame:
     """sizes: item (unique long), size (1 to capacity). Gives item, sequence_id, offset."""
     whole = sizes.filter(F.col("size") >= capacity).select("item", F.col("item").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     loose = sizes.filter(F.col("size") < capacity).select(F.array(F.struct("item", F.col("size").cast("int").alias("size"))).alias("parts"), F.col("size").cast("int").alias("size"))
-    parts = max(1, -(-loose.count() // items))
-    done = []
+    left, done = loose.count(), []
     while True:
-        last = parts == 1
+        parts = max(1, -(-left // items))
         # Dealt at random by item, so that every partition gets all sizes; large groups of equal items spread too.
         dealt = loose.repartition(parts, F.xxhash64(F.col("parts")[0]["item"])) if parts > 1 else loose.coalesce(1)
-        made = staged(pack_round(dealt, capacity, room, last), "bins")
-        done.append(made.filter("full"))
-        if last:
-            break
+        made = staged(pack_round(dealt, capacity, room, parts == 1), "bins")
         loose = made.filter(~F.col("full")).select("parts", "size")
-        parts = max(1, parts // fan_in)
+        before, left = left, loose.count()
+        if parts == 1 or left > stuck * before:
+            done.append(made)
+            break
+        done.append(made.filter("full"))
     bins = done[0]
     for more in done[1:]:
         bins = bins.unionByName(more)
