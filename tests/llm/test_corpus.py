@@ -310,6 +310,51 @@ def test_license_by_brute_force(spark):
     assert got == {1: "MIT", 2: "GPL-3.0", 3: None, 4: "MIT"}
 
 
+def brute_licenses(text):
+    """All passages (template, start) at or over the threshold, by plain loops."""
+    doc, out = op3_license.bigrams(text or ""), {}
+    anchors = defaultdict(list)
+    for g, k, i in op3_license.anchors_of(op3_license.TEMPLATES):
+        anchors[g].append((k, i))
+    for at, g in enumerate(doc):
+        for k, i in anchors.get(g, ()):
+            own = op3_license.bigrams(op3_license.TEMPLATES[k][1])
+            window = doc[max(at - i, 0) : max(at - i + len(own), 0)]
+            inside = [n for n, x in enumerate(window) if x in own]
+            part = set(window[inside[0] : inside[-1] + 1])
+            dice = 2 * len(part & set(own)) / (len(part) + len(set(own)))
+            if dice >= op3_license.THRESHOLD:
+                out[k, at - i] = dice
+    return out
+
+
+def test_every_template_is_found_where_it_stands(spark):
+    """Whole templates inside a line, wrapped at 40 columns, with words altered, cut and put in."""
+    import textwrap
+
+    rng = random.Random(16)
+    filler = lambda n: " ".join(f"f{rng.randint(0, 99)}" for _ in range(n))
+    rows = []
+    for k, (_, text) in enumerate(op3_license.TEMPLATES):
+        w = text.split()
+        rows += [(10 * k, f"{filler(50)} {text} {filler(300)}"), (10 * k + 1, f"{filler(20)}\n// " + "\n// ".join(textwrap.wrap(text.upper(), 40)) + f"\n{filler(9)}")]
+        for n in range(3):
+            v = list(w)
+            for i in rng.sample(range(len(v)), len(v) // 20):
+                v[i] = rng.choice(["", "extra " + v[i], "other"])
+            rows.append((10 * k + 2 + n, f"{filler(rng.randint(0, 40))} {' '.join(v)} {filler(rng.randint(0, 40))}"))
+    rows += [(9000, " ".join(["licensed under"] * 5000)), (9001, "free of charge to any person"), (9002, None)]
+    got = {r.doc_id: r for r in op3_license.license_scan(frame(spark, rows)).collect()}
+    for k, text in rows:
+        want = brute_licenses(text)
+        assert got[k].n_hits == len(want)
+        if want:
+            best = min(want, key=lambda x: (-want[x], -len(set(op3_license.bigrams(op3_license.TEMPLATES[x[0]][1]))), x[0]))
+            assert got[k].license == op3_license.TEMPLATES[best[0]][0] and got[k].dice == pytest.approx(want[best], abs=1e-6)
+    for k, (name, _) in enumerate(op3_license.TEMPLATES):
+        assert got[10 * k].license == got[10 * k + 1].license == name and got[10 * k].dice == 1
+
+
 # ---------------------------------------------------------------- op4
 
 def test_hot_groups_take_the_map_side(spark):

@@ -1,30 +1,44 @@
 """Licence scan by the Dice coefficient over word bigrams (native).
 
-Every line of a text, and the text as a whole, is a passage. Passages are
-normalised (lower case, only letters and digits) and cut into distinct word
-bigrams. A passage with a bigrams and a template with b can reach a Dice
-coefficient of t only if b lies between a*t/(2-t) and a*(2-t)/t; these size
-bounds prune passages, then templates. What is left meets the templates'
-bigrams in a broadcast hash join (templates are a parameter, so bounded), and
-shared bigrams are counted.
-
-Defined results: one row per document row's doc_id; no template at or over the
-threshold, null and empty texts: license null, dice 0, n_hits 0; ties take the
-template that comes first; repeated ids share one result.
+Texts are normalised (lower case, only letters and digits), so line breaks and layout
+do not count, and cut into word bigrams. A passage can reach a Dice coefficient of t
+with a template of b bigrams only if it holds t*b/(2-t) of them, so it holds one of any
+b - t*b/(2-t) + 1: the template's anchors, its rarest and longest. Where a text has an
+anchor, the passage of the template's length that puts the anchor in its place is
+looked at, less what stands before its first and after its last template bigram.
+Passages whose bigrams are too few or too many for t (size bounds) are pruned, the others
+compared. So notices are found inside long lines, over several lines and anywhere in a
+document, and whole licences as well; very long licences by the notice at their end.
+
+Everything about a text is computed in its row: no shuffle, no join; templates are a
+parameter, so bounded, and stand in the plan as constants. The work grows with the
+length of the text and the number of its anchors.
+
+Defined results: one row per row of the table, also for null ids; no passage at or over
+the threshold, null and empty texts: license null, dice 0, n_hits 0; n_hits counts
+passages (a template and a start) at or over the threshold; ties take the template with
+most bigrams, then the one that comes first.
 """
 
 from __future__ import annotations
 
+import json
+import math
 import re
+from collections import Counter
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchline.llm.common import table
 
 THRESHOLD = 0.8
+_BACK = 1 << 20
 
-# Short notices by which texts state their licence.
+_BSD_DISCLAIMER = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+
+# Short notices by which texts state their licence, then whole licences and the notices that long ones end with.
 TEMPLATES: list[tuple[str, str]] = [
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
@@ -41,6 +55,31 @@ TEMPLATES: list[tuple[str, str]] = [
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("MIT", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
+    ("ISC", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""),
+    ("BSD-2-Clause", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+""" + _BSD_DISCLAIMER),
+    ("BSD-3-Clause", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+""" + _BSD_DISCLAIMER),
+    ("Unlicense", """This is free and unencumbered software released into the public domain.
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."""),
+    ("Apache-2.0", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""),
+    ("GPL-2.0", """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."""),
+    ("GPL-3.0", """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."""),
+    ("AGPL-3.0", """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."""),
+    ("LGPL-2.1", """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."""),
+    ("MPL-2.0", """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."""),
 ]
 
 
@@ -48,31 +87,94 @@ def words_of(text: str) -> list[str]:
     return re.sub(r"[^a-z0-9]+", " ", text.lower()).split()
 
 
+def bigrams(text: str) -> list[str]:
+    w = words_of(text)
+    return [f"{a} {b}" for a, b in zip(w, w[1:])]
+
+
+def anchors_of(templates: list[tuple[str, str]], threshold: float = THRESHOLD) -> list[tuple[str, int, int]]:
+    """Bigram, template and place of every occurrence of the templates' anchors."""
+    rows = [bigrams(text) for _, text in templates]
+    spread = Counter(g for grams in rows for g in set(grams))
+    found = []
+    for k, grams in enumerate(rows):
+        b = len(set(grams))
+        needed = math.ceil(threshold * b / (2 - threshold) - 1e-9)
+        own = set(sorted(set(grams), key=lambda g: (spread[g], -len(g), g))[: b - needed + 1])
+        found += [(g, k, i) for i, g in enumerate(grams) if g in own]
+    return found
+
+
+def given(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x) with x evaluated once, also where f uses it inside lambdas."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
+def _constant(value: object, kind: str) -> Column:
+    """A nested constant, which Spark folds into one literal."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
+
+
+def passages_found(text: Column, templates: list[tuple[str, str]], threshold: float) -> Column:
+    """array of (dice, b, template) of all passages at or over the threshold."""
+    rows = [bigrams(t) for _, t in templates]
+    held = _constant([{"length": len(grams), "b": len(set(grams)), "grams": list(dict.fromkeys(grams))} for grams in rows], "array<struct<length:int,b:int,grams:array<string>>>")
+    # A template and a start in one long: the template above 40 bits, the start (from -BACK) below.
+    places: dict[str, list[int]] = {}
+    for g, k, i in anchors_of(templates, threshold):
+        places.setdefault(g, []).append((k << 40) - i + _BACK)
+    index = _constant(places, "map<string,array<bigint>>")
+    names = list(places)
+
+    def scored(grams: Column, code: Column) -> Column:
+        template, start = F.shiftright(code, 40).cast("int"), (code % (1 << 40) - _BACK).cast("int")
+
+        def compared(t: Column) -> Column:
+            window = F.slice(grams, F.greatest(start, F.lit(0)) + 1, F.least(start + t["length"], F.size(grams)) - F.greatest(start, F.lit(0)))
+
+            def trimmed(w: Column) -> Column:
+                flags = F.transform(w, lambda g: F.array_contains(t["grams"], g))
+                first, last = F.array_position(flags, F.lit(True)), F.size(w) + 1 - F.array_position(F.reverse(flags), F.lit(True))
+                return F.array_distinct(F.slice(w, first.cast("int"), (last - first + 1).cast("int")))
+
+            def dice(part: Column) -> Column:
+                a = F.size(part)
+                within = (a >= t["b"] * threshold / (2 - threshold) - 1e-9) & (a <= t["b"] * (2 - threshold) / threshold + 1e-9)
+                return F.when(within, 2.0 * F.size(F.array_intersect(part, t["grams"])) / (a + t["b"])).otherwise(F.lit(0.0))
+
+            return F.struct(given(window, lambda w: given(trimmed(w), dice)).alias("dice"), t["b"].alias("b"), template.alias("template"))
+
+        return given(F.element_at(held, template + 1), compared)
+
+    def searched(grams: Column) -> Column:
+        hits = F.filter(F.transform(grams, lambda g, i: F.struct(g.alias("g"), i.alias("i"))), lambda h: h["g"].isin(names))
+        codes = F.array_distinct(F.flatten(F.transform(hits, lambda h: F.transform(F.element_at(index, h["g"]), lambda c: c + h["i"]))))
+        return F.filter(F.transform(codes, lambda c: scored(grams, c)), lambda x: x["dice"] >= threshold)
+
+    def of_words(w: Column) -> Column:
+        n = F.size(w) - 1
+        grams = F.zip_with(F.slice(w, F.lit(1), n), F.slice(w, F.lit(2), n), lambda a, b: F.concat_ws(" ", a, b))
+        return given(grams, lambda g: F.when(F.arrays_overlap(g, F.map_keys(index)), searched(g)).otherwise(F.array().cast("array<struct<dice:double,b:int,template:int>>")))
+
+    return given(F.split(F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " ")), " ", -1), of_words)
+
+
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, license, dice, n_hits of each row."""
     templates = TEMPLATES if templates is None else templates
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
-    sets = [{f"{a} {b}" for a, b in zip(w, w[1:])} for w in (words_of(t) for _, t in templates)]
-    if not sets or not all(sets):
+    if not templates or not all(bigrams(t) for _, t in templates):
         raise ValueError("a template needs two words at least")
-    spark = docs.sparkSession
-    index = spark.createDataFrame([(g, k, len(s), templates[k][0]) for k, s in enumerate(sets) for g in sorted(s)], "gram string, template int, b int, license string")
-    low, high = min(map(len, sets)) * threshold / (2 - threshold), max(map(len, sets)) * (2 - threshold) / threshold
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    lines = F.split(text, "\n", -1)
-    whole = F.when(F.size(lines) > 1, F.array(text)).otherwise(F.array().cast("array<string>"))
-    passages = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.concat(lines, whole)).alias("passage", "line"))
-    words = F.split(F.trim(F.regexp_replace(F.lower("line"), "[^a-z0-9]+", " ")), " ", -1)
-    passages = passages.select("doc_id", "passage", words.alias("w")).filter(F.size("w") - 1 >= F.ceil(F.lit(low)))
-    pairs = F.array_distinct(F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w") - 1), lambda a, b: F.concat_ws(" ", a, b)))
-    passages = passages.select("doc_id", "passage", pairs.alias("grams")).withColumn("a", F.size("grams")).filter(F.col("a").between(low, high))
-    each = passages.select("doc_id", "passage", "a", F.explode("grams").alias("gram"))
-    within = (F.col("b") >= F.col("a") * threshold / (2 - threshold)) & (F.col("b") <= F.col("a") * (2 - threshold) / threshold)
-    shared = each.join(F.broadcast(index), "gram").filter(within).groupBy("doc_id", "passage", "a", "template", "b", "license").count()
-    hits = shared.withColumn("dice", 2 * F.col("count") / (F.col("a") + F.col("b"))).filter(F.col("dice") >= threshold)
-    best = hits.groupBy("doc_id").agg(F.max(F.struct("dice", -F.col("template"), "license")).alias("m"), F.countDistinct("passage").alias("n_hits"))
-    out = docs.select(F.col(id_col).alias("doc_id")).join(best, "doc_id", "left")
-    return out.select("doc_id", F.col("m.license").alias("license"), F.round(F.coalesce("m.dice", F.lit(0.0)), 6).alias("dice"), F.coalesce("n_hits", F.lit(0)).cast("long").alias("n_hits"))
+    found = passages_found(F.coalesce(F.col(text_col).cast("string"), F.lit("")), templates, threshold)
+    names = F.array(*[F.lit(name) for name, _ in templates])
+
+    def summed(x: Column) -> Column:
+        best = F.array_max(F.transform(x, lambda h: F.struct(h["dice"].alias("dice"), h["b"].alias("b"), (-h["template"]).alias("order"))))
+        return F.struct(best.alias("best"), F.size(x).cast("long").alias("n"))
+
+    rows = docs.select(F.col(id_col).alias("doc_id"), given(found, summed).alias("x"))
+    return rows.select("doc_id", F.when(F.col("x.n") > 0, F.element_at(names, 1 - F.col("x.best.order"))).alias("license"), F.round(F.coalesce("x.best.dice", F.lit(0.0)), 6).alias("dice"), F.col("x.n").alias("n_hits"))
 
 
 def op3_license(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,27 +186,33 @@ def _quoted(s: str) -> str:
 
 
 ORACLE = f"""
-WITH t(template, license, b, gram) AS (
-  VALUES {", ".join(f"({k}, {_quoted(name)}, {len(s)}, {_quoted(g)})" for k, (name, text) in enumerate(TEMPLATES) for w in [words_of(text)] for s in [sorted({f"{a} {b}" for a, b in zip(w, w[1:])})] for g in s)}
-), l AS (
-  SELECT doc_id, unnest(list_concat(string_split(coalesce(text, ''), chr(10)), CASE WHEN contains(text, chr(10)) THEN [text] ELSE [] END)) AS line,
-         generate_subscripts(list_concat(string_split(coalesce(text, ''), chr(10)), CASE WHEN contains(text, chr(10)) THEN [text] ELSE [] END), 1) AS passage
-  FROM documents
+WITH t(template, license, length, b, grams) AS (
+  VALUES {", ".join(f"({k}, {_quoted(name)}, {len(g)}, {len(set(g))}, [{', '.join(map(_quoted, dict.fromkeys(g)))}])" for k, (name, text) in enumerate(TEMPLATES) for g in [bigrams(text)])}
+), x(gram, template, place) AS (
+  VALUES {", ".join(f"({_quoted(g)}, {k}, {i})" for g, k, i in anchors_of(TEMPLATES))}
 ), w AS (
-  SELECT doc_id, passage, string_split(trim(regexp_replace(lower(line), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM l
+  SELECT row_number() OVER () AS r, doc_id, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM documents
 ), g AS (
-  SELECT doc_id, passage, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS grams FROM w WHERE len(w) BETWEEN 2 AND 400
-), e AS (
-  SELECT doc_id, passage, len(grams) AS a, unnest(grams) AS gram FROM g
+  SELECT r, doc_id, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS g FROM w
+), p AS (
+  SELECT r, unnest(g) AS gram, generate_subscripts(g, 1) - 1 AS i FROM g
 ), c AS (
-  SELECT doc_id, passage, a, template, b, license, count(*) AS n FROM e JOIN t USING (gram) GROUP BY ALL
+  SELECT DISTINCT r, template, i - place AS start FROM p JOIN x USING (gram)
+), v AS (
+  SELECT c.r, c.template, t.b, t.grams, g.g[greatest(c.start, 0) + 1 : least(c.start + t.length, len(g.g))] AS win FROM c JOIN t USING (template) JOIN g USING (r)
+), f AS (
+  SELECT *, list_transform(win, lambda y: list_contains(grams, y)) AS flags FROM v
+), q AS (
+  SELECT r, template, b, grams, list_distinct(win[list_position(flags, true) : len(win) + 1 - list_position(list_reverse(flags), true)]) AS part FROM f
 ), h AS (
-  SELECT *, 2.0 * n / (a + b) AS dice FROM c WHERE 2.0 * n / (a + b) >= {THRESHOLD}
+  SELECT r, template, b, 2.0 * len(list_intersect(part, grams)) / (len(part) + b) AS dice FROM q
 ), m AS (
-  SELECT doc_id, max(dice) AS dice, arg_max(license, dice * 1000 - template) AS license, count(DISTINCT passage) AS n_hits FROM h GROUP BY doc_id
+  SELECT r, max(dice) AS dice, count(*) AS n_hits FROM h WHERE dice >= {THRESHOLD} GROUP BY r
+), k AS (
+  SELECT r, template FROM h JOIN m USING (r, dice) QUALIFY row_number() OVER (PARTITION BY r ORDER BY b DESC, template) = 1
 )
-SELECT d.doc_id, m.license, round(coalesce(m.dice, 0.0), 6)::DOUBLE AS dice, coalesce(m.n_hits, 0)::BIGINT AS n_hits
-FROM documents d LEFT JOIN m USING (doc_id)
+SELECT g.doc_id, t.license, round(coalesce(m.dice, 0.0), 6)::DOUBLE AS dice, coalesce(m.n_hits, 0)::BIGINT AS n_hits
+FROM g LEFT JOIN m USING (r) LEFT JOIN k USING (r) LEFT JOIN t USING (template)
 """
 
 QUERIES = {"op3_license": op3_license}
