@@ -14,7 +14,6 @@ result; further columns are ignored.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm.common import blocks, flat, remainder, table
+from touchline.llm.common import blocks, flat, release, remainder, staged, table
 from touchline.llm.training import labelled_sample
 
 NGRAMS = (4, 5, 6)
@@ -32,6 +31,8 @@ KEPT = 1 << 15
 MIN_GAIN = 20.0
 #: Labelled rows that the fit reads: about so many of each class.
 PER_CLASS = 5_000
+#: Tasks that count the sample's features.
+SPREAD = 8
 THRESHOLD = 0.3
 FOLDS, HELD = 4, 2
 
@@ -67,14 +68,6 @@ def features(b: np.ndarray, offsets: np.ndarray, ngrams: tuple[int, ...] = NGRAM
         yield own[stamp[own] == place]
 
 
-def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        b, offsets = flat(batch.column(2))
-        for i, j in blocks(offsets):
-            rows = [np.sort(x).tobytes() for x in features(b[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(rows, pa.binary())], ["label", "weight", "grams"])
-
-
 def likelihood_ratio(p: np.ndarray, q: np.ndarray, pos: int, neg: int) -> np.ndarray:
     """G-squared of features present in p of pos and q of neg texts, against presence at one rate in both."""
     seen, n = p + q, pos + neg
@@ -85,62 +78,89 @@ def likelihood_ratio(p: np.ndarray, q: np.ndarray, pos: int, neg: int) -> np.nda
     return 2 * (part(p, seen * pos / n) + part(q, seen * neg / n) + part(pos - p, (n - seen) * pos / n) + part(neg - q, (n - seen) * neg / n))
 
 
-def fit(label: np.ndarray, weight: np.ndarray, grams: list[np.ndarray], kept: int = KEPT, bits: int = BITS, steps: int = 150, l2: float = 1.0) -> tuple[float, np.ndarray, np.ndarray]:
-    """Intercept, features and their weights (log-count ratio times coefficient)."""
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """label, text -> feature, p, q: texts of either label that have the feature, of this partition."""
+    p, q = np.zeros(1 << BITS, np.int32), np.zeros(1 << BITS, np.int32)
+    for batch in batches:
+        b, offsets = flat(batch.column(1))
+        label = batch.column(0).to_numpy()
+        for i, j in blocks(offsets):
+            for k, own in enumerate(features(b[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])):  # a text's n-grams are distinct
+                (p if label[i + k] else q)[own] += 1
+    found = np.flatnonzero(p + q).astype(np.int32)
+    for i in range(0, len(found), 1 << 16):
+        at = found[i : i + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(p[at].astype(np.int64)), pa.array(q[at].astype(np.int64))], ["feature", "p", "q"])
+
+
+def chosen_features(sample: DataFrame, pos: int, neg: int, kept: int = KEPT) -> tuple[np.ndarray, np.ndarray]:
+    """Up to `kept` features that depend most on the label, and their log-count ratios."""
+
+    @F.arrow_udf("double")
+    def gain(p: pa.Array, q: pa.Array) -> pa.Array:
+        return pa.array(likelihood_ratio(p.to_numpy(), q.to_numpy(), pos, neg))
+
+    counts = sample.select("label", "text").mapInArrow(_counted, "feature int, p bigint, q bigint").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
+    best = counts.withColumn("gain", gain("p", "q")).filter(F.col("gain") >= MIN_GAIN).orderBy(F.col("gain").desc(), "feature").limit(kept).collect()
+    p, q = (np.array([r[c] for r in best], float) for c in "pq")
+    return np.array([r["feature"] for r in best], np.int32), np.log((p + 0.5) / pos) - np.log((q + 0.5) / neg)
+
+
+def fit(label: np.ndarray, weight: np.ndarray, held: list[np.ndarray], ratio: np.ndarray, steps: int = 150, l2: float = 1.0) -> tuple[float, np.ndarray]:
+    """Intercept and the features' weights (log-count ratio times coefficient). held: places of each text's features in ratio."""
     n, pos = len(label), label > 0
-    if not pos.any() or pos.all():
-        p = (float((weight * pos).sum()) + 1) / (float(weight.sum()) + 2)
-        return float(np.log(p / (1 - p))), np.zeros(0, np.int32), np.zeros(0, np.float32)
-    p, q = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64)
-    for own, toxic in zip(grams, pos):  # a text's n-grams are distinct
-        (p if toxic else q)[own] += 1
-    ratio = np.log((p + 0.5) / pos.sum()) - np.log((q + 0.5) / (n - pos.sum()))
-    gain = likelihood_ratio(p, q, int(pos.sum()), int(n - pos.sum()))
-    best = np.argsort(-gain, kind="stable")[:kept].astype(np.int32)
-    best = best[gain[best] >= MIN_GAIN]
-    rank = np.full(1 << bits, -1, np.int32)
-    rank[best] = np.arange(len(best))
-    held = [x[x >= 0] for x in (rank[own] for own in grams)]
     of = np.concatenate(held)
     row = np.repeat(np.arange(n, dtype=np.int32), [len(x) for x in held])
-    r = ratio[best]
-    value = r[of]
+    value = ratio[of]
     y, c = pos.astype(float), np.where(pos, 0.5 / pos.sum(), 0.5 / (n - pos.sum())) * n
-    w, bias = np.zeros(len(best)), 0.0
-    m, v = np.zeros(len(best) + 1), np.zeros(len(best) + 1)
+    w, bias = np.zeros(len(ratio)), 0.0
+    m, v = np.zeros(len(ratio) + 1), np.zeros(len(ratio) + 1)
     for t in range(1, steps + 1):
         z = np.bincount(row, weights=w[of] * value, minlength=n) + bias
         d = c * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
-        g = np.append(np.bincount(of, weights=d[row] * value, minlength=len(best)) / n + l2 * w / n, d.mean())
+        g = np.append(np.bincount(of, weights=d[row] * value, minlength=len(ratio)) / n + l2 * w / n, d.mean())
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         step = 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
         w, bias = w - step[:-1], bias - step[-1]
     # Classes were weighed alike; the intercept goes back to the true base rate.
     bias += float(np.log((weight * pos).sum() / (weight * ~pos).sum()))
-    return float(bias), best, (w * r).astype(np.float32)
+    return float(bias), (w * ratio).astype(np.float32)
 
 
-def _fit_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The whole (bounded) sample, one text after the other; one row out, none without labels."""
-    rows = []
-    for batch in batches:
-        for label, weight, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-            own = np.frombuffer(own.as_buffer(), np.int32).copy()
-            rows.append((label, len(own), zlib.crc32(own.data), weight, own))
-    if rows:
-        rows.sort(key=lambda r: r[:3])
-        bias, best, w = fit(np.array([r[0] for r in rows]), np.array([r[3] for r in rows]), [r[4] for r in rows])
-        yield pa.RecordBatch.from_arrays([pa.array([bias]), pa.array([best.tobytes()]), pa.array([w.tobytes()])], ["bias", "best", "w"])
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", folds: int = FOLDS, held: int = HELD, per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> tuple[float, np.ndarray, np.ndarray]:
+    """The model. Features are counted and chosen by all tasks; one task fits the sample, of which it gets the chosen features only.
+
+    The sample is bounded by per_class and a text has KEPT chosen features at most.
+    """
+    sample = staged(labelled_sample(docs, labels, label_col, folds, held, per_class, id_col, text_col).select("label", "weight", "text").repartition(SPREAD), "sample")
+    classes = {r["label"]: r for r in sample.groupBy("label").agg(F.count("*").alias("n"), F.sum("weight").alias("w")).collect()}
+    none = np.zeros(0, np.int32), np.zeros(0, np.float32)
+    if not classes:
+        return 0.0, *none
+    if len(classes) == 1:
+        (label, only), = classes.items()
+        p = (label * only["w"] + 1) / (only["w"] + 2)
+        return float(np.log(p / (1 - p))), *none
+    best, ratio = chosen_features(sample, classes[1]["n"], classes[0]["n"])
+    sent = sample.sparkSession.sparkContext.broadcast((best, ratio))
+
+    def thinned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rank = np.full(1 << BITS, -1, np.int32)
+        rank[sent.value[0]] = np.arange(len(sent.value[0]), dtype=np.int32)
+        for batch in batches:
+            b, offsets = flat(batch.column(2))
+            for i, j in blocks(offsets):
+                rows = [np.sort(x[x >= 0]).tobytes() for x in (rank[own] for own in features(b[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(rows, pa.binary())], ["label", "weight", "held"])
 
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((label, held, weight) for batch in batches for label, weight, held in zip(*(batch.column(k).to_pylist() for k in range(3))))
+        bias, w = fit(np.array([r[0] for r in rows]), np.array([r[2] for r in rows]), [np.frombuffer(r[1], np.int32) for r in rows], sent.value[1])
+        yield pa.RecordBatch.from_arrays([pa.array([bias]), pa.array([w.tobytes()])], ["bias", "w"])
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", folds: int = FOLDS, held: int = HELD, per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> tuple[float, np.ndarray, np.ndarray]:
-    """The model. The sample is bounded by per_class, so one task fits it; its n-grams are made by all."""
-    sample = labelled_sample(docs, labels, label_col, folds, held, per_class, id_col, text_col).select("label", "weight", "text")
-    ready = sample.mapInArrow(_featured, "label int, weight double, grams binary")
-    model = ready.repartition(1).mapInArrow(_fit_all, "bias double, best binary, w binary").head()
-    if model is None:  # no labels
-        return 0.0, np.zeros(0, np.int32), np.zeros(0, np.float32)
-    return model["bias"], np.frombuffer(model["best"], np.int32), np.frombuffer(model["w"], np.float32)
+    model = sample.mapInArrow(thinned, "label int, weight double, held binary").repartition(1).mapInArrow(fitted, "bias double, w binary").head()
+    release(sample)
+    return model["bias"], best, np.frombuffer(model["w"], np.float32)
 
 
 def scorer(spark: SparkSession, model: tuple[float, np.ndarray, np.ndarray]):
