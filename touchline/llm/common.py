@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: A table of at most this many narrow rows (ids, counts) may be broadcast: some tens of MB.
 BROADCAST_ROWS = 1_000_000
+#: Bytes of a row group of a staged table; a writing task holds about one in memory.
+ROW_GROUP = 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,7 +38,7 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     """df written once as Parquet in the shared folder and read back: lineage ends here and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/touchline-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_path = path
     return out

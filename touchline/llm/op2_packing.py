@@ -54,7 +54,7 @@ class WordEncoder:
     library's own path.
     """
 
-    MEMORY = 150_000
+    MEMORY = 50_000
 
     def __init__(self, path: str):
         import tiktoken
@@ -161,7 +161,7 @@ def tokenized(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
         coder = encoder(path)
         for batch in batches:
             _, offsets = flat(batch.column(1))
-            for i, j in blocks(offsets, 4 << 20):
+            for i, j in blocks(offsets, 1 << 20):
                 ids, at = coder.batch(batch.column(1).slice(i, j - i))
                 n = np.diff(at) + 1
                 full = np.insert(ids, at[1:], 0).astype("<u4")
@@ -177,6 +177,8 @@ def tokenized(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                 if with_ids:
                     cols.append(pa.ListArray.from_arrays(pa.array(np.append(begin, at[-1] if len(at) else 0).astype(np.int32)), pa.array(full.astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(cols, names)
+            pa.default_memory_pool().release_unused()
+        coder.memory.clear()
 
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
     schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids
