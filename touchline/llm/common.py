@@ -17,6 +17,9 @@ ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BROADCAST_ROWS = 1_000_000
 #: Bytes of a row group of a staged table; a writing task holds about one in memory.
 ROW_GROUP = 32 << 20
+#: Rows of an Arrow batch, which the JVM and the Python worker both hold.
+RECORDS = 2000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,10 +38,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
-    """df written once as Parquet in the shared folder and read back: lineage ends here and survives lost executors."""
+    """df written once as Parquet in the shared folder and read back: lineage ends here and survives lost executors.
+
+    Python workers that take part get at most RECORDS rows at a time.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/touchline-{label}-{uuid.uuid4().hex}"
-    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(min(int(before), RECORDS) if int(before) > 0 else RECORDS))
+    try:
+        df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
+    finally:
+        spark.conf.set(_BATCH, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_path = path
     return out
@@ -118,7 +129,7 @@ def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def blocks(offsets: np.ndarray, limit: int = 1 << 19) -> Iterator[tuple[int, int]]:
+def blocks(offsets: np.ndarray, limit: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Row ranges of at most so many bytes each, or of one longer row."""
     i, n = 0, len(offsets) - 1
     while i < n:
