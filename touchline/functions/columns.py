@@ -93,7 +93,7 @@ def name_key(c: Column) -> Column:
     x = F.regexp_replace(x, r"\s+[jr]\.?\s*$", "")
     x = F.regexp_replace(x, r"\s+[ivx]+$", "")
     x = F.regexp_replace(x, r"^\s*[ivx]+\s+", "")
-    x = F.regexp_replace(x, r"[^a-z0-9_\s]", "")
+    x = F.regexp_replace(x, r"[^\p{L}\p{N}_\s]", "")
     return F.trim(F.regexp_replace(x, r"\s+", " "))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,12 +18,17 @@ def with_results(fixtures: DataFrame) -> DataFrame:
     return fixtures.filter(F.col("goals_h").isNotNull() & F.col("goals_a").isNotNull()).withColumns({"goals_h": F.col("goals_h").cast("double"), "goals_a": F.col("goals_a").cast("double")})
 
 
+#: Limit of the library's least-squares solver.
+MOST_COEFFICIENTS = 4096
+
+
 def fit_strengths(fixtures: DataFrame, ridge: float = 1e-6) -> tuple[DataFrame, float]:
     """(team, attack_strength, defense_strength) and the home term, by a Poisson regression of home goals on the home team's attack and the away team's defence.
 
     Strengths are centred, higher is better for both; the removed means go into the home
-    term. The coefficients (two a team, 4096 at most) are all that reaches the driver.
-    Falls back to goal averages when the regression cannot be fitted.
+    term. The coefficients (two a team, 4096 at most) are all that reaches the driver; more
+    teams than that raise an error. Falls back to goal averages where the regression cannot
+    be fitted: no matches, or a singular system.
     """
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
@@ -29,12 +36,19 @@ def fit_strengths(fixtures: DataFrame, ridge: float = 1e-6) -> tuple[DataFrame,
 
     known = with_results(fixtures).select(F.col("team_h").cast("string").alias("home"), F.col("team_a").cast("string").alias("away"), "goals_h")
     spark = fixtures.sparkSession
+    teams = known.agg(F.count_distinct("home").alias("h"), F.count_distinct("away").alias("a")).head()
+    if teams["h"] + teams["a"] > MOST_COEFFICIENTS:
+        raise ValueError(f"{teams['h'] + teams['a']} coefficients; the solver takes {MOST_COEFFICIENTS} at most")
+    if not teams["h"] or not teams["a"]:
+        return goal_averages(with_results(fixtures)).select("team", "attack_strength", "defense_strength"), HOME_ADVANTAGE
     try:
         index = StringIndexer(inputCols=["home", "away"], outputCols=["home_i", "away_i"], stringOrderType="alphabetAsc").fit(known)
         encode = OneHotEncoder(inputCols=["home_i", "away_i"], outputCols=["attack", "defense"], dropLast=False)
         glm = GeneralizedLinearRegression(family="poisson", link="log", labelCol="goals_h", regParam=ridge, maxIter=50)
         model = Pipeline(stages=[encode, VectorAssembler(inputCols=["attack", "defense"], outputCol="features"), glm]).fit(index.transform(known)).stages[-1]
-    except Exception:  # noqa: BLE001  too few matches or a singular system
+    except Exception as e:  # noqa: BLE001  the solver reports a singular system in several ways
+        if not re.search("(?i)singular|not positive definite|constant label|SingularMatrix|lapack|NaN", str(e)):
+            raise
         return goal_averages(with_results(fixtures)).select("team", "attack_strength", "defense_strength"), HOME_ADVANTAGE
     homes, aways = index.labelsArray
     c = model.coefficients.toArray()

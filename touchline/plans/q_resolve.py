@@ -16,7 +16,7 @@ def key_sql(c: str) -> str:
     x = f"translate(trim(lower({c})), '{_FROM}ýÿ', '{_TO}yy')"
     for pattern in (r"\s+[jr]\.?\s*$", r"\s+[ivx]+$", r"^\s*[ivx]+\s+"):
         x = f"regexp_replace({x}, '{pattern}', '')"
-    return f"trim(regexp_replace(regexp_replace({x}, '[^a-z0-9_\\s]', '', 'g'), '\\s+', ' ', 'g'))"
+    return f"trim(regexp_replace(regexp_replace({x}, '[^\\p{{L}}\\p{{N}}_\\s]', '', 'g'), '\\s+', ' ', 'g'))"
 
 
 def light_sql(c: str) -> str:
@@ -216,7 +216,7 @@ def e24(spark, d):
     return resolve.mapping_counts(x)
 
 
-@query("e25_enriched", P.ctes(P.STATS, P.PLAYERS, "s AS (SELECT player_id, round(sum(xg) / sum(minutes) * 90, 4) AS xg_per_90, round(CAST(sum(blocks) AS DOUBLE) / sum(minutes) * 90, 4) AS blocks_per_90 FROM stats GROUP BY player_id)") + "SELECT p.player_id, CASE WHEN player_id % 2 = 0 THEN xg_per_90 ELSE 0.0 END AS xg_per_90, CASE WHEN player_id % 3 = 0 THEN blocks_per_90 ELSE 0.0 END AS blocks_per_90 FROM players p JOIN s USING (player_id)")
+@query("e25_enriched", P.ctes(P.STATS, P.PLAYERS, "s AS (SELECT player_id, sum(xg) / sum(minutes) * 90 AS xg_per_90, CAST(sum(blocks) AS DOUBLE) / sum(minutes) * 90 AS blocks_per_90 FROM stats GROUP BY player_id)") + "SELECT p.player_id, round(CASE WHEN player_id % 2 = 0 THEN xg_per_90 ELSE 0.0 END, 4) AS xg_per_90, round(CASE WHEN player_id % 3 = 0 THEN blocks_per_90 ELSE 0.0 END, 4) AS blocks_per_90 FROM players p JOIN s USING (player_id)")
 def e25(spark, d):
     s = P.stats(spark, d).groupBy("player_id").agg(r(F.sum("xg") / F.sum("minutes") * 90, 4, "xg_per_90"), r(F.sum("blocks") / F.sum("minutes") * 90, 4, "blocks_per_90")).withColumn("id", F.col("player_id") + 5)
     ids = s.select("id", "player_id")
