@@ -26,6 +26,7 @@ from touchline.llm.training import labelled_sample
 
 NGRAMS = (4, 5, 6)
 BITS = 20
+#: At most 2**16.
 KEPT = 1 << 15
 #: Least log-likelihood ratio statistic of a feature that is kept.
 MIN_GAIN = 20.0
@@ -106,19 +107,26 @@ def chosen_features(sample: DataFrame, pos: int, neg: int, kept: int = KEPT) ->
     return np.array([r["feature"] for r in best], np.int32), np.log((p + 0.5) / pos) - np.log((q + 0.5) / neg)
 
 
-def fit(label: np.ndarray, weight: np.ndarray, held: list[np.ndarray], ratio: np.ndarray, steps: int = 150, l2: float = 1.0) -> tuple[float, np.ndarray]:
-    """Intercept and the features' weights (log-count ratio times coefficient). held: places of each text's features in ratio."""
+def fit(label: np.ndarray, weight: np.ndarray, size: np.ndarray, of: np.ndarray, ratio: np.ndarray, steps: int = 150, l2: float = 1.0, texts: int = 256) -> tuple[float, np.ndarray]:
+    """Intercept and the features' weights (log-count ratio times coefficient).
+
+    of: places in ratio of the first text's features, then the second's, and so on; size: how
+    many each text has. So many texts at a time are multiplied, which bounds what a step needs.
+    """
     n, pos = len(label), label > 0
-    of = np.concatenate(held)
-    row = np.repeat(np.arange(n, dtype=np.int32), [len(x) for x in held])
-    value = ratio[of]
+    at = np.concatenate([[0], np.cumsum(size)])
     y, c = pos.astype(float), np.where(pos, 0.5 / pos.sum(), 0.5 / (n - pos.sum())) * n
     w, bias = np.zeros(len(ratio)), 0.0
     m, v = np.zeros(len(ratio) + 1), np.zeros(len(ratio) + 1)
     for t in range(1, steps + 1):
-        z = np.bincount(row, weights=w[of] * value, minlength=n) + bias
-        d = c * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
-        g = np.append(np.bincount(of, weights=d[row] * value, minlength=len(ratio)) / n + l2 * w / n, d.mean())
+        scaled, total, slope = w * ratio, np.zeros(len(ratio)), 0.0
+        for i in range(0, n, texts):
+            own, k = of[at[i] : at[min(i + texts, n)]], size[i : i + texts]
+            z = np.bincount(np.repeat(np.arange(len(k)), k), weights=scaled[own], minlength=len(k)) + bias
+            d = c[i : i + texts] * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[i : i + texts])
+            total += np.bincount(own, weights=np.repeat(d, k), minlength=len(ratio))
+            slope += d.sum()
+        g = np.append((ratio * total + l2 * w) / n, slope / n)
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         step = 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
         w, bias = w - step[:-1], bias - step[-1]
@@ -150,12 +158,15 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", folds: i
         for batch in batches:
             b, offsets = flat(batch.column(2))
             for i, j in blocks(offsets):
-                rows = [np.sort(x[x >= 0]).tobytes() for x in (rank[own] for own in features(b[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]))]
+                rows = [np.sort(x[x >= 0]).astype(np.uint16).tobytes() for x in (rank[own] for own in features(b[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]))]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(rows, pa.binary())], ["label", "weight", "held"])
 
     def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted((label, held, weight) for batch in batches for label, weight, held in zip(*(batch.column(k).to_pylist() for k in range(3))))
-        bias, w = fit(np.array([r[0] for r in rows]), np.array([r[2] for r in rows]), [np.frombuffer(r[1], np.int32) for r in rows], sent.value[1])
+        label, weight = np.array([r[0] for r in rows]), np.array([r[2] for r in rows])
+        size, of = np.array([len(r[1]) // 2 for r in rows]), np.frombuffer(b"".join(r[1] for r in rows), np.uint16)
+        del rows
+        bias, w = fit(label, weight, size, of, sent.value[1])
         yield pa.RecordBatch.from_arrays([pa.array([bias]), pa.array([w.tobytes()])], ["bias", "w"])
 
     model = sample.mapInArrow(thinned, "label int, weight double, held binary").repartition(1).mapInArrow(fitted, "bias double, w binary").head()
