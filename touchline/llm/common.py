@@ -130,12 +130,13 @@ def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def blocks(offsets: np.ndarray, limit: int = 1 << 18) -> Iterator[tuple[int, int]]:
-    """Row ranges of at most so many bytes each, or of one longer row."""
+    """Row ranges of at most so many bytes each, or of one longer row. Unused memory goes back to the system after the last."""
     i, n = 0, len(offsets) - 1
     while i < n:
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, "right")) - 1)
         yield i, j
         i = j
+    pa.default_memory_pool().release_unused()
 
 
 def fold_ascii(b: np.ndarray) -> np.ndarray:

@@ -177,7 +177,6 @@ def tokenized(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                 if with_ids:
                     cols.append(pa.ListArray.from_arrays(pa.array(np.append(begin, at[-1] if len(at) else 0).astype(np.int32)), pa.array(full.astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(cols, names)
-            pa.default_memory_pool().release_unused()
         coder.memory.clear()
 
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
