@@ -305,3 +305,10 @@ def test_early_calibration_starts_with_enough_predictions(spark):
     assert all(got[k, g] == 2.0 + k for g in (6, 7) for k in range(3))
     assert all(got[k, g] == pytest.approx(4.0 + 2 * k) for g in (8, 9) for k in range(3))
     assert sorted(models.early_calibrated(df, 99).collect()) == sorted(df.collect())
+
+
+def test_name_keys_keep_letters_of_all_alphabets(spark):
+    from touchline.functions.columns import name_key
+
+    rows = spark.createDataFrame([("Ødegaard",), ("Иван  Петров",), ("O'Neil-Müller",)], "name string")
+    assert [r.k for r in rows.select(name_key("name").alias("k")).collect()] == ["ødegaard", "иван петров", "oneilmuller"]
