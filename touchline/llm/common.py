@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -129,6 +131,18 @@ def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
+@lru_cache(maxsize=1)
+def _trim():
+    """malloc_trim of the C library, or nothing where it has none."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)
+
+
+def give_back() -> None:
+    """Return memory that Arrow and numpy have freed to the system; a reused Python worker would hold it between tasks."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 def blocks(offsets: np.ndarray, limit: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Row ranges of at most so many bytes each, or of one longer row. Unused memory goes back to the system after the last."""
     i, n = 0, len(offsets) - 1
@@ -136,7 +150,7 @@ def blocks(offsets: np.ndarray, limit: int = 1 << 18) -> Iterator[tuple[int, int
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, "right")) - 1)
         yield i, j
         i = j
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def fold_ascii(b: np.ndarray) -> np.ndarray:

@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm.common import blocks, checked, flat, staged, table
+from touchline.llm.common import blocks, checked, flat, give_back, staged, table
 
 LENGTH = 2048
 #: A bin with at most this much room left is emitted at once.
@@ -178,6 +178,7 @@ def tokenized(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                     cols.append(pa.ListArray.from_arrays(pa.array(np.append(begin, at[-1] if len(at) else 0).astype(np.int32)), pa.array(full.astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(cols, names)
         coder.memory.clear()
+        give_back()
 
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
     schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids
@@ -233,6 +234,7 @@ def pack_round(items: DataFrame, capacity: int, room: int, last: bool) -> DataFr
         full = np.full(len(bins), True) if last else total >= capacity - room
         for i in range(0, len(bins), 4096):
             yield pa.RecordBatch.from_arrays([out.slice(i, 4096), pa.array(total[i : i + 4096].astype(np.int32)), pa.array(full[i : i + 4096])], ["parts", "size", "full"])
+        give_back()
 
     return items.mapInArrow(run, _BIN)
 
