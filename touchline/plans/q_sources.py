@@ -62,9 +62,14 @@ def i6(spark, d):
     return ingest.fixtures_of(P.fixtures(spark, d), [7, 8, 9], 3, True).select("fixture_id", "team_h", "team_a")
 
 
-@query("i7_bulk_histories", P.ctes(P.STATS) + "SELECT player_id, count(*) AS n, max(gameweek) AS last_period FROM stats WHERE player_id % 2 = 0 GROUP BY player_id")
+def asked(spark, d):
+    """Ids of the players with orders."""
+    return P.table(spark, d, "orders").select(F.col("o_custkey").cast("long").alias("player_id")).distinct()
+
+
+@query("i7_bulk_histories", P.ctes(P.STATS) + "SELECT player_id, count(*) AS n, max(gameweek) AS last_period FROM stats WHERE player_id IN (SELECT o_custkey FROM orders) GROUP BY player_id")
 def i7(spark, d):
-    return ingest.histories_of(P.stats(spark, d), P.players(spark, d).filter("player_id % 2 = 0"))
+    return ingest.histories_of(P.stats(spark, d), asked(spark, d))
 
 
 def script_pages(spark, d):
@@ -99,9 +104,9 @@ def i12(spark, d):
     return ingest.training_facts(P.stats(spark, d), P.players(spark, d), "2025-26", range(1, 11)).select("player_id", "gameweek", "position", "price")
 
 
-@query("i13_period_facts", P.ctes(P.STATS, P.PLAYERS) + "SELECT s.player_id, coalesce(position, 'MID') AS position, coalesce(price, 5.0) AS price FROM stats s LEFT JOIN (SELECT * FROM players WHERE player_id % 2 = 0) p USING (player_id) WHERE gameweek = 11")
+@query("i13_period_facts", P.ctes(P.STATS, P.PLAYERS) + "SELECT s.player_id, coalesce(position, 'MID') AS position, coalesce(price, 5.0) AS price FROM stats s LEFT JOIN (SELECT * FROM players WHERE player_id IN (SELECT o_custkey FROM orders)) p USING (player_id) WHERE gameweek = 11")
 def i13(spark, d):
-    return ingest.period_facts(P.stats(spark, d), P.players(spark, d).filter("player_id % 2 = 0"), "2025-26", 11).select("player_id", "position", "price")
+    return ingest.period_facts(P.stats(spark, d), P.players(spark, d).join(asked(spark, d), "player_id", "left_semi"), "2025-26", 11).select("player_id", "position", "price")
 
 
 @query("i14_upsert_players", P.ctes(P.ALL_PLAYERS) + "SELECT player_id, name || CASE WHEN player_id % 3 = 0 THEN ' new' ELSE '' END AS name, position, CASE WHEN player_id % 3 = 0 THEN 7.5 ELSE price END AS price FROM players WHERE player_id % 2 = 0 OR player_id % 3 = 0")

@@ -133,20 +133,19 @@ def s14(spark, d):
 _BOARD = """
 SELECT p.player_id, name, position, coalesce(team_name, 'Unknown') AS team, round(coalesce(q.xp, CASE position WHEN 'FWD' THEN 2.5 WHEN 'MID' THEN 2.0 ELSE 1.5 END) + 1e-9, 2) AS expected_points, round(ownership, 1) AS ownership_percent, round(coalesce(l.total_points, 0) / CAST(10.0 AS DOUBLE), 1) AS form
 FROM players p LEFT JOIN teams USING (team_id) LEFT JOIN (SELECT * FROM predictions WHERE gameweek = 20) q ON q.player_id = p.player_id
-LEFT JOIN (SELECT * FROM stats QUALIFY row_number() OVER (PARTITION BY player_id ORDER BY gameweek DESC) = 1) l ON l.player_id = p.player_id
-ORDER BY p.player_id LIMIT 500"""
+LEFT JOIN (SELECT * FROM stats QUALIFY row_number() OVER (PARTITION BY player_id ORDER BY gameweek DESC) = 1) l ON l.player_id = p.player_id"""
 
 
 @query("v1_player_board", P.ctes(P.STATS, P.ALL_PLAYERS, P.PREDICTIONS, P.TEAMS) + _BOARD)
 def v1(spark, d):
     predictions = P.predictions(spark, d).withColumn("xp", F.col("xp") + 1e-9)
-    b = serve.player_board(P.players(spark, d, every=True), P.teams(spark, d), predictions, P.stats(spark, d), 20)
+    b = serve.player_board(P.players(spark, d, every=True), P.teams(spark, d), predictions, P.stats(spark, d), 20, None)
     return b.select("player_id", "name", "position", "team", "expected_points", "ownership_percent", "form")
 
 
-@query("v2_basic_board", P.ctes(P.ALL_PLAYERS) + "SELECT player_id, CAST(CASE position WHEN 'FWD' THEN 2.5 WHEN 'MID' THEN 2.0 ELSE 1.5 END AS DOUBLE) AS expected_points, CAST(45.0 AS DOUBLE) AS xmins FROM players ORDER BY player_id LIMIT 500")
+@query("v2_basic_board", P.ctes(P.ALL_PLAYERS) + "SELECT player_id, CAST(CASE position WHEN 'FWD' THEN 2.5 WHEN 'MID' THEN 2.0 ELSE 1.5 END AS DOUBLE) AS expected_points, CAST(45.0 AS DOUBLE) AS xmins FROM players")
 def v2(spark, d):
-    return serve.basic_board(P.players(spark, d, every=True), P.teams(spark, d)).select("player_id", "expected_points", "xmins")
+    return serve.basic_board(P.players(spark, d, every=True), P.teams(spark, d), None).select("player_id", "expected_points", "xmins")
 
 
 @query("v3_dream_team")
