@@ -18,7 +18,7 @@ ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: A table of at most this many narrow rows (ids, counts) may be broadcast: some tens of MB.
 BROADCAST_ROWS = 1_000_000
 #: Bytes of a row group of a staged table; a writing task holds about one in memory.
-ROW_GROUP = 32 << 20
+ROW_GROUP = 16 << 20
 #: Rows of an Arrow batch, which the JVM and the Python worker both hold.
 RECORDS = 2000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -161,7 +161,7 @@ def tokenized(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
         coder = encoder(path)
         for batch in batches:
             _, offsets = flat(batch.column(1))
-            for i, j in blocks(offsets, 1 << 20):
+            for i, j in blocks(offsets, 1 << 19):
                 ids, at = coder.batch(batch.column(1).slice(i, j - i))
                 n = np.diff(at) + 1
                 full = np.insert(ids, at[1:], 0).astype("<u4")
