@@ -98,9 +98,9 @@ _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def powers(n: int) -> list[np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, at least n of them."""
+    """Powers of the base and of its inverse modulo 2**64, at least n of them; a worker keeps those of its longest block."""
     if len(_powers[0]) < n:
-        size = max(n, 1 << 20)
+        size = max(n + n // 4, 1 << 17)
         for k, x in enumerate((_BASE, _INVERSE)):
             step = np.full(size, x, np.uint64)
             step[0] = 1
