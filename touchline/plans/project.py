@@ -5,6 +5,9 @@ Both forms use integer arithmetic and casts that mean the same in either engine.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +18,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def landing(spark: SparkSession) -> str:
+    """A new folder below spark.checkpoint.dir; where that is unset and all runs in one process (tests), below a temporary one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        shared = "file://" + tempfile.mkdtemp(prefix="spark-")
+    return f"{shared}/touchline-landing-{uuid.uuid4().hex}"
+
+
 def stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events")
     of = lambda kind: F.sum(F.when(F.col("event_type") == kind, 1).otherwise(0))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from touchline.operators import backtest, market, risk
 from touchline.plans import project as P
 from touchline.plans.registry import query, r
+from touchline.sources import upsert
 
 
 def facts(spark, d):
@@ -48,6 +49,16 @@ def b4(spark, d):
     return backtest.overall_metrics(scored(spark, d)).select("n", r("rmse"), r("mae"), r("r_squared"), r("spearman"))
 
 
+_SUMMARY = "SELECT '{v}' AS model_version, count(*) AS n, round(sqrt(avg(pow(predicted - points, 2))), 4) AS rmse, round(avg(abs(predicted - points)), 4) AS mae FROM sc WHERE gameweek <= {last}"
+
+
+@query("i22_backtest_summary", P.ctes(P.STATS, P.PREDICTIONS, _SC) + _SUMMARY.format(v="v1", last=15) + " UNION ALL " + _SUMMARY.format(v="v2", last=99))
+def i22(spark, d):
+    s = scored(spark, d)
+    stored = backtest.overall_metrics(s.filter("gameweek <= 15")).withColumn("model_version", F.explode(F.array(F.lit("v1"), F.lit("v2"))))
+    return upsert.save_summary(stored, backtest.overall_metrics(s), "v2").select("model_version", "n", r("rmse"), r("mae"))
+
+
 @query("b6_diagnostics", P.ctes(P.STATS, P.PREDICTIONS, _SC) + "SELECT round(avg(predicted) - avg(points), 4) AS bias, round((avg(predicted) - avg(points)) / avg(points) * 100, 4) AS bias_pct, round(var_pop(predicted) / var_pop(points), 4) AS variance_ratio, var_pop(predicted) / var_pop(points) < 0.5 AS low_variance FROM sc")
 def b6(spark, d):
     return backtest.diagnostics(scored(spark, d)).select(r("bias"), r("bias_pct"), r("variance_ratio"), "low_variance")

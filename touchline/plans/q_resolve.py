@@ -8,6 +8,7 @@ from touchline.functions.columns import canonical_name, light_name_key, name_key
 from touchline.operators import resolve
 from touchline.plans import project as P
 from touchline.plans.registry import query, r
+from touchline.sources import ingest
 
 _FROM, _TO = "àáâãäåèéêëìíîïòóôõöùúûüçñ", "aaaaaaeeeeiiiiooooouuuucn"
 
@@ -67,6 +68,15 @@ def id_map(spark, d):
     return j.select("id", "name", (F.col("id") + 1_000_000).alias("source_a_id"), F.col("other").alias("source_a_name"), (F.col("id") + 2_000_000).alias("source_b_id"), F.upper("name").alias("source_b_name")).coalesce(1).sortWithinPartitions("id")
 
 
+@query("i11_id_map", P.ctes(P.NAMES) + "SELECT a.id, a.name, a.id + 1000000 AS source_a_id, b.name AS source_a_name, CAST(a.id + 2000000 AS VARCHAR) AS source_b_id, upper(a.name) AS source_b_name FROM names_a a JOIN names_b b ON b.id = a.id + 1000000 WHERE a.id % 2 = 0")
+def i11(spark, d):
+    # The first copy has only its header, so the fallback is read.
+    m, at = id_map(spark, d), P.landing(spark)
+    for name, rows in (("first", m.filter("id < 0")), ("copy", m)):
+        rows.write.option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(f"{at}/{name}")
+    return ingest.read_id_map(spark, f"{at}/first", f"{at}/copy")
+
+
 _MAP = f"im AS (SELECT a.id, {key_sql('a.name')} AS k1, {key_sql('b.name')} AS k2 FROM names_a a JOIN names_b b ON b.id = a.id + 1000000 WHERE a.id % 2 = 0), nm AS (SELECT id, {key_sql('name')} AS k FROM names_a)"
 _E5 = "e5 AS (SELECT id, min(step) AS step, arg_min(map_id, step * 100000000 + map_id) AS map_id FROM (SELECT nm.id, 0 AS step, im.id AS map_id FROM nm JOIN im USING (id) UNION ALL SELECT nm.id, 1, im.id FROM nm JOIN im ON k = k1 UNION ALL SELECT nm.id, 2, im.id FROM nm JOIN im ON k = k2) GROUP BY id)"
 

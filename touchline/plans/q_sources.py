@@ -99,6 +99,15 @@ def i9(spark, d):
     return ingest.defensive_stats(table_pages(spark, d), None).select("url", "name", "minutes", "interventions", r("blocks_per_90", 3))
 
 
+_WORDS = ", ".join(f"('{c}', '{w}')" for c, words in ingest.DEFENSE_COLUMNS.items() for w in words)
+_HEADS = "(VALUES (0, 0, 'nation'), (1, 0, 'player'), (1, 1, 'squad'), (1, 2, 'pos'), (1, 3, 'min'), (1, 4, 'tkl'), (1, 5, 'int'), (1, 6, 'blocks'), (1, 7, 'cmp')) h(table_no, place, head)"
+
+
+@query("c17_header_places", P.ctes(P.STATS, P.PLAYERS) + f"SELECT 'team/' || team_id AS url, table_no, field, min(place) AS place FROM (SELECT DISTINCT team_id FROM stats JOIN players USING (player_id)) t, {_HEADS}, (VALUES {_WORDS}) w(field, word) WHERE contains(head, word) GROUP BY ALL")
+def c17(spark, d):
+    return ingest.header_places(ingest.table_rows(table_pages(spark, d))).select("url", F.col("table").alias("table_no"), F.col("column").alias("field"), "place")
+
+
 @query("i12_training_facts", P.ctes(P.STATS, P.PLAYERS) + "SELECT player_id, gameweek, position, price FROM stats JOIN players USING (player_id) WHERE gameweek BETWEEN 1 AND 10")
 def i12(spark, d):
     return ingest.training_facts(P.stats(spark, d), P.players(spark, d), "2025-26", range(1, 11)).select("player_id", "gameweek", "position", "price")

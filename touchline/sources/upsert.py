@@ -46,7 +46,7 @@ def upsert_partitions(target_path: str, updates: DataFrame, staging_path: str, k
     """Upsert into a partitioned table, reading and replacing only the partitions that the updates touch. The merged rows are staged first, so nothing is read and overwritten in one plan."""
     spark = updates.sparkSession
     touched = updates.select(*by).distinct()
-    target = spark.read.parquet(target_path).join(F.broadcast(touched), list(by), "left_semi")
+    target = spark.read.parquet(target_path).join(touched, list(by), "left_semi")
     upsert(target, updates, keys).write.mode("overwrite").parquet(staging_path)
     write_partitions(spark.read.parquet(staging_path), target_path, by)
 
@@ -65,5 +65,10 @@ def renamed(df: DataFrame, names: dict[str, str]) -> DataFrame:
     return df
 
 
+def save_summary(stored: DataFrame, metrics: DataFrame, model_version: str) -> DataFrame:
+    """Stored backtest summaries with these metrics in place of the version's earlier ones."""
+    return upsert(stored, metrics.withColumn("model_version", F.lit(model_version)), ["model_version"])
+
+
 def write_report(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").json(path)
