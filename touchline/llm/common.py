@@ -25,6 +25,10 @@ _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table; from now on this session's Python workers get at most RECORDS rows at a time."""
+    now = int(spark.conf.get(_BATCH))
+    if not 0 < now <= RECORDS:
+        spark.conf.set(_BATCH, str(RECORDS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -40,18 +44,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
-    """df written once as Parquet in the shared folder and read back: lineage ends here and survives lost executors.
-
-    Python workers that take part get at most RECORDS rows at a time.
-    """
+    """df written once as Parquet in the shared folder and read back: lineage ends here and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/touchline-{label}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_BATCH)
-    spark.conf.set(_BATCH, str(min(int(before), RECORDS) if int(before) > 0 else RECORDS))
-    try:
-        df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
-    finally:
-        spark.conf.set(_BATCH, before)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_path = path
     return out
