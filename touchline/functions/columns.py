@@ -121,15 +121,19 @@ def canonical_name(c: Column) -> Column:
     return F.when(x == "", "").otherwise(F.array_join(F.transform(F.split(x, " "), word), " "))
 
 
-def name_score(a: Column, b: Column) -> Column:
-    """1 for equal light names, 0.9 if one holds the other, else the Jaccard coefficient of their words."""
-    x, y = light_name_key(a), light_name_key(b)
+def key_score(x: Column, y: Column) -> Column:
+    """Of two light keys: 1 if equal, 0.9 if one holds the other, else the Jaccard coefficient of their words."""
+    x, y = col(x), col(y)
     u, v = (F.filter(F.array_distinct(F.split(k, r"\s+")), lambda w: w != "") for k in (x, y))
     shared, joint = F.size(F.array_intersect(u, v)), F.size(F.array_union(u, v))
     jaccard = F.when((F.size(u) > 0) & (F.size(v) > 0), shared / F.greatest(joint, F.lit(1))).otherwise(0.0)
     return F.when(x == y, 1.0).when(x.contains(y) | y.contains(x), 0.9).otherwise(jaccard)
 
 
+def name_score(a: Column, b: Column) -> Column:
+    return key_score(light_name_key(a), light_name_key(b))
+
+
 # ---------------------------------------------------------------- Poisson
 
 FACTORIALS = [1, 1, 2, 6, 24, 120, 720]

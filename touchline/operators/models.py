@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
-from functools import reduce
 
-from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.evaluation import RegressionEvaluator
@@ -20,8 +16,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from touchline.functions.columns import clip
-from touchline.operators import features, scoring
+from touchline.operators import boosting, features, scoring
 from touchline.operators.backtest import overall_metrics, overall_rank, period_metrics
+from touchline.operators.stage import stage_in
 
 START_INPUTS = features.START_FEATURES
 LAG_INPUTS = [f"{s}_lag_{n}" for s in ("xg", "xa", "cs") for n in features.LAGS] + [f"{s}_rolling_{n}" for s in ("xg", "xa", "cs") for n in features.WINDOWS]
@@ -139,7 +136,11 @@ def score(models: Components, frame: DataFrame) -> DataFrame:
     """player_id, gameweek, xp and its parts."""
     df = predict_start(models.start, frame)
     df = predict_attack((models.xg, models.xa), df)
-    df = predict_clean_sheet(models.clean_sheet, df).withColumn("xcs", F.when(F.col("position").isin("GK", "DEF"), F.col("xcs")).otherwise(0.0))
+    return _points(predict_clean_sheet(models.clean_sheet, df))
+
+
+def _points(df: DataFrame) -> DataFrame:
+    df = df.withColumn("xcs", F.when(F.col("position").isin("GK", "DEF"), F.col("xcs")).otherwise(0.0))
     df = df.withColumn("defcon_points", F.col("floor_points")).withColumn("form", F.col("form_score") * 10).withColumn("ict_index", F.col("ict"))
     return scoring.expected_points(df)
 
@@ -159,31 +160,72 @@ def early_calibrated(out: DataFrame, least: int) -> DataFrame:
     return out.withColumn("predicted", F.when(F.col("gameweek") >= start, later).otherwise(F.col("predicted")))
 
 
-def full_backtest(stats: DataFrame, players: DataFrame, test_periods: Sequence[int] | None = None, checkpoint: str | None = None, trees: int = 20, depth: int = 4, min_train: int = 5, parallelism: int = 4) -> tuple[DataFrame, DataFrame, DataFrame]:
+#: Label, inputs, whether it is a probability, and the prediction's name of each component.
+COMPONENTS = (("label", START_INPUTS, True, "p_start"), ("label_xg", ATTACK_INPUTS, False, "p_label_xg"), ("label_xa", ATTACK_INPUTS, False, "p_label_xa"), ("label_cs", DEFENSE_INPUTS, True, "p_cs"))
+
+
+def fold_predictions(frame: DataFrame, periods: Sequence[int], stage, trees: int = 20, depth: int = 4, columns: Sequence[str] = ()) -> DataFrame:
+    """For each of `periods` the rows of that period with xp and its parts, by components fitted on all earlier periods. All folds and components grow in one plan."""
+    ids = [c for c in ("season", "player_id", "gameweek") if c in frame.columns]
+    inputs = list(dict.fromkeys(c for _, own, _, _ in COMPONENTS for c in own))
+    data = boosting.binned(frame, inputs, [c[0] for c in COMPONENTS], [F.col("gameweek") < p for p in periods], ids, stage)
+    fits = [boosting.Fit(label, tuple(own), k, logistic, trees, depth) for label, own, logistic, _ in COMPONENTS for k in range(len(periods))]
+    forests = boosting.fit_all(data, fits, stage)
+    which = {name: range(i * len(periods), (i + 1) * len(periods)) for i, (_, _, _, name) in enumerate(COMPONENTS)}
+    fold = F.element_at(F.create_map(*[F.lit(x) for k, p in enumerate(periods) for x in (p, k)]), F.col("gameweek").cast("int"))
+    made = boosting.predicted(data, fits, forests, which, fold)
+    df = frame.drop("xg", "xa", "xcs", "p_start", "xmins").join(made, ids)
+    df = df.withColumns({"xmins": scoring.expected_minutes(F.col("p_start")), "xg": F.greatest(F.lit(0.0), "p_label_xg"), "xa": F.greatest(F.lit(0.0), "p_label_xa"), "xcs": clip(F.col("p_cs"), 0.0, 1.0)})
+    return _points(df)
+
+
+def full_backtest(stats: DataFrame, players: DataFrame, test_periods: Sequence[int] | None = None, checkpoint: str | None = None, trees: int = 20, depth: int = 4, min_train: int = 5) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(predictions, metrics by period, overall metrics with the final calibration). Periods: those asked for, or all, that have min_train earlier periods.
 
-    Features are computed once; each fold trains on earlier periods, `parallelism` folds side by side, and its predictions are written where a checkpoint folder is known.
-    Predictions are calibrated early once there are max(5, a third of the periods) of them.
+    Features are computed once; all folds and components are fitted in one plan. Predictions are calibrated early once there are max(5, a third of the periods) of them.
     """
-    spark = stats.sparkSession
-    base = checkpoint or spark.conf.get("spark.checkpoint.dir", None)
-    frame = training_frame(stats, players).persist()
+    stage = stage_in(stats.sparkSession, checkpoint)
+    frame = stage(training_frame(stats, players), "frame")
     known = sorted(row["gameweek"] for row in frame.select("gameweek").distinct().collect())
     asked = known if test_periods is None else sorted(test_periods)
     ready = [p for p in asked if sum(q < p for q in known) >= min_train]
-
-    def fold(period: int) -> DataFrame:
-        models = train_components(frame.filter(F.col("gameweek") < period), trees, depth)
-        made = score(models, frame.filter(F.col("gameweek") == period)).select("player_id", "gameweek", F.col("xp").alias("predicted"), F.col("total_points").cast("double").alias("points"))
-        if base:
-            path = f"{base}/fold-{uuid.uuid4().hex}"
-            made.write.parquet(path)
-            made = spark.read.schema(made.schema).parquet(path)
-        return made
-
-    with ThreadPoolExecutor(parallelism) as pool:
-        folds = list(pool.map(inheritable_thread_target(spark)(fold), ready))
-    none = frame.filter("false").select("player_id", "gameweek", F.lit(0.0).alias("predicted"), F.col("total_points").cast("double").alias("points"))
-    out = early_calibrated(reduce(DataFrame.unionByName, folds, none), max(5, len(asked) // 3))
+    if ready:
+        made = fold_predictions(frame, ready, stage, trees, depth).select("player_id", "gameweek", F.col("xp").alias("predicted"), F.col("total_points").cast("double").alias("points"))
+        made = stage(made, "predictions")
+    else:
+        made = frame.filter("false").select("player_id", "gameweek", F.lit(0.0).alias("predicted"), F.col("total_points").cast("double").alias("points"))
+    out = early_calibrated(made, max(5, len(asked) // 3))
     calibration = scoring.fit_calibration(out)
     return out, period_metrics(out), overall_metrics(out).join(F.broadcast(calibration.select("scale", "offset", "rmse_after")))
+
+
+def boosted_grid(frame: DataFrame, inputs: Sequence[str], label: str, ids: Sequence[str], trees: Sequence[int] = (20, 40), depths: Sequence[int] = (3, 5), steps: Sequence[float] = (0.05, 0.1), subsamples: Sequence[float] = (0.8,), folds: int = 3, halving: bool = True, logistic: bool = False, checkpoint: str | None = None) -> tuple[dict, DataFrame]:
+    """(best setting, table of all settings with their mean error over the folds).
+
+    All settings and folds grow in one plan on features cut once. A setting of fewer trees is the beginning of one of more, so it is not fitted again. halving gives up the worse half
+    of what is left whenever a number of `trees` is reached; the table then has no error of the given-up ones beyond.
+    """
+    stage = stage_in(frame.sparkSession, checkpoint)
+    part = F.pmod(F.xxhash64(F.lit(7), *ids), F.lit(folds))
+    data = boosting.binned(frame, inputs, [label], [part != k for k in range(folds)], ids, stage)
+    settings = [(d, s, u) for d in depths for s in steps for u in subsamples]
+    most = sorted(trees)
+    fits = [boosting.Fit(label, tuple(inputs), k, logistic, most[-1], d, s, u) for d, s, u in settings for k in range(folds)]
+    table: dict[tuple, float] = {}
+    gone: set[int] = set()
+
+    def drop(n: int, forests: list[boosting.Forest]) -> set[int]:
+        if n not in most:
+            return set()
+        left = [k for k in range(len(fits)) if k not in gone]
+        found = dict(zip(left, boosting.errors(data, [fits[k] for k in left], [forests[k] for k in left])))
+        mean = {i: sum(found[i * folds + k] for k in range(folds)) / folds for i in range(len(settings)) if i * folds in found}
+        table.update({(n, *settings[i]): e for i, e in mean.items()})
+        worse = sorted(mean, key=lambda i: (mean[i], i))[(len(mean) + 1) // 2 :] if halving else []
+        gone.update(i * folds + k for i in worse for k in range(folds))
+        return set(gone)
+
+    boosting.fit_all(data, fits, stage, drop)
+    rows = [(*key, float(table[key]) if key in table else None) for key in ((n, *s) for n in most for s in settings)]
+    best = min((r for r in rows if r[-1] is not None), key=lambda r: (r[-1], r))
+    return dict(zip(("trees", "depth", "step", "subsample", "error"), best)), frame.sparkSession.createDataFrame(rows, "trees int, depth int, step double, subsample double, error double")

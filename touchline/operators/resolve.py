@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from math import inf
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from touchline.functions.columns import canonical_name, col, name_key, name_score
-from touchline.functions.similarity import SCORERS
+from touchline.functions.columns import canonical_name, col, key_score, light_name_key, name_key
+from touchline.functions.similarity import SCORERS, many
+from touchline.operators.stage import stage_in
 
 MAP_COLUMNS = ["id", "name", "source_a_id", "source_a_name", "source_b_id", "source_b_name"]
 
@@ -23,9 +26,16 @@ def chosen_name(primary: Column, a: Column, b: Column) -> Column:
     return F.when(canonical_name(primary) != "", canonical_name(primary)).otherwise(F.coalesce(canonical_name(F.coalesce(agreed, longest)), F.lit("")))
 
 
+def row_order(id_map: DataFrame) -> Column:
+    """The order of the map's rows: the columns file and at where the reader knows them (read_id_map), else the values themselves. It does not depend on how many files or tasks there are."""
+    if {"_file", "_at"} <= set(id_map.columns):
+        return F.struct("_file", "_at")
+    return F.struct(*[F.col(c) for c in MAP_COLUMNS])
+
+
 def exact_resolution(names: DataFrame, id_map: DataFrame) -> DataFrame:
     """names (id, name, source_a_name, source_b_name; the last two may be missing) with the first row of the map that matches by id, then by name against the map's three names, then by the sources' names. One equi-join per step, the best step kept."""
-    m = id_map.select(*MAP_COLUMNS).withColumn("_row", F.monotonically_increasing_id())
+    m = id_map.withColumn("_row", row_order(id_map)).select(*MAP_COLUMNS, "_row")
     keys = {c: m.select(name_key(c).alias("_k"), "_row", F.struct(*MAP_COLUMNS).alias("_m")).filter("_k <> ''") for c in ("name", "source_a_name", "source_b_name")}
     steps = [names.select(F.col("id").alias("_id")).join(m.select(F.col("id").alias("_id"), "_row", F.struct(*MAP_COLUMNS).alias("_m")), "_id").select("_id", F.lit(0).alias("_step"), "_row", "_m")]
     asked = [("name", "name"), ("name", "source_a_name"), ("name", "source_b_name"), ("source_a_name", "source_a_name"), ("source_b_name", "source_b_name")]
@@ -42,86 +52,184 @@ def exact_resolution(names: DataFrame, id_map: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- fuzzy
 
-def block_keys(name: Column) -> Column:
-    """Words of the name's key, and its first three letters: names that share none are not compared."""
-    k = name_key(name)
-    return F.array_distinct(F.filter(F.concat(F.split(k, " "), F.array(F.concat(F.lit("^"), F.substring(F.replace(k, F.lit(" "), F.lit("")), 1, 3)))), lambda w: F.length(w) > 1))
-
-
-def gram_keys(clean: Column) -> Column:
-    """k, v, n of a name: its words (v "w"); the pairs of characters, numbered where they recur, of the name, of its sorted words and of its sorted distinct words (v "p", "s", "z"; n is that text's length); its characters (v "c"; n is the length of "z")."""
-
-    def numbered(parts: list[str], v: str, n: int) -> list[tuple[str, str, int]]:
-        seen: dict[str, int] = {}
-        out = []
-        for x in parts:
-            seen[x] = seen.get(x, 0) + 1
-            out.append((f"{v}{x}#{seen[x]}", v, n))
-        return out
-
-    @F.pandas_udf("array<struct<k:string,v:string,n:int>>")
-    def keys(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for names in batches:
-            held = []
-            for a in names:
-                words = sorted(a.split())
-                sets = " ".join(sorted(set(words)))
-                out = [(f"w{w}", "w", 0) for w in set(words)] + numbered(list(a), "c", len(sets))
-                for v, text in (("p", a), ("s", " ".join(words)), ("z", sets)):
-                    out += numbered([text[i : i + 2] for i in range(len(text) - 1)], v, len(text))
-                held.append([dict(zip("kvn", x)) for x in out])
-            yield pd.Series(held)
-
-    return keys(clean)
-
-
-def candidate_pairs(targets: DataFrame, candidates: DataFrame, exact: bool = False, max_block: int | None = None, threshold: float = 75.0) -> DataFrame:
-    """target_id, target, cand_id, cand: every pair that any scorer can put at or over the threshold, by equi-joins on words and pairs of characters.
-
-    A common subsequence of L characters in texts of S together has at most S - 2L gaps, so the texts share 3L - 1 - S pairs of characters. A score t (0 to 1) needs
-    2L >= tS, and S >= 2n / (2 - t) where n is the shorter text (a stretch of the longer one counts in partial scores): fewer shared pairs rule a pair of names out.
-    Names so short that this may be 0 meet all that share n * t / (2 - t) characters. For t up to 2/3 this excludes nothing, so all pairs are compared, as with exact.
-    max_block leaves out keys of more candidates, which costs recall; none by default.
+#: Pairs of names under one key from which the key is split over tasks, and names of one part of it.
+HOT, PART = 200_000, 300
+_BLANKS = r"(?U)[\s\x1c-\x1f]+"
+
+
+@dataclass(frozen=True)
+class Bounds:
+    """What two names must have in common for a score; t: scores from 0 to 1, c: the name's length, z: that of its distinct words.
+
+    ratio: a whole-name ratio t needs t / (2 - t) of either name's characters, as a common subsequence has so many: the least of such shares of c and of z.
+    words: shared words must make up t / (2 - t) of one of the names (z); near: only names of like length (1.5).
+    partial: (share of c, share of z, least and most ratio of lengths, whether any shared word is enough): the shorter name's characters in the longer one.
+    """
+
+    ratio: tuple[float, float] | None
+    words: float | None
+    near: bool
+    partial: tuple[tuple[float, float, float, float, bool], ...]
+
+
+def bounds(scorer: str, threshold: float) -> Bounds:
+    share = lambda t: t / (2 - t) if t <= 1 else inf
+    t = threshold / 100
+    if t <= 0:
+        raise ValueError("a threshold of 0 takes all pairs")
+    if scorer == "partial":
+        return Bounds(None, None, False, ((share(t), inf, 1.0, inf, False),))
+    if scorer == "ratio":
+        return Bounds((share(t), inf), None, False, ())
+    if scorer == "token_sort":
+        return Bounds((inf, share(t)), None, False, ())
+    if scorer == "token_set":
+        return Bounds((inf, share(t)), share(t), False, ())
+    lengths = ((0.9, 1.5, 8.0), (0.6, 8.0, inf))
+    partial = tuple((share(t / k), share(t / k / 0.95), lo, hi, 0.95 * k >= t - 1e-12) for k, lo, hi in lengths if t <= k + 1e-12)
+    return Bounds((share(t), share(t / 0.95)), share(t / 0.95) if t <= 0.95 + 1e-12 else None, True, partial)
+
+
+def cleaned(name: Column) -> Column:
+    """A name as the scorers see it."""
+    return F.coalesce(F.trim(F.lower(col(name))), F.lit(""))
+
+
+def _ordered(names: DataFrame, keys: Column, counts: DataFrame) -> DataFrame:
+    """name -> its keys, rarest first, as hashes."""
+    each = names.select("name", F.explode(keys).alias("k")).join(counts, "k")
+    return each.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("n", "k"))).alias("keys"))
+
+
+def _counts(a: DataFrame, b: DataFrame, keys: Column) -> DataFrame:
+    """k, n: in how many names of both lists a key is."""
+    return a.select(F.explode(keys).alias("k")).unionByName(b.select(F.explode(keys).alias("k"))).groupBy("k").agg(F.count("*").alias("n"))
+
+
+def _hashes(c: str) -> Column:
+    return F.transform(c, lambda x: F.xxhash64(x["k"]))
+
+
+def name_index(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both lists (name, distinct) with length c, length z of the distinct words, and their characters (numbered where they recur) and words, rarest in both lists first."""
+    # All white space as blanks, as joined words have them.
+    chars = F.filter(F.split(F.regexp_replace("name", r"(?U)[\s\x1c-\x1f]", " "), ""), lambda x: x != "")
+    numbered = F.transform(chars, lambda x, i: F.concat(x, F.size(F.filter(F.slice(chars, F.lit(1), i + 1), lambda y: y == x)).cast("string")))
+    words = F.array_distinct(F.filter(F.split("name", _BLANKS), lambda w: w != ""))
+    by_char, by_word = _counts(a, b, numbered), _counts(a, b, words)
+
+    def side(names: DataFrame) -> DataFrame:
+        held = _ordered(names, numbered, by_char).select("name", _hashes("keys").alias("chars"))
+        worded = _ordered(names, words, by_word).select("name", _hashes("keys").alias("words"), F.transform("keys", lambda x: F.length(x["k"])).alias("lengths"))
+        full = names.join(held, "name").join(worded, "name", "left")
+        all_words = F.split("name", _BLANKS)
+        return full.select("name", F.length("name").alias("c"), F.length(F.array_join(words, " ")).alias("z"), (F.size(F.filter(all_words, lambda w: w != "")) > F.size(words)).alias("repeats"), "chars", F.coalesce("words", F.array().cast("array<bigint>")).alias("words"), "lengths")
+
+    return side(a), side(b)
+
+
+def _under_keys(names: DataFrame, columns: list[str], keys: Column, c: str) -> DataFrame:
+    """k and a struct c of the columns and the rarer keys of the same name: a pair's first common key is the one before which they have none in common."""
+    each = names.select(*columns, keys.alias("_keys")).select(*columns, "_keys", F.posexplode("_keys").alias("_i", "k"))
+    return each.select("k", F.struct(*columns, F.slice("_keys", F.lit(1), F.col("_i")).alias("rarer")).alias(c))
+
+
+def meet(x: DataFrame, y: DataFrame) -> DataFrame:
+    """x (k, x) with y (k, y) by k: x, y. A key of many pairs is split over tasks: each side is cut in parts of about PART rows and meets all parts of the other."""
+    nx, ny = (d.groupBy("k").agg(F.count("*").alias(n)) for d, n in ((x, "nx"), (y, "ny")))
+    cuts = lambda n: F.ceil(F.col(n) / PART).cast("int")
+    hot = nx.join(ny, "k").filter(F.col("nx") * F.col("ny") > HOT).select("k", cuts("nx").alias("sx"), cuts("ny").alias("sy"))
+
+    def cut(d: DataFrame, own: str, other: str, c: str) -> DataFrame:
+        part = F.pmod(F.xxhash64(F.col(c)["name"]), F.coalesce(own, F.lit(1))).cast("int")
+        d = d.join(hot, "k", "left").select("k", c, part.alias(f"p{own}"), F.coalesce(other, F.lit(1)).alias("_n"))
+        return d.select("k", c, f"p{own}", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias(f"p{other}"))
+
+    # Few bytes become many pairs, so the number of tasks must not follow the bytes.
+    spark, keys = x.sparkSession, ["k", "psx", "psy"]
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    return cut(x, "sx", "sy", "x").repartition(tasks, *keys).join(cut(y, "sy", "sx", "y").repartition(tasks, *keys).hint("shuffle_hash"), keys)
+
+
+def candidate_names(targets: DataFrame, candidates: DataFrame, scorer: str = "weighted", threshold: float = 75.0) -> DataFrame:
+    """target, cand: pairs of distinct cleaned names, among them all that the scorer puts at or over the threshold; a pair may come once for each kind of bound.
+
+    Of n keys (characters, or words) of which o must be shared, the n - o + 1 rarest of each name are looked up, as the rarest shared key is one of them; a pair is kept under that key only.
     """
-    t = targets.select(F.col("id").alias("target_id"), F.col("name").alias("target"))
-    c = candidates.select(F.col("id").alias("cand_id"), F.col("name").alias("cand"))
-    share = threshold / 100
-    if exact or share <= 0.67:
-        return t.join(F.broadcast(c.limit(100_001)) if c.limit(100_001).count() <= 100_000 else c, F.length("cand") > 0)
-    clean = lambda name: F.coalesce(F.trim(F.lower(F.col(name))), F.lit(""))
-    tk = t.select("target_id", "target", F.inline(gram_keys(clean("target")))).withColumnRenamed("n", "tn")
-    ck = c.filter(F.length("cand") > 0).select("cand_id", "cand", F.inline(gram_keys(clean("cand"))))
-    if max_block:
-        few = ck.groupBy("k").agg(F.count("*").alias("_many")).filter(F.col("_many") <= max_block).select("k")
-        ck = ck.join(few, "k", "left_semi")
-    short = int((2 - share) / (2 * (1.5 * share - 1)) + 1e-9)
-    both = ["target_id", "target", "cand_id", "cand"]
-    # Characters (v "c") only where one of the names is short.
-    near = lambda mine, theirs: mine.join(theirs.drop("v"), "k").select(*both, "v", F.least("tn", "n").alias("n"))
-    by_char = lambda df: df.filter("v = 'c'")
-    hits = near(tk.filter("v <> 'c'"), ck.filter("v <> 'c'")).unionByName(near(by_char(tk).filter(F.col("tn") <= short), by_char(ck))).unionByName(near(by_char(tk).filter(F.col("tn") > short), by_char(ck).filter(F.col("n") <= short)))
-    least = F.when(F.col("v") == "w", 1.0).when(F.col("v") == "c", F.col("n") * share / (2 - share)).otherwise(F.col("n") * 2 / (2 - share) * (1.5 * share - 1) - 1)
-    return hits.groupBy(*both, "v", "n").count().filter(F.col("count") >= least - 1e-6).select(*both).distinct()
-
-
-def scored(pairs: DataFrame, scorer: str = "weighted", normalise: bool = True) -> DataFrame:
-    """With score, 0 to 100."""
-    f = SCORERS[scorer]
+    stage = stage_in(targets.sparkSession)
+    a, b = (stage(side, "index") for side in name_index(targets, candidates))
+    rule = bounds(scorer, threshold)
+    found = []
+
+    def joined(x: DataFrame, y: DataFrame, keys_x: Column, keys_y: Column, held: Column | None = None, flip: bool = False) -> None:
+        """keys_x looked up among keys_y; held: what a pair must fulfil besides."""
+        pairs = meet(_under_keys(x, ["name", "c", "z"], keys_x, "x"), _under_keys(y, ["name", "c", "z"], keys_y, "y"))
+        first = ~F.arrays_overlap("x.rarer", "y.rarer")
+        pairs = pairs.filter(first if held is None else held & first)
+        found.append(pairs.select(F.col("y.name" if flip else "x.name").alias("target"), F.col("x.name" if flip else "y.name").alias("cand")))
+
+    def needed(shares: tuple[float, float]) -> Column:
+        parts = [F.col(c) * s for c, s in zip("cz", shares) if s < inf]
+        return F.greatest(F.ceil((parts[0] if len(parts) == 1 else F.least(*parts)) - 1e-9), F.lit(1)).cast("int")
+
+    prefix = lambda o: F.slice("chars", F.lit(1), F.greatest(F.size("chars") - o + 1, F.lit(0)))
+    x_c, y_c, x_z, y_z = (F.col(c) for c in ("x.c", "y.c", "x.z", "y.z"))
+    ratio = F.greatest(x_c, y_c) / F.least(x_c, y_c)
+    if rule.ratio:
+        keys = prefix(needed(rule.ratio))
+        joined(a, b, keys, keys)
+    for x, y, flip in ((a, b, False), (b, a, True)):
+        if rule.words is not None:
+            # Words from which on those left could still make up the share.
+            rest = lambda i: F.aggregate(F.slice("lengths", i + 1, F.size("lengths")), F.lit(-1), lambda s, n: s + n + 1)
+            keys = F.filter("words", lambda w, i: rest(i) >= F.col("z") * rule.words - 1e-9)
+            joined(x, y, keys, F.col("words"), ratio < 1.5 if rule.near else None, flip=flip)
+        for share_c, share_z, lo, hi, any_word in rule.partial:
+            far = ((ratio >= lo) & (ratio < hi)) if hi < inf else ratio >= lo
+            shorter = far & ((x_c <= y_c) | (x_z <= y_z))
+            joined(x, y, prefix(needed((share_c, share_z))), F.col("chars"), shorter, flip=flip)
+            if any_word and not flip:
+                joined(x, y, F.col("words"), F.col("words"), far)
+    pairs = found[0]
+    for more in found[1:]:
+        pairs = pairs.unionByName(more)
+    return pairs
+
+
+def scored(pairs: DataFrame, scorer: str = "weighted", normalise: bool = True, least: float = 0.0) -> DataFrame:
+    """target, cand with score, 0 to 100; scores below `least` may be less than they are."""
 
     @F.pandas_udf("double")
     def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for a, b in batches:
-            yield pd.Series([f(x, y) for x, y in zip(a, b)], dtype="float64")
+            yield pd.Series(many(scorer, a.tolist(), b.tolist(), least), dtype="float64")
+
+    clean = cleaned if normalise else lambda c: F.coalesce(F.col(c), F.lit(""))
+    return pairs.withColumn("score", score(clean("target"), clean("cand")))
+
 
-    clean = (lambda c: F.trim(F.lower(c))) if normalise else (lambda c: F.col(c))
-    return pairs.withColumn("score", score(F.coalesce(clean("target"), F.lit("")), F.coalesce(clean("cand"), F.lit(""))))
+def similar_names(targets: DataFrame, candidates: DataFrame, scorer: str = "weighted", threshold: float = 75.0, exact: bool = False) -> DataFrame:
+    """target, cand, score: all pairs of distinct cleaned names at or over the threshold. exact compares all pairs, for tests."""
+    names = lambda df: df.select(cleaned("name").alias("name")).filter("name <> ''").distinct()
+    stage = stage_in(targets.sparkSession)
+    a, b = stage(names(targets), "targets"), stage(names(candidates), "candidates")
+    if exact:
+        pairs = a.withColumnRenamed("name", "target").crossJoin(b.withColumnRenamed("name", "cand"))
+    else:
+        pairs = candidate_names(a, b, scorer, threshold)
+    return scored(pairs, scorer, normalise=False, least=threshold).filter(F.col("score") >= threshold).dropDuplicates(["target", "cand"])
 
 
 def best_matches(targets: DataFrame, candidates: DataFrame, threshold: float = 80.0, k: int = 1, scorer: str = "weighted", exact: bool = False) -> DataFrame:
-    """The k best candidates of each target at or over the threshold."""
-    s = scored(candidate_pairs(targets, candidates, exact, threshold=threshold), scorer).filter(F.col("score") >= threshold)
-    w = Window.partitionBy("target_id").orderBy(F.col("score").desc(), "cand", "cand_id")
-    return s.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    """The k best candidates of each target at or over the threshold; equal scores by name, then id. Names are compared once however often they recur: of equal candidates the first k count."""
+    pairs = similar_names(targets, candidates, scorer, threshold, exact)
+    c = candidates.select(F.col("id").alias("cand_id"), F.col("name").alias("cand"), cleaned("name").alias("_c")).filter("_c <> ''")
+    own = Window.partitionBy("_c").orderBy("cand", "cand_id")
+    c = c.withColumn("_i", F.row_number().over(own)).filter(F.col("_i") <= k).drop("_i")
+    w = Window.partitionBy("_t").orderBy(F.col("score").desc(), "cand", "cand_id")
+    top = pairs.select(F.col("target").alias("_t"), F.col("cand").alias("_c"), "score").join(c, "_c").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    t = targets.select(F.col("id").alias("target_id"), F.col("name").alias("target"), cleaned("name").alias("_t"))
+    return t.join(top, "_t").select("target_id", "target", "cand_id", "cand", "score", "rank")
 
 
 def fuzzy_match(targets: DataFrame, candidates: DataFrame, threshold: float = 0.8, k: int = 1) -> DataFrame:
@@ -140,21 +248,24 @@ def fuzzy_multi_source(targets: DataFrame, candidates: DataFrame, threshold: flo
 
 def resolve(names: DataFrame, id_map: DataFrame, high: float = 0.85, low: float = 0.75) -> DataFrame:
     """id, name -> matched, method, confidence and the map's ids. Exact cascade; then the best source name at `high` or over; then any name at `low` or over; the matched name leads back to the map."""
-    step = exact_resolution(names, id_map)
+    stage = stage_in(names.sparkSession)
+    step = stage(exact_resolution(names, id_map), "steps")
     sure = step.filter(F.col("step").isNotNull()).select("id", "name", F.lit("master_map").alias("method"), F.lit(1.0).alias("confidence"), *[f"map_{c}" for c in MAP_COLUMNS])
     rest = step.filter(F.col("step").isNull()).select("id", "name")
-    m = id_map.select(*MAP_COLUMNS).withColumn("_row", F.monotonically_increasing_id())
+    m = id_map.withColumn("_row", row_order(id_map)).select(*MAP_COLUMNS, "_row")
     every = None
     for source in ("source_a_name", "source_b_name", "name"):
-        part = m.filter(F.col(source).isNotNull()).select(F.col("_row").alias("id"), F.col(source).alias("name"), F.lit(source).alias("source"))
+        part = m.filter(F.col(source).isNotNull()).select("_row", F.struct(*MAP_COLUMNS).alias("_m"), name_key(source).alias("name"), F.lit(source != "name").alias("_source"))
         every = part if every is None else every.unionByName(part)
-    every = every.withColumn("cand_key", F.concat_ws(":", "source", F.col("id").cast("string")))
-    got = scored(candidate_pairs(rest.select("id", name_key("name").alias("name")), every.select(F.col("cand_key").alias("id"), name_key("name").alias("name")), threshold=low * 100)).filter(F.col("score") >= low * 100)
-    got = got.join(every.select(F.col("cand_key").alias("cand_id"), F.col("id").alias("_row"), "source"), "cand_id")
-    source_hit = (F.col("source") != "name") & (F.col("score") >= high * 100)
-    best = got.groupBy("target_id").agg(F.max_by(F.struct(source_hit.alias("hit"), "score", "_row"), F.struct(source_hit.cast("int"), "score", -F.col("_row"))).alias("b"))
-    fuzzy = rest.join(best, rest["id"] == best["target_id"]).select("id", "name", F.when(F.col("b.hit"), "fuzzy_match").otherwise("fuzzy_match_general").alias("method"), (F.col("b.score") / 100).alias("confidence"), F.col("b._row").alias("_row"))
-    fuzzy = fuzzy.join(m.select("_row", *[F.col(c).alias(f"map_{c}") for c in MAP_COLUMNS]), "_row").drop("_row")
+    # Of equal names the first row of the map counts.
+    every = stage(every.filter("name <> ''").groupBy("name", "_source").agg(F.min("_row").alias("_row"), F.min_by("_m", "_row").alias("_m")), "map")
+    keyed = rest.select("id", "name", name_key("name").alias("_k"))
+    got = similar_names(keyed.select(F.col("_k").alias("name")), every, threshold=low * 100).join(every.withColumnRenamed("name", "cand"), "cand")
+    hit = F.col("_source") & (F.col("score") >= high * 100)
+    w = Window.partitionBy("target").orderBy(F.col("hit").desc(), F.col("score").desc(), "_row")
+    best = got.withColumn("hit", hit.cast("int")).withColumn("_r", F.row_number().over(w)).filter("_r = 1")
+    best = stage(best, "best")
+    fuzzy = keyed.join(best, keyed["_k"] == best["target"]).select("id", "name", F.when(F.col("hit") == 1, "fuzzy_match").otherwise("fuzzy_match_general").alias("method"), (F.col("score") / 100).alias("confidence"), *[F.col(f"_m.{c}").alias(f"map_{c}") for c in MAP_COLUMNS])
     none = rest.join(fuzzy.select("id"), "id", "left_anti").select("id", "name", F.lit(None).cast("string").alias("method"), F.lit(0.0).alias("confidence"), *[F.lit(None).cast(dict(id_map.dtypes)[c]).alias(f"map_{c}") for c in MAP_COLUMNS])
     return sure.unionByName(fuzzy).unionByName(none).withColumn("matched", F.col("method").isNotNull())
 
@@ -175,21 +286,64 @@ def unmatched(resolved: DataFrame) -> DataFrame:
 
 
 def external_matches(players: DataFrame, external: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """For each player the best external name by the simple score, with 0.1 for the same team; the first best wins."""
-    t = players.select(F.col("id").alias("target_id"), F.col("name").alias("target"), F.col("team").alias("_t"), F.explode(block_keys(F.col("name"))).alias("_k"))
-    c = external.select(F.col("id").alias("cand_id"), F.col("name").alias("cand"), F.col("team").alias("_c"), F.explode(block_keys(F.col("name"))).alias("_k"))
-    pairs = t.join(c, "_k").drop("_k").distinct()
-    score = F.least(F.lit(1.0), name_score("target", "cand") + F.when(F.col("_t") == F.col("_c"), 0.1).otherwise(0.0))
+    """For each player the best external name by the simple score, with 0.1 for the same team; the first best wins.
+
+    Light keys are made once a name, and equal ones are compared once. Three kinds of pairs can score: equal keys meet by the key; a key in another one shares its
+    rarest three characters with it (fewer in shorter keys); words with a Jaccard coefficient j share a word among the n - j * n + 1 rarest of either name.
+    A name whose key is empty is in every other: it meets the first name of each team and the first of all, which are the only ones that can be its best.
+    """
+    least = max(threshold - 0.1, 1e-9)
+    t = players.select(F.col("id").alias("target_id"), "name", F.col("team").alias("_t"), light_name_key("name").alias("_x"))
+    c = external.select(F.col("id").alias("cand_id"), F.col("name").alias("cand"), F.col("team").alias("_c"), light_name_key("name").alias("_y"))
+    c = c.groupBy("_y", "_c").agg(F.min("cand_id").alias("cand_id"), F.min_by("cand", "cand_id").alias("cand"))
+    stage = stage_in(players.sparkSession)
+    c = stage(c, "external")
+    a, b = (stage(d.select(F.col(k).alias("name")).filter("name <> ''").distinct(), "keys") for d, k in ((t, "_x"), (c, "_y")))
+    words = F.array_distinct(F.filter(F.split("name", r"\s+"), lambda w: w != ""))
+    by_word = _counts(a, b, words)
+
+    def worded(d: DataFrame) -> DataFrame:
+        held = _ordered(d, words, by_word).select("name", _hashes("keys").alias("words"))
+        return _under_keys(held, ["name", "words"], F.slice("words", F.lit(1), F.size("words") - F.ceil(F.size("words") * least - 1e-9).cast("int") + 1), "x")
+
+    alike = meet(worded(a), worded(b).withColumnRenamed("x", "y")).filter(~F.arrays_overlap("x.rarer", "y.rarer"))
+    alike = alike.filter(F.size(F.array_intersect("x.words", "y.words")) >= F.size(F.array_union("x.words", "y.words")) * least - 1e-9).select(F.col("x.name").alias("_x"), F.col("y.name").alias("_y"))
+    pairs = a.select(F.col("name").alias("_x"), F.col("name").alias("_y")).unionByName(alike)
+    for inner, outer, flip in ((a, b, False), (b, a, True)):
+        pairs = pairs.unionByName(_contained(inner, outer).select(*[F.col(n).alias(m) for n, m in zip(("inner", "outer"), ("_y", "_x") if flip else ("_x", "_y"))]))
+    pairs = stage(pairs.distinct(), "pairs")
+    bare = c.filter("_y = ''")
+    some = lambda d: d.groupBy("_c").agg(F.min("cand_id").alias("cand_id"), *[F.min_by(k, "cand_id").alias(k) for k in ("cand", "_y")])
+    one = lambda d: d.agg(F.min("cand_id").alias("cand_id"), *[F.min_by(k, "cand_id").alias(k) for k in ("cand", "_y", "_c")]).filter("cand_id IS NOT NULL")
+    empty = t.filter("_x = ''")
+    met = t.join(pairs, "_x").join(c, "_y")
+    for mine, theirs in ((empty, c), (t, bare)):
+        met = met.unionByName(mine.join(some(theirs), F.col("_t") == F.col("_c")).select(met.columns)).unionByName(mine.join(F.broadcast(one(theirs))).select(met.columns))
+    score = F.least(F.lit(1.0), key_score("_x", "_y") + F.when(F.col("_t") == F.col("_c"), 0.1).otherwise(0.0))
     w = Window.partitionBy("target_id").orderBy(F.col("score").desc(), "cand_id")
-    return pairs.withColumn("score", score).filter(F.col("score") >= threshold).withColumn("_r", F.row_number().over(w)).filter("_r = 1").select("target_id", "cand_id", "cand", "score")
+    return met.withColumn("score", score).filter(F.col("score") >= threshold).withColumn("_r", F.row_number().over(w)).filter("_r = 1").select("target_id", "cand_id", "cand", "score")
+
+
+def _contained(inner: DataFrame, outer: DataFrame) -> DataFrame:
+    """inner, outer: names (name, distinct, not empty) that are part of another. Each looks for its rarest three characters, or itself where it is shorter, among all stretches of the others."""
+    pieces = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("name") - n + 1, F.lit(1))), lambda i: F.substring("name", i, n))
+    every = lambda n: outer.filter(F.length("name") >= n).select(F.explode(F.array_distinct(pieces(F.lit(n)))).alias("k"), F.struct("name").alias("y"))
+    keys = every(1).unionByName(every(2)).unionByName(every(3))
+    n = keys.groupBy("k").agg(F.count("*").alias("n"))
+    own = inner.select("name", F.explode(F.array_distinct(pieces(F.least(F.length("name"), F.lit(3))))).alias("k")).join(n, "k", "left")
+    # A stretch that is nowhere rules the name out.
+    rarest = own.groupBy("name").agg(F.min_by("k", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "k")).alias("k"))
+    return meet(rarest.select("k", F.struct("name").alias("x")), keys).filter(F.col("y.name").contains(F.col("x.name"))).select(F.col("x.name").alias("inner"), F.col("y.name").alias("outer"))
 
 
 def map_external(external: DataFrame, players: DataFrame, id_map: DataFrame) -> DataFrame:
     """External rows -> player ids with the method: resolution at 0.85, else fuzzy at 0.7, and if nothing maps at all, the simple name score."""
+    stage = stage_in(external.sparkSession)
     r = resolve(external.select("id", "name"), id_map).filter(F.col("matched") & (F.col("confidence") >= 0.85)).select("id", F.col("map_id").alias("player_id"), F.lit("entity_resolution").alias("method"), "confidence")
+    r = stage(r, "resolved")
     rest = external.join(r.select("id"), "id", "left_anti")
     f = fuzzy_match(rest, players, 0.7).select(F.col("target_id").alias("id"), F.col("cand_id").alias("player_id"), F.lit("fuzzy_fallback").alias("method"), F.col("score").alias("confidence"))
-    out = r.unionByName(f).persist()  # asked whether it is empty, then read
+    out = stage(r.unionByName(f), "mapped")
     if out.isEmpty():
         s = external_matches(players, external)
         out = s.select(F.col("cand_id").alias("id"), F.col("target_id").alias("player_id"), F.lit("simple_name_match").alias("method"), F.col("score").alias("confidence"))

@@ -35,8 +35,7 @@ def p6(spark, d):
 
 @query("p7_grid_search")
 def p7(spark, d):
-    f = frame(spark, d).select(*models.ATTACK_INPUTS, "label_xg").persist()
-    return models.grid_search(models.attack_pipeline("label_xg", 5, 3), f, models.regression_error("label_xg"), (4, 8), (2,), (0.1,), 3)[1]
+    return models.boosted_grid(frame(spark, d), models.ATTACK_INPUTS, "label_xg", ("season", "player_id", "gameweek"), (8, 16), (3, 4), (0.05, 0.1), (0.8, 1.0))[1]
 
 
 @query("p9_clean_sheet_model")

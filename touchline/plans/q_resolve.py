@@ -65,7 +65,7 @@ def e4(spark, d):
 def id_map(spark, d):
     a, b = P.names(spark, d)
     j = a.filter("id % 2 = 0").join(b.select((F.col("id") - 1_000_000).alias("id"), F.col("name").alias("other")), "id")
-    return j.select("id", "name", (F.col("id") + 1_000_000).alias("source_a_id"), F.col("other").alias("source_a_name"), (F.col("id") + 2_000_000).alias("source_b_id"), F.upper("name").alias("source_b_name")).coalesce(1).sortWithinPartitions("id")
+    return j.select("id", "name", (F.col("id") + 1_000_000).alias("source_a_id"), F.col("other").alias("source_a_name"), (F.col("id") + 2_000_000).alias("source_b_id"), F.upper("name").alias("source_b_name"))
 
 
 @query("i11_id_map", P.ctes(P.NAMES) + "SELECT a.id, a.name, a.id + 1000000 AS source_a_id, b.name AS source_a_name, CAST(a.id + 2000000 AS VARCHAR) AS source_b_id, upper(a.name) AS source_b_name FROM names_a a JOIN names_b b ON b.id = a.id + 1000000 WHERE a.id % 2 = 0")
