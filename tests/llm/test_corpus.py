@@ -674,3 +674,35 @@ def test_pipeline_of_an_empty_table(spark):
     for _, stage in corpus_pipeline.STAGES:
         now = common.staged(stage(spark, now, DATA), "test")
     assert now.count() == 0
+
+
+def test_op9_does_not_depend_on_row_order(spark):
+    lines = [f"shared line number {k} of the news page" for k in range(12)]
+    rows = []
+    for k in range(40):
+        own = " ".join(f"own{k}word{j}" for j in range(60))
+        text = "\n".join([*lines, own])
+        rows += [(2 * k, text, "h"), (2 * k + 1, text.replace("\n", " "), "h")]
+    got = [sorted(map(tuple, op9_quality_rules.quality_rules(frame(spark, x).coalesce(1)).collect())) for x in (rows, rows[::-1])]
+    assert got[0] == got[1] and sum(r[-1] > 0 for r in got[0]) == 40
+
+
+def test_op5_every_beginning_of_the_sequence_is_near_the_shares(spark):
+    r = random.Random(8)
+    rows = [(k, " ".join(["w"] * r.randint(1, 40)), "abc"[min(2, int(r.expovariate(1)))]) for k in range(900)]
+    got = op5_mixing.mixed(frame(spark, rows), width=50, pieces=20).collect()
+    goals = {x.source: x.target for x in got}
+    slots = sorted({(s, x.source) for x in got for s in x.slots or []})
+    assert all(x.first_slot == min(x.slots) and len(x.slots) <= op5_mixing.MOST + 1 for x in got if x.taken)
+    # Blocks taken up to each slot, by source, against the shares of the whole.
+    plan = {x.source: x for x in op5_mixing.stretches(op5_mixing.targets(spark.createDataFrame([(s, sum(len(t.split()) for _, t, o in rows if o == s)) for s in "abc"], "source string, source_size long")), 50, 20).collect()}
+    total = sum(p.need for p in plan.values())
+    order = op5_mixing.schedule(op5_mixing.stretches(op5_mixing.targets(spark.createDataFrame([(s, plan[s].source_size) for s in "abc"], "source string, source_size long")), 50, 20)).collect()
+    names = {p.sid: s for s, p in plan.items()}
+    seen = Counter()
+    for n, x in enumerate(sorted(order, key=lambda x: x.slot), 1):
+        seen[names[x.sid]] += 1
+        assert all(abs(seen[s] - n * plan[s].need / total) <= 4 for s in "abc")
+    docs = op5_mixing.in_schedule_order(frame(spark, rows)).select("doc_id", "source", "slot").collect()
+    at = [x.slot for x in docs if x.slot is not None]
+    assert at == sorted(at) and abs(len(docs) - sum(max(0, round(x.taken / x.size)) for x in got)) <= 60 and set(goals) == set("abc") and slots

@@ -10,7 +10,8 @@ and rank r takes block r (modulo the source's blocks). The points miss a source'
 a few slots at most: surplus ranks are given back, missing ones are dealt last, and
 the last rank takes only the words that are missing, so each source takes its
 target to the word. A document's `taken` is the words of its text in the taken blocks,
-repeats counted.
+repeats counted; its slots are those of the block that its text begins in, so reading
+documents by slot has every source near its share in any beginning of the sequence.
 
 The number of slots grows with the words. A source's words in shuffled order are
 numbered by sums over hash ranges, then within each range, and ranks by sums over slot
@@ -19,7 +20,7 @@ blocks in an equi-join. Reruns agree: order is by md5 of the id. Sources have on
 each in small tables.
 
 Defined results: null text has size 0; a null source is one more source, last by
-code point; documents of size 0 take 0; repeated rows are documents of their own;
+code point; documents of size 0 take 0 and have no slot; repeated rows are documents of their own;
 an empty table gives an empty result; further columns are ignored.
 """
 
@@ -128,14 +129,14 @@ def numbered(rows: DataFrame) -> DataFrame:
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, width: int = WIDTH, pieces: int = PIECES) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken."""
+    """doc_id, source, size, source_size, target, taken, slots (ascending; of a block at most one a round, so at most `most` + 1) and first_slot."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col).cast("string")).alias("size"))
     rows = staged(rows.withColumn("row_id", F.monotonically_increasing_id()), "sizes")
     plan = staged(stretches(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most), width, pieces), "targets")
     rows = rows.join(checked(plan.select("source", "sid", "source_size", "target", "block")), rows["source"].eqNullSafe(plan["source"])).drop(plan["source"])
     slots = schedule(plan).join(plan.select("sid", "need", "cut"), "sid")
     last = F.col("rank") == F.col("need") - 1
-    uses = slots.groupBy("sid", "number").agg(F.sum(F.when(last, 0).otherwise(1)).alias("uses"), F.max(F.when(last, F.col("cut")).otherwise(0)).alias("more"))
+    uses = slots.groupBy("sid", "number").agg(F.sum(F.when(last, 0).otherwise(1)).alias("uses"), F.max(F.when(last, F.col("cut")).otherwise(0)).alias("more"), F.sort_array(F.collect_list("slot")).alias("slots"))
     # A document's blocks: overlap times uses, and what lies in the first words that the last slot takes.
     numbers = F.when(F.col("size") > 0, F.sequence(F.floor(F.col("at") / F.col("block")), F.floor((F.col("at") + F.col("size") - 1) / F.col("block")))).otherwise(F.array(F.lit(-1).cast("long")))
     each = numbered(rows).withColumn("number", F.explode(numbers)).join(uses, ["sid", "number"], "left")
@@ -143,15 +144,30 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     low, high = F.greatest("at", begin), F.least(F.col("at") + F.col("size"), begin + F.col("block"))
     part = (high - low) * F.coalesce("uses", F.lit(0)) + F.greatest(F.least(high, begin + F.coalesce("more", F.lit(0))) - low, F.lit(0))
     part = F.when(F.col("size") > 0, part).otherwise(0)
-    return each.groupBy("row_id", "doc_id", "source", "size", "source_size", "target").agg(F.sum(part).cast("long").alias("taken")).drop("row_id")
+    begins = (F.col("size") > 0) & (F.col("number") == F.floor(F.col("at") / F.col("block")))
+    out = each.groupBy("row_id", "doc_id", "source", "size", "source_size", "target").agg(F.sum(part).cast("long").alias("taken"), F.first(F.when(begins, F.col("slots")), ignorenulls=True).alias("slots"))
+    return out.drop("row_id").withColumn("first_slot", F.try_element_at("slots", F.lit(1)))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "first_slot")
+
+
+def in_schedule_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """docs as the mix reads them: with column slot, range-partitioned and sorted by it; a document in several rounds has a row in each, one without words or slot comes last.
+
+    Equal ids take the slots of the one that comes first.
+    """
+    got = mixed(docs, id_col, text_col, source_col).groupBy("doc_id").agg(F.min("slots").alias("slots"), F.sum("size").alias("size"), F.sum("taken").alias("taken"))
+    times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(1).cast("int")
+    # Rounds beyond the slots of its first block repeat the last of them.
+    slot = lambda i: F.try_element_at("slots", F.least(i + 1, F.greatest(F.size("slots"), F.lit(1))))
+    copies = staged(got.select(F.col("doc_id").alias("_id"), F.explode(F.transform(F.array_repeat(F.lit(0), times), lambda x, i: slot(i))).alias("slot")), "slots")
+    return docs.join(copies, F.col(id_col).eqNullSafe(F.col("_id"))).drop("_id").repartitionByRange(F.col("slot").asc_nulls_last()).sortWithinPartitions(F.col("slot").asc_nulls_last(), id_col)
 
 
 def remixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """docs, each row as often as the mix takes it (words taken by words, to the nearest whole number); documents without words stay as they are."""
+    """docs, each row as often as the mix takes it (words taken by words, to the nearest whole number); documents without words stay as they are. Rows stay in place: where order matters, use in_schedule_order()."""
     got = mixed(docs, id_col, text_col, source_col)
     got = got.groupBy("doc_id").agg(F.sum("size").alias("size"), F.sum("taken").alias("taken"))
     times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(1).cast("int")
@@ -182,12 +198,30 @@ WITH d AS (
   SELECT source, sid, source_size, CASE WHEN capped THEN cap::DOUBLE ELSE level * weight END AS target FROM c, l
 ), e AS (
   SELECT *, round(target)::BIGINT // greatest(source_size, 1) AS rounds, round(target)::BIGINT % greatest(source_size, 1) AS rest FROM t
+), b AS (
+  SELECT *, greatest(1, least({WIDTH}, source_size // {PIECES})) AS block FROM e
+), p AS (
+  SELECT sid, block, (source_size + block - 1) // block AS blocks, rounds * ((source_size + block - 1) // block) + (rest + block - 1) // block AS need FROM b
+), q AS (
+  SELECT *, (sum(need) OVER (ORDER BY sid))::BIGINT AS upto, greatest((sum(need) OVER ())::BIGINT, 1) AS total FROM p
+), st AS (
+  SELECT *, floor((upto - need)::DOUBLE / total * {CIRCLE}::DOUBLE)::BIGINT AS low, floor(upto::DOUBLE / total * {CIRCLE}::DOUBLE)::BIGINT AS high FROM q
+), k AS (
+  SELECT slot, ((slot::HUGEINT * {GOLDEN}) % {CIRCLE})::BIGINT AS u FROM (SELECT unnest(range((SELECT sum(need)::BIGINT FROM p))) AS slot)
+), a AS (
+  SELECT sid, slot, row_number() OVER (PARTITION BY sid ORDER BY slot) - 1 AS rank FROM k JOIN st ON u >= low AND u < high
+), x AS (
+  SELECT sid, slot, rank FROM a
+  UNION ALL SELECT sid, total AS slot, unnest(range(coalesce(got, 0), need)) AS rank FROM st LEFT JOIN (SELECT sid, count(*) AS got FROM a GROUP BY sid) USING (sid)
+), y AS (
+  SELECT sid, block, rank % blocks AS number, min(slot) AS first_slot FROM x JOIN st USING (sid) WHERE rank < need GROUP BY ALL
 ), n AS (
-  SELECT d.doc_id, d.size, e.source_size, e.target, e.rounds, e.rest,
+  SELECT d.doc_id, d.size, e.sid, e.source_size, e.target, e.rounds, e.rest,
          sum(d.size) OVER (PARTITION BY e.sid ORDER BY md5('mix:' || coalesce(d.doc_id::VARCHAR, '')), d.doc_id, d.r) - d.size AS pos
   FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source
 )
-SELECT doc_id, size, source_size, target, (rounds * size + least(pos + size, rest) - least(pos, rest))::BIGINT AS taken FROM n
+SELECT doc_id, size, source_size, target, (rounds * size + least(pos + size, rest) - least(pos, rest))::BIGINT AS taken, first_slot
+FROM n LEFT JOIN y ON size > 0 AND y.sid = n.sid AND y.number = pos // y.block
 """
 
 QUERIES = {"op5_mixing": op5_mixing}
