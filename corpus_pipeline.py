@@ -16,7 +16,7 @@ from touchline.llm import op2_packing as packing
 from touchline.llm import op4_exact_dedup as exact
 from touchline.llm import op5_mixing as mixing
 from touchline.llm import op6_ngram_join as near
-from touchline.llm.common import staged, table
+from touchline.llm.common import release, staged, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,8 +59,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = staged(docs, f"stage{k + 1}")
-    return docs
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        kept = staged(stage(spark, docs, sf_dir), f"stage{k + 1}")
+        if k:
+            release(docs)  # written anew, so no later plan reads it
+        docs = kept
+    return STAGES[-1][1](spark, docs, sf_dir)
