@@ -706,3 +706,60 @@ def test_op5_every_beginning_of_the_sequence_is_near_the_shares(spark):
     docs = op5_mixing.in_schedule_order(frame(spark, rows)).select("doc_id", "source", "slot").collect()
     at = [x.slot for x in docs if x.slot is not None]
     assert at == sorted(at) and abs(len(docs) - sum(max(0, round(x.taken / x.size)) for x in got)) <= 60 and set(goals) == set("abc") and slots
+
+
+def altered(text, r, kind):
+    """The text with some of its words changed, left out or others put in between, as many as keep Dice at 0.8 or more."""
+    words = text.split()
+    for _ in range(max(1, len(words) // 25)):
+        i = r.randrange(1, len(words) - 1)
+        if kind == "change":
+            words[i] = "zebra"
+        elif kind == "drop":
+            del words[i]
+        else:
+            words[i:i] = ["zebra"] * (1 if len(words) < 60 else 3)
+    return " ".join(words)
+
+
+def nearest(text):
+    """The highest Dice coefficient with a template, and the licenses of all templates that have it."""
+    own = set(op3_license.bigrams(text))
+    each = [(2 * len(own & set(g)) / (len(own) + len(set(g))), name) for name, t in op3_license.TEMPLATES for g in [op3_license.bigrams(t)]]
+    return max(each)[0], {name for dice, name in each if dice == max(each)[0]}
+
+
+def test_op3_altered_passages(spark):
+    r = random.Random(11)
+    rows, want = [], {}
+    for name, t in op3_license.TEMPLATES:
+        for kind in ("change", "drop", "insert"):
+            for _ in range(5):
+                text = altered(t, r, kind)
+                dice, names = nearest(text)
+                if dice >= 0.8:
+                    rows.append((len(rows), f"some words before it {text} and some after", "s"))
+                    want[len(rows) - 1] = names
+    assert len(rows) > 200
+    got = {x.doc_id: x for x in op3_license.license_scan(frame(spark, rows)).collect()}
+    lost = [want[k] for k in want if got[k].license is None]
+    wrong = [(want[k], got[k].license) for k in want if got[k].license and got[k].license not in want[k]]
+    assert not lost and not wrong
+
+
+def test_op3_best_stretch_by_brute_force(spark):
+    r = random.Random(12)
+    template = " ".join(f"w{k}" for k in range(12))
+    rows = []
+    for k in range(60):
+        words = template.split()
+        for _ in range(r.randrange(5)):
+            i = r.randrange(len(words))
+            words[i : i + r.randrange(2)] = [f"x{r.randrange(99)}"] * r.randrange(3)
+        rows.append((k, " ".join([f"a{j}" for j in range(r.randrange(6))] + words + [f"b{j}" for j in range(r.randrange(6))])))
+    got = {x.doc_id: x.dice for x in op3_license.license_scan(frame(spark, rows), templates=[("T", template)]).collect()}
+    own = set(op3_license.bigrams(template))
+    for k, text in rows:
+        g = op3_license.bigrams(text)
+        best = max((2 * len(own & set(g[i:j])) / (len(set(g[i:j])) + len(own)) for i in range(len(g)) for j in range(i + 1, len(g) + 1)), default=0)
+        assert got[k] == pytest.approx(best if best >= 0.8 else 0, abs=1e-6)
