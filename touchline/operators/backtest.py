@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.functions.columns import correlation, finite
+from touchline.operators.stage import stage_in
 
 Predictor = Callable[[DataFrame, DataFrame], DataFrame]
 
@@ -80,10 +81,10 @@ def period_metrics(df: DataFrame, predicted: str = "predicted", actual: str = "p
 
 
 def overall_rank(df: DataFrame, c: str, name: str) -> DataFrame:
-    """c -> average rank over all rows. Only distinct values are ordered; their counts are summed by value ranges first, so no task orders all rows."""
+    """c -> average rank over all rows. Only distinct values are ordered; their counts are summed by value ranges first, so no task orders all rows. The ranges are written once, as both sums must see the same ones."""
     counts = df.groupBy(c).agg(F.count("*").alias("_n"))
     bounds = df.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    ranged = counts.repartitionByRange(int(bounds), c).withColumn("_part", F.spark_partition_id())
+    ranged = stage_in(df.sparkSession)(counts.repartitionByRange(int(bounds), c).withColumn("_part", F.spark_partition_id()), "ranges")
     totals = ranged.groupBy("_part").agg(F.sum("_n").alias("_t"))
     totals = totals.withColumn("_base", F.coalesce(F.sum("_t").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     inner = F.coalesce(F.sum("_n").over(Window.partitionBy("_part").orderBy(c).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

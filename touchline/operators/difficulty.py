@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from touchline.functions.columns import clip, col, correlation, goal_probabilities, outcome
 from touchline.operators.features import goal_averages
+from touchline.operators.stage import stage_in
 
 HOME_ADVANTAGE = 0.25
 
@@ -18,17 +19,21 @@ def with_results(fixtures: DataFrame) -> DataFrame:
     return fixtures.filter(F.col("goals_h").isNotNull() & F.col("goals_a").isNotNull()).withColumns({"goals_h": F.col("goals_h").cast("double"), "goals_a": F.col("goals_a").cast("double")})
 
 
-#: Limit of the library's least-squares solver.
+#: Limit of the library's least-squares solver; beyond it strengths are fitted by alternating updates.
 MOST_COEFFICIENTS = 4096
+#: Alternating updates end when no strength moves by more than this, or after so many rounds.
+STILL, ROUNDS = 1e-6, 200
+#: Goals that a team without any counts as, so that its strength stays finite.
+SCARCE = 1e-6
 
 
 def fit_strengths(fixtures: DataFrame, ridge: float = 1e-6) -> tuple[DataFrame, float]:
     """(team, attack_strength, defense_strength) and the home term, by a Poisson regression of home goals on the home team's attack and the away team's defence.
 
     Strengths are centred, higher is better for both; the removed means go into the home
-    term. The coefficients (two a team, 4096 at most) are all that reaches the driver; more
-    teams than that raise an error. Falls back to goal averages where the regression cannot
-    be fitted: no matches, or a singular system.
+    term. Up to MOST_COEFFICIENTS coefficients (two a team) the library's solver is used, which
+    brings them to the driver; beyond that fit_by_turns, whose figures are the same. Falls back
+    to goal averages where the regression cannot be fitted: no matches, or a singular system.
     """
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
@@ -38,7 +43,7 @@ def fit_strengths(fixtures: DataFrame, ridge: float = 1e-6) -> tuple[DataFrame,
     spark = fixtures.sparkSession
     teams = known.agg(F.count_distinct("home").alias("h"), F.count_distinct("away").alias("a")).head()
     if teams["h"] + teams["a"] > MOST_COEFFICIENTS:
-        raise ValueError(f"{teams['h'] + teams['a']} coefficients; the solver takes {MOST_COEFFICIENTS} at most")
+        return fit_by_turns(known)
     if not teams["h"] or not teams["a"]:
         return goal_averages(with_results(fixtures)).select("team", "attack_strength", "defense_strength"), HOME_ADVANTAGE
     try:
@@ -58,6 +63,32 @@ def fit_strengths(fixtures: DataFrame, ridge: float = 1e-6) -> tuple[DataFrame,
     return spark.createDataFrame(rows, "team string, attack_strength double, defense_strength double"), float(model.intercept + mean_a + mean_d)
 
 
+def fit_by_turns(known: DataFrame) -> tuple[DataFrame, float]:
+    """fit_strengths() of matches (home, away, goals_h) for any number of teams.
+
+    Expected goals are a * d, of the home and the away team. Where the likelihood is highest, either side's goals are its expected ones, so each round sets
+    a = goals of the team / sum of its opponents' d, then d in the same way: two group-bys over distinct pairings, pre-aggregated, and two small joins.
+    """
+    stage = stage_in(known.sparkSession)
+    pairs = stage(known.groupBy("home", "away").agg(F.sum("goals_h").alias("goals"), F.count("*").alias("n")), "pairings")
+    enough = lambda c: F.greatest(F.sum(c), F.lit(SCARCE))
+    attack = None
+    defense = stage(pairs.groupBy("away").agg((enough("goals") / F.sum("n")).alias("d")), "defense")
+    for _ in range(ROUNDS):
+        # Goals add up by team however they are met, so the sums are taken in one pass.
+        new_a = stage(pairs.join(defense, "away").groupBy("home").agg((enough("goals") / F.sum(F.col("n") * F.col("d"))).alias("a")), "attack")
+        new_d = stage(pairs.join(new_a, "home").groupBy("away").agg((enough("goals") / F.sum(F.col("n") * F.col("a"))).alias("d")), "defense")
+        moved = defense.withColumnRenamed("d", "old").join(new_d, "away").agg(F.max(F.abs(F.ln("d") - F.ln("old"))).alias("m")).head()["m"]
+        attack, defense = new_a, new_d
+        if moved is None or moved < STILL:
+            break
+    a, d = attack.select(F.col("home").alias("team"), F.ln("a").alias("a")), defense.select(F.col("away").alias("team"), F.ln("d").alias("d"))
+    means = a.agg(F.avg("a").alias("mean_a")).join(F.broadcast(d.agg(F.avg("d").alias("mean_d")))).head()
+    centred = lambda c, mean: F.coalesce(F.col(c) - F.lit(mean), F.lit(0.0))
+    rows = a.join(d, "team", "full_outer").select("team", centred("a", means["mean_a"]).alias("attack_strength"), (-centred("d", means["mean_d"])).alias("defense_strength"))
+    return rows, float(means["mean_a"] + means["mean_d"])
+
+
 def expected_goals(fixtures: DataFrame, strengths: DataFrame, home_advantage: float = HOME_ADVANTAGE, home: str = "team_h", away: str = "team_a") -> DataFrame:
     """With xg_h and xg_a; unknown teams have strength 0, without any strengths both are 1.5."""
     side = lambda key, p: strengths.select(F.col("team").alias(key), F.col("attack_strength").alias(f"{p}_att"), F.col("defense_strength").alias(f"{p}_def"))

@@ -186,5 +186,5 @@ def squad_values(stats: DataFrame, predictions: DataFrame, players: DataFrame) -
 
 def plan_records(squads: DataFrame, key: str = "plan_id") -> DataFrame:
     """One JSON record a plan: weeks with squad and eleven. A squad is fifteen rows, a plan a few weeks."""
-    week = squads.groupBy(key, "week").agg(F.sort_array(F.collect_list("player_id")).alias("squad"), F.sort_array(F.collect_list(F.when(F.col("in_xi"), F.col("player_id")))).alias("xi"), F.sum(F.when(F.col("in_xi"), F.col("xp"))).alias("points"))
-    return week.groupBy(key).agg(F.to_json(F.sort_array(F.collect_list(F.struct("week", "squad", "xi", "points")))).alias("record"), F.sum("points").alias("total_points"), F.count("*").alias("horizon"))
+    week = squads.groupBy(key, "week").agg(F.sort_array(F.collect_list("player_id")).alias("squad"), F.sort_array(F.collect_list(F.when(F.col("in_xi"), F.col("player_id")))).alias("xi"), F.round(F.sum(F.when(F.col("in_xi"), F.col("xp"))), 4).alias("points"))
+    return week.groupBy(key).agg(F.to_json(F.sort_array(F.collect_list(F.struct("week", "squad", "xi", "points")))).alias("record"), F.round(F.sum("points"), 4).alias("total_points"), F.count("*").alias("horizon"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from touchline.plans import project as P
 from touchline.plans.registry import query, r
-from touchline.sources import ingest, upsert
+from touchline.sources import ingest, ledger, upsert
 
 
 def bootstrap(spark, d):
@@ -139,13 +139,32 @@ def i17(spark, d):
     return upsert.upsert_counts(s.filter("gameweek <= 25"), new, ["player_id", "gameweek", "season"])
 
 
-@query("i18_i19_sync")
+_SYNC = """
+SELECT player_id, gameweek, CASE position WHEN 'FWD' THEN 'MID' ELSE position END AS position, minutes, b AS blocks, t + i AS interventions, c AS passes
+FROM stats JOIN players USING (player_id) JOIN (SELECT player_id, CAST(sum(blocks) AS BIGINT) AS b, CAST(sum(interventions) AS BIGINT) AS t, CAST(sum(goals_conceded) AS BIGINT) AS i, CAST(sum(passes) AS BIGINT) AS c FROM stats GROUP BY player_id) USING (player_id)"""
+
+
+@query("i18_i19_sync", P.ctes(P.STATS, P.ALL_PLAYERS) + _SYNC)
 def i18(spark, d):
+    """Histories land in two rounds of files; each round goes through the ledger into the store, the second with corrected rows of the first, and a third finds nothing new."""
     players = ingest.players_for_store(ingest.extract_players(bootstrap(spark, d)))
-    facts = ingest.extract_history(histories(spark, d))
-    names = players.select("player_id", "name")
-    defence = ingest.defensive_stats(table_pages(spark, d)).join(names, "name")
-    return ingest.stats_with_defence(facts, defence).join(players.select("player_id", "position", "price"), "player_id").select("player_id", "gameweek", "position", "minutes", "blocks", "interventions", "passes")
+    defence = ingest.defensive_stats(table_pages(spark, d)).join(players.select("player_id", "name"), "name")
+    at = P.landing(spark)
+    players.write.parquet(f"{at}/players")
+    defence.write.parquet(f"{at}/defence")
+    players, defence = spark.read.parquet(f"{at}/players"), spark.read.parquet(f"{at}/defence")
+
+    def facts(landed):
+        rows = ingest.stats_with_defence(ingest.extract_history(landed), defence).withColumn("season", F.lit("2025-26"))
+        return rows.join(players.select("player_id", "position"), "player_id").select("player_id", "season", "gameweek", "position", "minutes", "blocks", "interventions", "passes")
+
+    landed = histories(spark, d)
+    early = landed.withColumn("history", F.transform(F.filter("history", lambda h: h["round"] <= 16), lambda h: F.when(h["round"] < 15, h).otherwise(h.withField("minutes", F.lit(0).cast("long")))))
+    for k, batch in enumerate((early, landed.withColumn("history", F.filter("history", lambda h: h["round"] >= 15)), None)):
+        if batch is not None:
+            batch.write.parquet(f"{at}/files/{k}")
+        ledger.sync(spark, f"{at}/files", f"{at}/store", f"{at}/ledger", f"{at}/staging", facts)
+    return spark.read.parquet(f"{at}/store").select("player_id", F.col("gameweek").cast("long").alias("gameweek"), "position", "minutes", "blocks", "interventions", "passes")
 
 
 @query("i24_backfill", P.ctes(P.ALL_PLAYERS) + "SELECT name, player_id FROM players")

@@ -125,7 +125,8 @@ def s13(spark, d):
     return squad.squad_values(P.stats(spark, d), P.predictions(spark, d), P.players(spark, d))
 
 
-@query("s14_plan_records")
+@query("s14_plan_records", P.ctes(*_SQ) + """SELECT plan_id, CAST(to_json(list({'week': week, 'squad': squad, 'xi': xi, 'points': points} ORDER BY week)) AS VARCHAR) AS record, round(sum(points), 4) AS total_points, count(*) AS horizon FROM (
+SELECT plan_id, week, list(player_id ORDER BY player_id) AS squad, list(player_id ORDER BY player_id) FILTER (in_xi) AS xi, round(sum(xp) FILTER (in_xi), 4) AS points FROM squads GROUP BY plan_id, week) GROUP BY plan_id""")
 def s14(spark, d):
     return squad.plan_records(P.squads(spark, d))
 
@@ -195,20 +196,30 @@ def dq3(spark, d):
     return quality.orphans(P.stats(spark, d), "player_id", P.players(spark, d).filter("position <> 'FWD'").withColumnRenamed("player_id", "pid"), "pid").select("player_id", "gameweek")
 
 
-@query("dq4_rank_check", P.ctes(P.STATS) + "SELECT DISTINCT gameweek, true AS no_gaps, true AS top_first FROM stats")
+@query("dq4_rank_check", P.ctes(P.STATS, P.PLAYERS, P.PREDICTIONS, MARKET) + "SELECT gameweek, min(xp_rank) = 1 AND max(xp_rank) = count(DISTINCT xp_rank) AS no_gaps, max(xp) = max(CASE WHEN xp_rank = 1 THEN xp END) AS top_first FROM mk GROUP BY gameweek")
 def dq4(spark, d):
     return quality.rank_check(market_rows(spark, d), "xp_rank", "xp", ["gameweek"])
 
 
-@query("dq5_market_issues", P.ctes(P.STATS, P.PLAYERS, P.PREDICTIONS, MARKET, """
+_ISSUES = P.ctes(P.STATS, P.PLAYERS, P.PREDICTIONS, MARKET, """
 tr AS (SELECT player_id, gameweek, coalesce(count(*) OVER b >= 3 AND xp < avg(xp) OVER b - 0.5, false) AS declining FROM predictions WHERE gameweek <= 20 WINDOW b AS (PARTITION BY player_id ORDER BY gameweek ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)),
-hi AS (SELECT p.player_id, m.category, m.arbitrage_score, t.declining FROM players p LEFT JOIN (SELECT * FROM mk WHERE gameweek = 20) m USING (player_id) LEFT JOIN (SELECT * FROM tr WHERE gameweek = 20) t USING (player_id) WHERE p.ownership > 30)""") + """
+m20 AS (SELECT * FROM mk WHERE gameweek = 20),
+hi AS (SELECT p.player_id, m.category, m.xp_rank, m.ownership_rank, m.arbitrage_score, t.declining FROM players p LEFT JOIN m20 m USING (player_id) LEFT JOIN (SELECT * FROM tr WHERE gameweek = 20) t USING (player_id) WHERE p.ownership > 30),
+fl AS (SELECT m.player_id, m.arbitrage_score, p.ownership AS own FROM m20 m LEFT JOIN players p USING (player_id) WHERE m.category = 'Overvalued'),
+issues AS (
 SELECT 'warning' AS severity, 'no_market_row' AS issue, player_id FROM hi WHERE category IS NULL
-UNION ALL SELECT 'error', 'declining_not_overvalued', player_id FROM hi WHERE declining AND category <> 'Overvalued'""")
+UNION ALL SELECT 'warning', 'no_prediction', player_id FROM hi WHERE category IS NOT NULL AND declining IS NULL
+UNION ALL SELECT 'error', 'declining_not_overvalued', player_id FROM hi WHERE category IS NOT NULL AND declining AND category <> 'Overvalued'
+UNION ALL SELECT 'error', 'score_mismatch', player_id FROM hi WHERE category IS NOT NULL AND declining IS NOT NULL AND abs(arbitrage_score - (xp_rank - ownership_rank)) > 0.01
+UNION ALL SELECT 'warning', 'orphan', player_id FROM fl WHERE own IS NULL
+UNION ALL SELECT 'warning', 'false_overvalued', player_id FROM fl WHERE own <= 30 AND arbitrage_score <= 0)""")
+
+
+@query("dq5_market_issues", _ISSUES + "SELECT * FROM issues")
 def dq5(spark, d):
     return quality.market_issues(market_rows(spark, d), P.predictions(spark, d), P.players(spark, d), "2025-26", 20)
 
 
-@query("dq5_issue_summary")
+@query("dq5_issue_summary", _ISSUES + "SELECT severity, issue, count(*) AS n, max(max(CASE severity WHEN 'error' THEN 1 ELSE 0 END)) OVER () = 0 AS valid FROM issues GROUP BY severity, issue")
 def dq5s(spark, d):
     return quality.issue_summary(quality.market_issues(market_rows(spark, d), P.predictions(spark, d), P.players(spark, d), "2025-26", 20))
