@@ -763,3 +763,25 @@ def test_op3_best_stretch_by_brute_force(spark):
         g = op3_license.bigrams(text)
         best = max((2 * len(own & set(g[i:j])) / (len(set(g[i:j])) + len(own)) for i in range(len(g)) for j in range(i + 1, len(g) + 1)), default=0)
         assert got[k] == pytest.approx(best if best >= 0.8 else 0, abs=1e-6)
+
+
+def test_op8_placement_by_an_independent_fill(spark):
+    import xxhash
+
+    names, slots = ["north", "south", "east", "west", "x"], 101
+    orders = []
+    for name in names:
+        d = hashlib.sha256(name.encode()).hexdigest()
+        offset, stride = int(d[:16], 16) % slots, int(d[16:32], 16) % (slots - 1) + 1
+        orders.append([(offset + k * stride) % slots for k in range(slots)])
+    owner: dict[int, str] = {}
+    while len(owner) < slots:
+        for name, order in zip(names, orders):
+            free = [s for s in order if s not in owner]
+            if free:
+                owner[free[0]] = name
+    rows = [(k, "t") for k in range(300)] + [(None, "t"), (-7, "t")]
+    got = {x.doc_id: x.shard_name for x in op8_sharding.assign_shards(frame(spark, rows), names=names, slots=slots).collect()}
+    for key, _ in rows:
+        h = xxhash.xxh64_intdigest("" if key is None else str(key), seed=42)
+        assert got[key] == owner[(h - 2**64 if h >= 2**63 else h) % slots]
