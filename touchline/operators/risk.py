@@ -19,13 +19,15 @@ def over_owned(df: DataFrame, least_owned: float = 20.0, most_xp: float = 5.0) -
 def alternatives(targets: DataFrame, pool: DataFrame, most_owned: float = 20.0, better: float = 1.0, k: int = 5, price_range: float = PRICE_RANGE) -> DataFrame:
     """For each target the k best others of its position within the price range, owned less and expected to score more.
 
-    Prices are cut into buckets of the range's width; a target meets its own bucket and both
-    neighbours by an equi-join, so no position is paired in full.
+    Which of two players is better does not depend on the target, so of each position and price only the k + 1 best can be in any answer (one more, as a target is no alternative
+    to itself). Prices are cut into buckets of the range's width; a target meets what is left of its own bucket and both neighbours by an equi-join: with prices in tenths at most
+    some 60 * (k + 1) rows, however many players there are.
     """
     width = max(price_range, 0.1)
     t = targets.select(F.col("player_id").alias("target_id"), "position", F.col("price").alias("_p"), F.col(XP).alias("_xp"))
     t = t.withColumn("_b", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda i: F.floor(F.col("_p") / width) + i)))
-    p = pool.filter(F.col(OWN) < most_owned).withColumn("_b", F.floor(F.col("price") / width))
+    best = Window.partitionBy("position", "price").orderBy(F.col(XP).desc(), "player_id")
+    p = pool.filter(F.col(OWN) < most_owned).withColumn("_k", F.row_number().over(best)).filter(F.col("_k") <= k + 1).drop("_k").withColumn("_b", F.floor(F.col("price") / width))
     pairs = t.join(p, ["position", "_b"]).filter((F.col("player_id") != F.col("target_id")) & (F.abs(F.col("price") - F.col("_p")) <= price_range) & (F.col(XP) - F.col("_xp") >= better))
     pairs = pairs.withColumn("improvement", F.col(XP) - F.col("_xp")).withColumn("value", F.when(F.col("price") > 0, F.col(XP) / F.col("price")).otherwise(0.0))
     w = Window.partitionBy("target_id").orderBy(F.col("improvement").desc(), F.col("value").desc(), "player_id")

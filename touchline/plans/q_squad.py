@@ -14,7 +14,19 @@ def pool(spark, d):
     return P.predictions(spark, d).join(P.players(spark, d), "player_id")
 
 
-@query("s1_greedy_squads")
+# Players in order, one a step: taken if places of the position and of the team are left.
+_GREEDY = """
+o AS (SELECT q.gameweek, q.player_id, position, team_id, price, q.xp, row_number() OVER (PARTITION BY q.gameweek ORDER BY q.xp DESC, q.player_id) AS i FROM predictions q JOIN players USING (player_id)),
+gr(gameweek, i, player_id, taken, chosen, teams) AS (
+  SELECT DISTINCT gameweek, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), false, CAST([] AS VARCHAR[]), CAST([] AS BIGINT[]) FROM o
+  UNION ALL
+  SELECT gameweek, i, player_id, fits, CASE WHEN fits THEN list_append(chosen, position) ELSE chosen END, CASE WHEN fits THEN list_append(teams, team_id) ELSE teams END
+  FROM (SELECT o.gameweek, o.i, o.player_id, o.position, o.team_id, gr.chosen, gr.teams,
+          len(list_filter(gr.chosen, lambda x: x = o.position)) < CASE o.position WHEN 'GK' THEN 2 WHEN 'FWD' THEN 3 ELSE 5 END AND (o.team_id = 0 OR len(list_filter(gr.teams, lambda x: x = o.team_id)) < 3) AS fits
+        FROM gr JOIN o ON o.gameweek = gr.gameweek AND o.i = gr.i + 1 WHERE len(gr.chosen) < 15))"""
+
+
+@query("s1_greedy_squads", P.ctes(P.STATS, P.PLAYERS, P.PREDICTIONS, _GREEDY).replace("WITH ", "WITH RECURSIVE ", 1) + "SELECT o.gameweek, o.player_id, position, team_id, price, xp FROM o JOIN gr ON gr.gameweek = o.gameweek AND gr.i = o.i AND gr.taken")
 def s1(spark, d):
     return squad.greedy_squads(pool(spark, d))
 
