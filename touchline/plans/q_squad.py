@@ -14,9 +14,10 @@ def pool(spark, d):
     return P.predictions(spark, d).join(P.players(spark, d), "player_id")
 
 
-# Players in order, one a step: taken if places of the position and of the team are left.
-_GREEDY = """
-o AS (SELECT q.gameweek, q.player_id, position, team_id, price, q.xp, row_number() OVER (PARTITION BY q.gameweek ORDER BY q.xp DESC, q.player_id) AS i FROM predictions q JOIN players USING (player_id)),
+def greedy_sql(rows: str) -> str:
+    """gr: the greedy squads of rows (gameweek, player_id, position, team_id, xp). Players in order, one a step: taken if places of the position and of the team are left."""
+    return f"""
+o AS (SELECT *, row_number() OVER (PARTITION BY gameweek ORDER BY xp DESC, player_id) AS i FROM ({rows})),
 gr(gameweek, i, player_id, taken, chosen, teams) AS (
   SELECT DISTINCT gameweek, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), false, CAST([] AS VARCHAR[]), CAST([] AS BIGINT[]) FROM o
   UNION ALL
@@ -26,20 +27,32 @@ gr(gameweek, i, player_id, taken, chosen, teams) AS (
         FROM gr JOIN o ON o.gameweek = gr.gameweek AND o.i = gr.i + 1 WHERE len(gr.chosen) < 15))"""
 
 
-@query("s1_greedy_squads", P.ctes(P.STATS, P.PLAYERS, P.PREDICTIONS, _GREEDY).replace("WITH ", "WITH RECURSIVE ", 1) + "SELECT o.gameweek, o.player_id, position, team_id, price, xp FROM o JOIN gr ON gr.gameweek = o.gameweek AND gr.i = o.i AND gr.taken")
-def s1(spark, d):
-    return squad.greedy_squads(pool(spark, d))
-
-
-_SQ = (P.ALL_PLAYERS, P.SQUADS)
-_XI = """
+def eleven_sql(keys: str, squads: str) -> str:
+    """x: the elevens of squads."""
+    return f"""
 x AS (
   SELECT * FROM (
-    SELECT *, row_number() OVER (PARTITION BY plan_id, week, k ORDER BY xp DESC, player_id) AS f, sum(CASE WHEN k = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY plan_id, week) AS sure FROM (
+    SELECT *, row_number() OVER (PARTITION BY {keys}, k ORDER BY xp DESC, player_id) AS f, sum(CASE WHEN k = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY {keys}) AS sure FROM (
       SELECT *, CASE WHEN p <= CASE position WHEN 'GK' THEN 1 WHEN 'DEF' THEN 3 WHEN 'MID' THEN 2 ELSE 1 END THEN 0 WHEN p <= CASE position WHEN 'GK' THEN 1 WHEN 'DEF' THEN 5 WHEN 'MID' THEN 5 ELSE 3 END THEN 1 ELSE 2 END AS k
-      FROM (SELECT *, row_number() OVER (PARTITION BY plan_id, week, position ORDER BY xp DESC, player_id) AS p FROM squads)))
+      FROM (SELECT *, row_number() OVER (PARTITION BY {keys}, position ORDER BY xp DESC, player_id) AS p FROM {squads})))
   WHERE k = 0 OR (k = 1 AND f <= 11 - sure)
 )"""
+
+
+def recursive(*parts: str) -> str:
+    return P.ctes(*parts).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+_CHOSEN = "chosen AS (SELECT o.* FROM o JOIN gr ON gr.gameweek = o.gameweek AND gr.i = o.i AND gr.taken)"
+
+
+@query("s1_greedy_squads", recursive(P.STATS, P.PLAYERS, P.PREDICTIONS, greedy_sql("SELECT q.gameweek, q.player_id, position, team_id, price, q.xp FROM predictions q JOIN players USING (player_id)"), _CHOSEN) + "SELECT gameweek, player_id, position, team_id, price, xp FROM chosen")
+def s1(spark, d):
+    return squad.greedy_squads(pool(spark, d))
+
+
+_SQ = (P.ALL_PLAYERS, P.SQUADS)
+_XI = eleven_sql("plan_id, week", "squads")
 KEYS = ("plan_id", "week")
 
 
@@ -132,9 +145,12 @@ def s12(spark, d):
     return squad.shown_captains(P.squads(spark, d).filter("in_xi"), KEYS)
 
 
-@query("s13_squad_values")
+_PERIODS = "SELECT q.gameweek, q.player_id, position, coalesce(team_id, opponent_team) AS team_id, CASE WHEN price > 100 THEN price / 10 ELSE price END AS price, q.xp, total_points FROM predictions q JOIN stats s ON s.player_id = q.player_id AND s.gameweek = q.gameweek JOIN players p ON p.player_id = q.player_id"
+
+
+@query("s13_squad_values", recursive(P.STATS, P.PLAYERS, P.PREDICTIONS, greedy_sql(_PERIODS), _CHOSEN, eleven_sql("gameweek", "chosen")) + "SELECT gameweek, points, xi_size, round(price, 4) AS price, squad_size FROM (SELECT gameweek, CAST(sum(total_points) AS BIGINT) AS points, count(*) AS xi_size FROM x GROUP BY gameweek) JOIN (SELECT gameweek, sum(price) AS price, count(*) AS squad_size FROM chosen GROUP BY gameweek) USING (gameweek)")
 def s13(spark, d):
-    return squad.squad_values(P.stats(spark, d), P.predictions(spark, d), P.players(spark, d))
+    return squad.squad_values(P.stats(spark, d), P.predictions(spark, d), P.players(spark, d)).select("gameweek", "points", "xi_size", r("price"), "squad_size")
 
 
 @query("s14_plan_records", P.ctes(*_SQ) + """SELECT plan_id, CAST(to_json(list({'week': week, 'squad': squad, 'xi': xi, 'points': points} ORDER BY week)) AS VARCHAR) AS record, round(sum(points), 4) AS total_points, count(*) AS horizon FROM (
@@ -161,10 +177,14 @@ def v2(spark, d):
     return serve.basic_board(P.players(spark, d, every=True), P.teams(spark, d), None).select("player_id", "expected_points", "xmins")
 
 
-@query("v3_dream_team")
+_DREAM = "SELECT 1 AS gameweek, p.player_id, position, coalesce(team_id, 0) AS team_id, price, round(coalesce(q.xp, CASE position WHEN 'FWD' THEN 2.5 WHEN 'MID' THEN 2.0 ELSE 1.5 END) + 1e-9, 2) AS xp FROM players p LEFT JOIN (SELECT * FROM predictions WHERE gameweek = 20) q ON q.player_id = p.player_id"
+
+
+@query("v3_dream_team", recursive(P.STATS, P.PLAYERS, P.PREDICTIONS, greedy_sql(_DREAM), _CHOSEN, eleven_sql("gameweek", "chosen")) + "SELECT gameweek, formation, round(total_xp, 4) AS total_xp, players, round(total_cost, 4) AS total_cost, squad_size FROM (SELECT gameweek, count(*) FILTER (position = 'DEF') || '-' || count(*) FILTER (position = 'MID') || '-' || count(*) FILTER (position = 'FWD') AS formation, sum(xp) AS total_xp, count(*) AS players FROM x GROUP BY gameweek) JOIN (SELECT gameweek, sum(price) AS total_cost, count(*) AS squad_size FROM chosen GROUP BY gameweek) USING (gameweek)")
 def v3(spark, d):
-    b = serve.player_board(P.players(spark, d), P.teams(spark, d), P.predictions(spark, d), P.stats(spark, d), 20, None)
-    return serve.dream_team(b)[1]
+    predictions = P.predictions(spark, d).withColumn("xp", F.col("xp") + 1e-9)
+    b = serve.player_board(P.players(spark, d), P.teams(spark, d), predictions, P.stats(spark, d), 20, None)
+    return serve.dream_team(b)[1].select("gameweek", "formation", r("total_xp"), "players", r("total_cost"), "squad_size")
 
 
 @query("v4_v5_sorted_page", P.ctes(P.ALL_PLAYERS) + "SELECT player_id, price FROM (SELECT * FROM players ORDER BY price DESC, player_id LIMIT 30) ORDER BY player_id LIMIT 10 OFFSET 5")
