@@ -97,3 +97,14 @@ def test_external_matches_equal_all_pairs(spark, threshold):
     frames = spark.createDataFrame(players, "id int, name string, team int"), spark.createDataFrame(external, "id int, name string, team int")
     got = {x.target_id: (x.cand_id, round(x.score, 9)) for x in resolve.external_matches(*frames, threshold).collect()}
     assert got == simple_best(spark, players, external, threshold)
+
+
+def test_a_name_of_many_rows_meets_one_row_of_the_map(spark, monkeypatch):
+    names = spark.createDataFrame([(k, "Same Name") for k in range(50)], "id long, name string")
+    rows = [(k, "same name", k, "SAME NAME", str(k), "same  name") for k in range(40, 90)]
+    table = spark.createDataFrame(rows, "id long, name string, source_a_id long, source_a_name string, source_b_id string, source_b_name string")
+    made, real = [], type(names).join
+    monkeypatch.setattr(type(names), "join", lambda self, *a, **k: made.append(real(self, *a, **k)) or made[-1])
+    got = {r["id"]: (r["step"], r["map_id"]) for r in resolve.exact_resolution(names, table).collect()}
+    assert got == {k: (0, k) if k >= 40 else (1, 40) for k in range(50)}
+    assert made and all(d.count() <= 50 for d in made)

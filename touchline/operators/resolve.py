@@ -36,8 +36,13 @@ def row_order(id_map: DataFrame) -> Column:
 def exact_resolution(names: DataFrame, id_map: DataFrame) -> DataFrame:
     """names (id, name, source_a_name, source_b_name; the last two may be missing) with the first row of the map that matches by id, then by name against the map's three names, then by the sources' names. One equi-join per step, the best step kept."""
     m = id_map.withColumn("_row", row_order(id_map)).select(*MAP_COLUMNS, "_row")
-    keys = {c: m.select(name_key(c).alias("_k"), "_row", F.struct(*MAP_COLUMNS).alias("_m")).filter("_k <> ''") for c in ("name", "source_a_name", "source_b_name")}
-    steps = [names.select(F.col("id").alias("_id")).join(m.select(F.col("id").alias("_id"), "_row", F.struct(*MAP_COLUMNS).alias("_m")), "_id").select("_id", F.lit(0).alias("_step"), "_row", "_m")]
+
+    def first_of(key: Column, c: str) -> DataFrame:
+        """The first row of the map under each key, so that a name of many rows meets one of them and not all."""
+        return m.select(key.alias(c), "_row", F.struct(*MAP_COLUMNS).alias("_m")).groupBy(c).agg(F.min("_row").alias("_row"), F.min_by("_m", "_row").alias("_m"))
+
+    keys = {c: first_of(name_key(c), "_k").filter("_k <> ''") for c in ("name", "source_a_name", "source_b_name")}
+    steps = [names.select(F.col("id").alias("_id")).join(first_of(F.col("id"), "_id"), "_id").select("_id", F.lit(0).alias("_step"), "_row", "_m")]
     asked = [("name", "name"), ("name", "source_a_name"), ("name", "source_b_name"), ("source_a_name", "source_a_name"), ("source_b_name", "source_b_name")]
     for k, (mine, theirs) in enumerate(asked, 1):
         if mine in names.columns:
