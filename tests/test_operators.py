@@ -327,3 +327,25 @@ def test_whole_sums_do_not_depend_on_the_order_of_rows(spark, tmp_path):
         db.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/{k}/events.parquet/*.parquet'")
         assert one(project.stats(spark, f"{tmp_path}/{k}")).passes == 1
         assert db.sql(f"WITH {project.STATS} SELECT passes FROM stats").fetchall() == [(1,)]
+
+
+def test_folds_of_known_predictors_are_one_plan_and_equal_the_folds(spark, monkeypatch):
+    """Fold by fold, and at once: with gaps, null points, null players and windows."""
+    rng = random.Random(11)
+    rows = [(p if p else None, g, None if rng.random() < 0.1 else float(rng.randint(0, 9))) for p in range(7) for g in (1, 2, 4, 5, 6, 8, 9, 11, 12) if rng.random() < 0.7]
+    df = spark.createDataFrame([*rows, (20, 12, 3.0)], "player_id int, gameweek int, points double")
+    plain = {f: (lambda train, test, f=f: f(train, test)) for f in (backtest.mean_predictor, backtest.last_predictor)}
+    as_rows = lambda d: sorted((r.gameweek, r.player_id or 0, r.points if r.points is not None else -1.0, round(r.predicted, 9)) for r in d.select("player_id", "gameweek", "points", "predicted").collect())
+    for f, same in plain.items():
+        for window in (None, 3):
+            want = backtest.fold_backtest(df, same, 4, window)
+            if f is backtest.mean_predictor:
+                want = want.filter("player_id IS NOT NULL")
+            got = backtest.fold_backtest(df, f, 4, window)
+            got = got.filter("player_id IS NOT NULL") if f is backtest.mean_predictor else got
+            assert as_rows(got) == as_rows(want)
+    writes = []
+    monkeypatch.setattr(type(df.write), "parquet", lambda self, *a, **k: writes.append(a))
+    for f in plain:
+        backtest.fold_backtest(df, f, 4)
+    assert not writes

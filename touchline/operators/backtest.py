@@ -32,9 +32,11 @@ def mean_backtest(df: DataFrame, min_train: int = 5, window: int | None = None,
 def fold_backtest(df: DataFrame, predictor: Predictor, min_train: int = 5, window: int | None = None, checkpoint: str | None = None) -> DataFrame:
     """The same for any predictor(train, test) -> (player_id, predicted). Missing predictions count as 0.
 
-    One fold is one Spark job over the (cached) facts; folds are written one by one to the
-    checkpoint folder, so lineage does not grow and a lost executor repeats one fold.
+    The predictors in AT_ONCE have all folds in one plan. Of any other, one fold is one Spark job over the (cached) facts; folds
+    are written one by one to the checkpoint folder, so lineage does not grow and a lost executor repeats one fold.
     """
+    if predictor in AT_ONCE:
+        return AT_ONCE[predictor](df, min_train, window)
     spark = df.sparkSession
     base = checkpoint or spark.conf.get("spark.checkpoint.dir", None)
     periods = [row["gameweek"] for row in df.select("gameweek").distinct().orderBy("gameweek").collect()]  # one row a period
@@ -62,6 +64,29 @@ def last_predictor(train: DataFrame, test: DataFrame) -> DataFrame:
     return train.groupBy("player_id").agg(F.avg("points").alias("predicted"))
 
 
+def player_backtest(df: DataFrame, min_train: int = 5, window: int | None = None) -> DataFrame:
+    """All folds of last_predictor in one plan: rows of tested periods with the player's mean points of the earlier ones (or of those among the `window` periods before), 0 without any.
+
+    Periods are numbered over all players, so that a window counts those in which a player has no row, too.
+    """
+    numbers = df.select("gameweek").filter("gameweek IS NOT NULL").distinct().withColumn("_i", F.row_number().over(Window.orderBy("gameweek")))  # one row a period
+    per = df.groupBy("player_id", "gameweek").agg(F.sum("points").alias("s"), F.count("points").alias("c")).join(numbers, "gameweek")
+    w = Window.partitionBy("player_id").orderBy("_i").rangeBetween(Window.unboundedPreceding if window is None else -window, -1)
+    mean = F.when(F.col("player_id").isNotNull(), F.try_divide(F.sum("s").over(w), F.sum("c").over(w)))
+    tested = per.withColumn("predicted", F.coalesce(mean, F.lit(0.0))).filter(F.col("_i") > (min_train if window is None else window))
+    tested = tested.select(F.col("player_id").alias("_p"), F.col("gameweek").alias("_g"), "predicted")
+    return df.join(tested, df["player_id"].eqNullSafe(F.col("_p")) & (df["gameweek"] == F.col("_g"))).drop("_p", "_g")
+
+
+def _mean_at_once(df: DataFrame, min_train: int, window: int | None) -> DataFrame:
+    out = mean_backtest(df.filter("gameweek IS NOT NULL"), min_train, window)
+    return out.withColumn("predicted", F.coalesce("predicted", F.lit(0.0)))
+
+
+#: Predictors whose folds are windows.
+AT_ONCE = {mean_predictor: _mean_at_once, last_predictor: player_backtest}
+
+
 def average_rank(c: str, keys: tuple[str, ...] = ("gameweek",)) -> Column:
     """Rank from the lowest; equal values share the mean of their ranks."""
     return F.rank().over(Window.partitionBy(*keys).orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy(*keys, c)) - 1) / 2.0
@@ -128,9 +153,9 @@ def stored_performance(predictions: DataFrame, stats: DataFrame, keys: tuple[str
 
 def compare_models(df: DataFrame, models: dict[str, Predictor], min_train: int = 5) -> tuple[DataFrame, DataFrame]:
     """Overall metrics of each model, and the one with the lowest error."""
-    out = None
+    out, stage = None, stage_in(df.sparkSession)
     for name, predictor in models.items():
-        m = overall_metrics(fold_backtest(df, predictor, min_train)).withColumn("model", F.lit(name))
+        m = overall_metrics(stage(fold_backtest(df, predictor, min_train), "tested")).withColumn("model", F.lit(name))
         out = m if out is None else out.unionByName(m)
     return out, out.agg(F.min_by("model", F.struct("rmse", "model")).alias("best_model"), F.min("rmse").alias("rmse"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from touchline.operators import backtest, market, risk
+from touchline.operators.stage import stage_in
 from touchline.plans import project as P
 from touchline.plans.registry import query, r
 from touchline.sources import upsert
@@ -74,8 +75,8 @@ _PLAYER_MEAN = "pm AS (SELECT s.player_id, s.gameweek, CAST(total_points AS DOUB
 
 @query("b8_compare_models", P.ctes(P.STATS, EXPANDING, _PLAYER_MEAN) + "SELECT 'global' AS model, count(*) AS n, round(sqrt(avg(pow(predicted - points, 2))), 4) AS rmse FROM bt UNION ALL SELECT 'player', count(*), round(sqrt(avg(pow(predicted - points, 2))) + 1e-9, 4) FROM pm WHERE gameweek IN (SELECT gameweek FROM t WHERE i > 5)")
 def b8(spark, d):
-    # Every period after the first five is tested; the facts are read once.
-    rows = facts(spark, d).persist()
+    # Every period after the first five is tested; the facts are made once.
+    rows = stage_in(spark)(facts(spark, d), "facts")
     return backtest.compare_models(rows, {"global": backtest.mean_predictor, "player": backtest.last_predictor}, 5)[0].select("model", "n", r("rmse"))
 
 
