@@ -130,3 +130,19 @@ def test_backtest_folds_see_earlier_periods_only(spark):
         forests = boosting.fit_all(held, fits, stage)
         made.append({(r["player_id"], r["gameweek"]): r["p"] for r in boosting.predicted(held, fits, forests, {"p": [0]}).collect()})
     assert made[0] == made[1] and one.select("gameweek").distinct().collect()[0][0] == 8
+
+
+def test_places_equal_a_walk_and_inputs_of_few_bins_share_codes():
+    r = np.random.default_rng(3)
+    for depth in (1, 3, 5):
+        size = 2 ** (depth + 1) - 1
+        tree = (r.integers(0, 4, size), np.where(r.random(size) < 0.2, 255, r.integers(0, 31, size)), r.normal(size=size))
+        x = r.integers(0, boosting.BINS, (300, 4)).astype(np.uint8)
+        node = np.zeros(300, np.int64)
+        for _ in range(depth):
+            node = 2 * node + 1 + (x[np.arange(300), tree[0][node]] > tree[1][node])
+        assert (boosting._places(tree, np.ascontiguousarray(x.T), depth) == node - (2**depth - 1)).all()
+        assert boosting._margin(boosting.Forest(0.5, [tree]), x) == pytest.approx(0.5 + tree[2][node])
+    sizes = [32, 3, 3, 14, 1, 32]
+    groups = boosting._together(sizes)
+    assert sorted(k for g in groups for k in g) == list(range(len(sizes))) and len(groups) == 2 and all(np.prod([sizes[k] for k in g]) <= boosting.CODES for g in groups)
